@@ -4,29 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statutory.llm import decontaminate, simhash
-from statutory.llm.common import table
+from statutory.llm import decontaminate, lines, packing, simhash, toxicity
+from statutory.llm.common import id_hash_remainder, materialize, table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model doesn't take for toxic; learnt from the labels of the same documents."""
+    model = toxicity.train_on(docs, table(spark, sf_dir, "labels"), id_hash_remainder("doc_id", 5) != 0)
+    return toxicity.keep_clean(docs, model)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that earlier ones hold; those that lose all their words go."""
+    return lines.with_deduped_text(docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies."""
     return simhash.keep_one_per_group(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passages."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
-    ("simhash", simhash_stage),
-    ("decontaminate", decontaminate_stage),
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_stage),
+    ("simhash near-dedup", simhash_stage),
+    ("benchmark decontamination", decontaminate_stage),
+    ("best-fit packing", packing_stage),
 ]
 
+#: Toxicity is a trained model and line dedup an alignment, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, on the documents."""
+    """All stages, one after the other, on the documents; each result is written before the next stage reads it."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

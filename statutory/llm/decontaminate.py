@@ -218,3 +218,37 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame
         out = out.mapInArrow(_pass(block, ["row", "text"], k == 0), f"row {kind}, text string, n_words long, {_STATE}")
     return out.where(~is_contaminated()).select("row.*")
 
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+CONTAMINATION_SQL = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(w[i : i + least(len(w), {WINDOW}) - 1], ' ') AS win
+  FROM b, unnest(generate_series(1, greatest(len(w) - {WINDOW} + 1, 1))) AS g(i) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM d, sizes, unnest(generate_series(1, len(w) - n + 1)) AS g(i) WHERE len(w) >= n
+), hit AS (SELECT doc_id, dw.n, i, item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS k FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
+runs AS (
+  SELECT doc_id, max(n + i - low) AS longest FROM (
+    SELECT doc_id, item, shift, i, n, min(i) OVER (PARTITION BY doc_id, item, shift, grp) AS low FROM (
+      SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, shift ORDER BY i) AS grp FROM (
+        SELECT DISTINCT h.doc_id, h.item, h.n, h.i, h.i - p.j AS shift FROM hit h
+        JOIN dw ON dw.doc_id = h.doc_id AND dw.i = h.i AND dw.n = h.n
+        JOIN (SELECT item, least(len(w), {WINDOW}) AS n, i AS j, array_to_string(w[i : i + least(len(w), {WINDOW}) - 1], ' ') AS win
+              FROM b, unnest(generate_series(1, greatest(len(w) - {WINDOW} + 1, 1))) AS g(i) WHERE len(w) > 0) p
+          ON p.item = h.item AND p.n = h.n AND p.win = dw.win))) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN runs USING (doc_id)
+"""

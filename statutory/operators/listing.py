@@ -95,7 +95,8 @@ def list_reports(reports: DataFrame, topic: str | None = None, author: str | Non
     out = reports
     for column, value in (("topics", topic), ("authors", author)):
         if value is not None:
-            out = out.where(F.exists(column, lambda a, v=value: F.contains(F.lower(a), F.lit(v.lower()))))
+            part = F.lit(value.lower())
+            out = out.where(F.exists(column, lambda a: F.contains(F.lower(a), part)))  # noqa: B023
     if bill_id is not None:
         out = out.where(F.array_contains("related_bill_ids", bill_id))
     if text is not None:

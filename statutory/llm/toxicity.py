@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from statutory.llm.common import WORD_BYTES, materialize, same_rows, slices
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2400
 LONGEST_SAMPLE = 20_000
 #: A marker is in at least this share of the sample's toxic documents, and in so many documents.
 MARKER_SHARE, MARKER_DOCS = 0.015, 4
@@ -35,7 +35,7 @@ MARKER_PURITY = 0.97
 FEATURES = 1 << 16
 CHAIN = 128
 #: Chains to train on: those with toxic tokens first, then clean ones spread evenly over the sample.
-TRAIN_CHAINS = 6000
+TRAIN_CHAINS = 4000
 CACHE_WORDS = 400_000
 #: Tokens above this marginal are offending.
 SPAN_THRESHOLD = 0.5
@@ -56,13 +56,28 @@ def feature_ids(word: bytes) -> np.ndarray:
     return np.array([zlib.crc32(s) % FEATURES for s in signs_of(word)], np.int64)
 
 
-def find_markers(toxic: list[set[bytes]], clean: list[set[bytes]]) -> set[bytes]:
-    """Signs (words and beginnings of four characters or more) that mark toxic documents."""
+def find_markers(toxic: list[np.ndarray], clean: list[np.ndarray], words: list[bytes]) -> np.ndarray:
+    """Which words hold a sign (a word, or a beginning of four characters or more) that marks toxic documents.
+
+    Documents come as arrays of word numbers. Clean documents are only searched for signs
+    that enough toxic ones hold.
+    """
     usable = lambda s: s[:1] == b"=" or (s[:1] == b"^" and len(s.decode("utf-8", "replace")) > 4)
-    count = [Counter(s for words in docs for s in {x for w in words for x in signs_of(w) if usable(x)}) for docs in (toxic, clean)]
+    count: Counter[bytes] = Counter()
+    for doc in toxic:
+        own = np.unique(doc).tolist()
+        count.update({s for w in own for s in signs_of(words[w]) if usable(s)})
     least = max(MARKER_DOCS, MARKER_SHARE * len(toxic))
+    often = {s for s, n in count.items() if n >= least}
+    held = {i: found for i, w in enumerate(words) if (found := often.intersection(signs_of(w)))}
+    clean_count: Counter[bytes] = Counter()
+    for doc in clean:
+        clean_count.update({s for w in np.unique(doc).tolist() if w in held for s in held[w]})
     odds = len(toxic) / max(1, len(clean))
-    return {s for s, n in count[0].items() if n >= least and n >= MARKER_PURITY * (n + odds * count[1][s])}
+    marks = {s for s in often if count[s] >= MARKER_PURITY * (count[s] + odds * clean_count[s])}
+    out = np.zeros(len(words), bool)
+    out[[i for i, found in held.items() if not marks.isdisjoint(found)]] = True
+    return out
 
 
 @dataclass
@@ -143,11 +158,10 @@ def forward_backward(emissions: np.ndarray, mask: np.ndarray, transitions: np.nd
     return marginal.T, pair
 
 
-def train_chain(texts: list[list[bytes]], labels: list[np.ndarray], rounds: int = 30, l2: float = 1e-6) -> ChainModel:
-    """Fit the chain to token labels by gradient steps with per-weight rates."""
+def train_chain(texts: list[np.ndarray], labels: list[np.ndarray], vocabulary: list[bytes], rounds: int = 30, l2: float = 1e-6) -> ChainModel:
+    """Fit the chain to token labels by gradient steps with per-weight rates; texts are arrays of word numbers."""
     model = ChainModel()
-    vocabulary: dict[bytes, int] = {}
-    words = np.array([vocabulary.setdefault(w, len(vocabulary)) for t in texts for w in t], np.int64)
+    words = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64)
     if not len(words):
         return model
     gold = np.concatenate(labels).astype(float)
@@ -161,8 +175,7 @@ def train_chain(texts: list[list[bytes]], labels: list[np.ndarray], rounds: int
     sizes = mask[chosen].sum(1).tolist()
     words, gold = words[kept], gold[kept]
     used, words = np.unique(words, return_inverse=True)
-    every = list(vocabulary)
-    ids = [feature_ids(every[i]) for i in used.tolist()]
+    ids = [feature_ids(vocabulary[i]) for i in used.tolist()]
     owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     flat = np.concatenate(ids)
     rows, mask = chain_rows(sizes)
@@ -217,20 +230,29 @@ def fit_score(values: np.ndarray, toxic: np.ndarray, rounds: int = 60) -> tuple[
 
 def train(sample: list[tuple[str, int]]) -> ChainModel:
     """A model from texts with document labels; without toxic texts nothing is toxic."""
-    texts = [tokens_of(t) for t, _ in sample]
+    number: dict[bytes, int] = {}
+    texts = [np.array([number.setdefault(w, len(number)) for w in tokens_of(t)], np.int32) for t, _ in sample]
+    vocabulary = list(number)
     toxic = np.array([y for _, y in sample], float)
-    sets = [set(t) for t in texts]
-    markers = find_markers([s for s, y in zip(sets, toxic, strict=True) if y], [s for s, y in zip(sets, toxic, strict=True) if not y])
-    marked = {w: not markers.isdisjoint(signs_of(w)) for w in set().union(*sets)} if sets else {}
-    labels = [np.array([bool(y) and marked[w] for w in t], bool) for t, y in zip(texts, toxic, strict=True)]
-    model = train_chain(texts, labels)
-    lengths = [len(t) for t in texts]
-    marginals = model.marginals(lengths, model.emissions([w for t in texts for w in t])) if sum(lengths) else np.zeros(0)
-    parts = np.split(marginals, np.cumsum(lengths)[:-1]) if lengths else []
-    model.score_fit = fit_score(np.array([aggregates(p) for p in parts]).reshape(-1, 2), toxic)
+    marked = find_markers([t for t, y in zip(texts, toxic, strict=True) if y], [t for t, y in zip(texts, toxic, strict=True) if not y], vocabulary)
+    labels = [marked[t] & bool(y) for t, y in zip(texts, toxic, strict=True)]
+    model = train_chain(texts, labels, vocabulary)
+    values = []
+    for at in range(0, len(sample), 200):  # in parts, to hold few marginals
+        values += [aggregates(m) for m in text_marginals(model, [tokens_of(t) for t, _ in sample[at : at + 200]])]
+    model.score_fit = fit_score(np.array(values).reshape(-1, 2), toxic)
     return model
 
 
+def text_marginals(model: ChainModel, texts: list[list[bytes]]) -> list[np.ndarray]:
+    """The marginals of every text's tokens."""
+    lengths = [len(t) for t in texts]
+    if not lengths:
+        return []
+    marginals = model.marginals(lengths, model.emissions([w for t in texts for w in t]))
+    return np.split(marginals, np.cumsum(lengths)[:-1])
+
+
 def _score(fit: tuple[float, float, float], values: tuple[float, float]) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, fit[0] + fit[1] * values[0] + fit[2] * values[1]))))
 
@@ -243,13 +265,9 @@ def token_offsets(text: str) -> list[tuple[int, int]]:
 def score_texts(model: ChainModel, texts: list[str]) -> list[tuple[float, list[dict]]]:
     """Score and offending spans of every text."""
     words = [tokens_of(t) for t in texts]
-    lengths = [len(w) for w in words]
-    flat = [w for t in words for w in t]
-    marginals = model.marginals(lengths, model.emissions(flat))
-    out, at = [], 0
-    for text, n in zip(texts, lengths, strict=True):
-        own = marginals[at : at + n]
-        at += n
+    out = []
+    for text, tokens, own in zip(texts, words, text_marginals(model, words), strict=True):
+        n = len(tokens)
         spans: list[dict] = []
         hit = np.flatnonzero(own > SPAN_THRESHOLD).tolist()
         if hit:

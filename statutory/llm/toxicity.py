@@ -32,6 +32,8 @@ LONGEST_SAMPLE = 20_000
 MARKER_SHARE, MARKER_DOCS = 0.015, 4
 #: Of the documents that hold a marker, weighted to equal classes, this share is toxic.
 MARKER_PURITY = 0.97
+#: A beginning whose most frequent word is in this share of its documents marks nothing beyond that word.
+ONE_WORD = 0.8
 FEATURES = 1 << 16
 CHAIN = 128
 #: Chains to train on: those with toxic tokens first, then clean ones spread evenly over the sample.
@@ -56,19 +58,46 @@ def feature_ids(word: bytes) -> np.ndarray:
     return np.array([zlib.crc32(s) % FEATURES for s in signs_of(word)], np.int64)
 
 
+def without_near_copies(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Documents of which no earlier one shares a minimum of the hashes of four-word runs: near-copies count once."""
+    factors = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]], np.uint64)
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for doc in docs:
+        words = doc.astype(np.uint64)
+        runs = np.lib.stride_tricks.sliding_window_view(words, 4) if len(words) >= 4 else np.pad(words, (0, 4 - len(words)))[None, :]
+        hashes = ((runs + np.uint64(1)) * factors).sum(1, dtype=np.uint64)
+        least = set()
+        for k in range(4):
+            mixed = (hashes ^ np.uint64(k * 0x9E37)) * np.uint64(0xD6E8FEB86659FD93)
+            least.add((k, int((mixed ^ (mixed >> np.uint64(29))).min())))
+        if seen.isdisjoint(least):
+            out.append(doc)
+        seen |= least
+    return out
+
+
 def find_markers(toxic: list[np.ndarray], clean: list[np.ndarray], words: list[bytes]) -> np.ndarray:
     """Which words hold a sign (a word, or a beginning of four characters or more) that marks toxic documents.
 
     Documents come as arrays of word numbers. Clean documents are only searched for signs
-    that enough toxic ones hold.
+    that enough toxic ones hold. Near-copies count as one document.
     """
+    toxic, clean = without_near_copies(toxic), without_near_copies(clean)
     usable = lambda s: s[:1] == b"=" or (s[:1] == b"^" and len(s.decode("utf-8", "replace")) > 4)
     count: Counter[bytes] = Counter()
+    by_word: Counter[int] = Counter()
     for doc in toxic:
         own = np.unique(doc).tolist()
+        by_word.update(own)
         count.update({s for w in own for s in signs_of(words[w]) if usable(s)})
     least = max(MARKER_DOCS, MARKER_SHARE * len(toxic))
     often = {s for s, n in count.items() if n >= least}
+    main = Counter()  # by beginning, the documents of its most frequent word
+    for i, n in by_word.items():
+        for s in often.intersection(signs_of(words[i])):
+            main[s] = max(main[s], n)
+    often = {s for s in often if s[:1] == b"=" or main[s] < ONE_WORD * count[s]}  # else the word says it all
     held = {i: found for i, w in enumerate(words) if (found := often.intersection(signs_of(w)))}
     clean_count: Counter[bytes] = Counter()
     for doc in clean:

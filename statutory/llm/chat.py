@@ -1,9 +1,9 @@
 """Chat formatting: reply trees to root-to-leaf conversations with a loss mask.
 
-Messages form trees by (tree, node, parent). Paths grow by self-joins that double their
-reach: every row knows a stretch of its path and the node above the stretch, and each
-round joins the rows to themselves on that node. The rounds grow with the logarithm of the
-depth. Of the paths of a tree the best by score are chosen and formatted as one text each.
+Messages form trees by (tree, node, parent). Iterative self-joins give every message the
+one 1, 2, 4, ... places above it; by the binary digits of their distance these lead from
+each leaf to all messages above it, once each. The rounds grow with the logarithm of the
+depth, and the rows with the length of the paths. Of the paths of a tree the best by score are chosen and formatted as one text each.
 
 The template is `<s>[role]text</s>` per turn. `&`, `<`, `[` and `]` inside roles and texts
 (and line breaks inside roles) are written as character references, so no control string
@@ -41,31 +41,27 @@ def paths(messages: DataFrame) -> DataFrame:
     scores count as 0. A path's score is the mean of its messages'. A message whose parent
     is missing is a root. Messages in a circle have no root, so they are on no path.
     """
-    rows = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    known = rows.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    rows = rows.join(known, ["tree", "parent"], "left")
-    reach = rows.select(
-        "tree", "node", F.when(F.col("_known"), F.col("parent")).alias("above"), F.array("node").alias("path"), F.col("score").alias("sum")
-    )
-    reach = materialize(reach)
-    inner = reach.where("above is not null").select("tree", F.col("above").alias("node")).distinct()
-    leaves = reach.select("tree", "node").join(inner, ["tree", "node"], "left_anti")
-    open_, reached = reach.where("above is not null").count(), 1
-    total = open_
-    while open_ and reached <= 2 * total:
-        upper = reach.select("tree", F.col("node").alias("above"), F.col("above").alias("_above"), F.col("path").alias("_path"), F.col("sum").alias("_sum"))
-        joined = reach.join(upper, ["tree", "above"], "left")
-        done = F.col("above").isNull()
-        reach = materialize(joined.select(
-            "tree",
-            "node",
-            F.when(~done, F.col("_above")).alias("above"),
-            F.when(done, F.col("path")).otherwise(F.concat("_path", "path")).alias("path"),
-            F.when(done, F.col("sum")).otherwise(F.col("sum") + F.col("_sum")).alias("sum"),
-        ))
-        open_, reached = reach.where("above is not null").count(), 2 * reached
-    ends = reach.where("above is null").join(leaves, ["tree", "node"], "left_semi")
-    return ends.select("tree", F.col("node").alias("leaf"), "path", (F.col("sum") / F.size("path")).alias("score"))
+    rows = materialize(messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
+    nodes = rows.select("tree", F.col("node").alias("parent"))
+    up = materialize(rows.select("tree", "node", "parent").join(nodes, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("above")))
+    leaves = rows.select("tree", "node").join(up.select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    jumps, n = [up], rows.count()
+    while 2 ** (len(jumps) - 1) < n:  # the 1st, 2nd, 4th, ... message above, for those that have one
+        last = jumps[-1]
+        higher = last.select("tree", F.col("node").alias("above"), F.col("above").alias("higher"))
+        after = materialize(last.join(higher, ["tree", "above"]).select("tree", "node", F.col("higher").alias("above")))
+        if after.isEmpty():
+            break
+        jumps.append(after)
+    else:  # what has a message so many places above is on or below a circle
+        leaves = leaves.join(jumps[-1].select("tree", "node").distinct(), ["tree", "node"], "left_anti")
+    steps = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    for k in reversed(range(len(jumps))):  # every message above a leaf once, by the binary digits of its distance
+        further = steps.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up"))
+        steps = materialize(steps.unionByName(further))
+    scored = steps.join(rows.select("tree", "node", "score"), ["tree", "node"])
+    found = scored.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("down"), "node"))).alias("steps"), F.avg("score").alias("score"))
+    return found.select("tree", "leaf", F.transform("steps", lambda x: x["node"]).alias("path"), "score")
 
 
 def best_paths(found: DataFrame, per_tree: int = 1) -> DataFrame:

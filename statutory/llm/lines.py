@@ -2,11 +2,9 @@
 
 Texts are reduced to line hashes, and exact copies to one text. A line that several texts
 hold links each of them to the first that holds it, so links grow with the lines and never
-with the square of a group. Two texts are aligned if a rare line links them; lines that
-more than RARE_TEXTS texts hold (licenses, headings) link two texts only if these share
-COMMON_WORDS words of them, so large groups of near-copies are found as well. Linked
-texts are aligned by patience diff on their hashes, and the aligned blocks are deleted from
-the later document. The first holder of a line never loses it.
+with the square of a group, and every link is followed, however many texts hold the line.
+Linked texts are aligned by patience diff on their hashes, and the aligned blocks are
+deleted from the later document. The first holder of a line never loses it.
 """
 
 from __future__ import annotations
@@ -106,7 +104,7 @@ def _rank(first: str = "first", key: str = "key") -> Column:
     return F.struct(F.col(first).isNull().alias("none"), F.col(first).alias("id"), F.col(key).alias("key"))
 
 
-def _deduped(rows: DataFrame) -> DataFrame:
+def _deduped(rows: DataFrame, spare_common: bool = False) -> DataFrame:
     """rows has doc_id, text and carried, which comes back beside the text that is left and the counts."""
     trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim)
     rows = rows.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
@@ -124,7 +122,9 @@ def _deduped(rows: DataFrame) -> DataFrame:
     owners = held.groupBy("hash").agg(F.count("*").alias("texts"), F.min(_rank()).alias("owner")).where("texts > 1")
     links = held.join(owners, "hash").where("key <> owner.key").groupBy(F.col("owner.key").alias("owner"), "key").agg(
         F.min("texts").alias("rarest"), F.sum("words").alias("shared")
-    ).where((F.col("rarest") <= RARE_TEXTS) | (F.col("shared") >= COMMON_WORDS))
+    )
+    if spare_common:
+        links = links.where((F.col("rarest") <= RARE_TEXTS) | (F.col("shared") >= COMMON_WORDS))
     earlier = texts.select(F.col("key").alias("owner"), F.col("hashes").alias("owner_hashes"))
     pairs = links.select("owner", "key").join(earlier, "owner").join(texts.select("key", "hashes", "words"), "key")
     gone = pairs.select("key", "owner_hashes", "hashes", "words").mapInArrow(_align, "key binary, places array<int>")
@@ -140,20 +140,24 @@ def _deduped(rows: DataFrame) -> DataFrame:
     return joined.select("doc_id", "carried", kept.alias("text"), n_lines.alias("n_lines"), F.greatest(removed, F.lit(0)).alias("n_removed"))
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
+def dedup_lines(documents: DataFrame, spare_common: bool = True) -> DataFrame:
     """Delete from every document the aligned blocks that it shares with an earlier one.
 
     Earlier means a smaller doc_id; an exact copy of an earlier text loses all its lines.
     Lines are compared without the white space around them. Only lines of LINE_WORDS words
     or more link documents; a block goes if it has BLOCK_WORDS words.
 
+    spare_common: lines that more than RARE_TEXTS texts hold link two texts only if these
+    share COMMON_WORDS words of them, so a lone license line stays. What goes then depends
+    on the size of the table; op3_lines and the pipeline do without it.
+
     Returns doc_id, text (the lines left, null if the text was null), n_lines and n_removed.
     A null or empty text has no lines; a repeated row (same id, same text) is the same
     document and keeps its lines as often; null ids come last; other columns are ignored;
     no rows give no rows.
     """
     rows = documents.select("doc_id", "text", F.lit(None).cast("int").alias("carried"))
-    return _deduped(rows).drop("carried")
+    return _deduped(rows, spare_common).drop("carried")
 
 
 def with_deduped_text(documents: DataFrame) -> DataFrame:

@@ -365,6 +365,18 @@ def test_large_groups_lose_shared_passages(spark):
     assert all(found[1000 + i] == 0 for i in range(60))
 
 
+def test_common_lines_go_at_any_size(spark):
+    """A line of any number of texts, and a passage whose lines belong to two first holders."""
+    body = [" ".join(f"word{i}{j}" for j in range(10)) for i in range(6)]
+    license_ = "Licensed under the usual terms here"
+    rows = [(0, "\n".join([*body[:3], "number 0 has lines of its own"])), (1, "\n".join([*body, "number 1 has lines of its own"]))]
+    rows += [(i, "\n".join([*body, f"number {i} has lines of its own"])) for i in range(2, 200)]
+    rows += [(1000 + i, f"{license_}\nalone {i} stands here now") for i in range(60)]
+    found = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), spare_common=False).collect()}
+    assert found[0] == 0 and found[1] == 3 and all(found[i] == 6 for i in range(2, 200))
+    assert found[1000] == 0 and all(found[1000 + i] == 1 for i in range(1, 60))
+
+
 def test_patience():
     a, b = list("abcdefg"), list("xbcyefz")
     assert [(a[i], b[j]) for i, j in lines.patience_pairs(a, b)] == [("b", "b"), ("c", "c"), ("e", "e"), ("f", "f")]

@@ -4,7 +4,8 @@ Texts are reduced to line hashes, and exact copies to one text. A line that seve
 hold links each of them to the first that holds it, so links grow with the lines and never
 with the square of a group, and every link is followed, however many texts hold the line.
 Linked texts are aligned by patience diff on their hashes, and the aligned blocks are
-deleted from the later document. The first holder of a line never loses it.
+deleted from the later document, as are blocks that the alignment passes over because they
+are repeated or stand in another order. The first holder of a line never loses it.
 """
 
 from __future__ import annotations
@@ -73,8 +74,76 @@ def patience_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class Runs:
+    """Every run of a list, as a suffix automaton; tells how far a reading of another list is a run of this one."""
+
+    def __init__(self, items: list[int]) -> None:
+        self.after: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        last = 0
+        for x in items:
+            new = self._state({}, 0, self.length[last] + 1)
+            p = last
+            while p >= 0 and x not in self.after[p]:
+                self.after[p][x] = new
+                p = self.link[p]
+            if p >= 0:
+                q = self.after[p][x]
+                if self.length[q] > self.length[p] + 1:
+                    twin = self._state(dict(self.after[q]), self.link[q], self.length[p] + 1)
+                    while p >= 0 and self.after[p].get(x) == q:
+                        self.after[p][x] = twin
+                        p = self.link[p]
+                    self.link[q] = q = twin
+                self.link[new] = q
+            last = new
+
+    def _state(self, after: dict[int, int], link: int, length: int) -> int:
+        self.after.append(after)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.after) - 1
+
+    def step(self, state: int, n: int, x: int) -> tuple[int, int]:
+        """The state and length of the longest run that ends with x, after a run of n items at state."""
+        while state and x not in self.after[state]:
+            state = self.link[state]
+            n = self.length[state]
+        return (self.after[state][x], n + 1) if x in self.after[state] else (0, 0)
+
+
+def repeated_blocks(a: list[int], b: list[int], words: list[int], gone: list[int], least: int = BLOCK_WORDS) -> list[int]:
+    """Places of b outside gone that lie in a block, outside gone, of at least so many words that a holds anywhere."""
+    known, taken = set(a), set(gone)
+    parts: list[list[int]] = [[]]
+    for j, x in enumerate(b):
+        if x in known and j not in taken:
+            parts[-1].append(j)
+        elif parts[-1]:
+            parts.append([])
+    parts = [p for p in parts if sum(words[j] for j in p) >= least]
+    runs = Runs(a) if parts else None
+    out: list[int] = []
+    for part in parts:
+        before = [0]  # words before each place of the part
+        for j in part:
+            before.append(before[-1] + words[j])
+        state = n = 0
+        open_from = 0  # places of the part from here on are not in out
+        for k, j in enumerate(part):
+            state, n = runs.step(state, n, b[j])
+            if before[k + 1] - before[k + 1 - n] >= least:
+                out += part[max(open_from, k + 1 - n) : k + 1]
+                open_from = k + 1
+    return out
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int], least: int = BLOCK_WORDS) -> list[int]:
-    """Places in b of the aligned blocks that hold at least so many words."""
+    """Places in b of the blocks of at least so many words that a holds.
+
+    First those of the alignment; then, among the lines it leaves, those that repeat or
+    stand in another order, until no block of so many words is left.
+    """
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -85,7 +154,7 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least: int = BLO
             block = []
         block.append(pair[1])
         last = pair
-    return out
+    return out + repeated_blocks(a, b, words, out, least)
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -389,6 +389,23 @@ def test_patience():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
 
 
+def test_repeated_and_swapped_blocks():
+    p, q = ["p1", "p2", "p3"], ["q1", "q2"]
+    cases = [([*p, "tail"], ["head", *p, "mid", *p, "end"], [1, 2, 3, 5, 6, 7]), ([*p, "x", *p, "y"], ["head", *p, "end"], [1, 2, 3]), ([*p, "x", *q], [*q, "y", *p], [0, 1, 3, 4, 5])]
+    for a, b, want in cases:
+        assert sorted(lines.common_blocks(a, b, [5] * len(b))) == want
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 16))] for _ in range(2))
+        words_ = [(x * 7) % 4 for x in b]
+        gone = lines.common_blocks(a, b, words_)
+        assert len(gone) == len(set(gone))
+        held = lambda i, j: any(b[i:j] == a[k : k + j - i] for k in range(len(a)))
+        blocks = [range(i, j) for i in range(len(b)) for j in range(i + 1, len(b) + 1) if sum(words_[i:j]) >= 5 and held(i, j)]
+        assert set(gone) <= {k for x in blocks for k in x}
+        assert all(set(x) & set(gone) for x in blocks)
+
+
 # --- chat
 
 

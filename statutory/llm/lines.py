@@ -3,6 +3,8 @@
 Texts are reduced to line hashes, and exact copies to one text. A line that several texts
 hold links each of them to the first that holds it, so links grow with the lines and never
 with the square of a group, and every link is followed, however many texts hold the line.
+Lines of fewer than LINE_WORDS words link by the shortest runs of neighbours that have so
+many words, from the line forward and back, so passages of short lines are found as well.
 Linked texts are aligned by patience diff on their hashes, and the aligned blocks are
 deleted from the later document, as are blocks that the alignment passes over because they
 are repeated or stand in another order. The first holder of a line never loses it.
@@ -24,6 +26,11 @@ RARE_TEXTS = 50
 COMMON_WORDS = 50
 LINE_WORDS = 5
 BLOCK_WORDS = 5
+#: White space, and the letters of scripts without blanks: one (Chinese, Japanese) or four (Thai, Lao, Burmese, Khmer) count as a word.
+_BLANKS = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SIGNS = r"\x{3005}-\x{3007}\x{3041}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}"
+_LETTERS = r"\x{E01}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}"
+WORD = f"[^{_BLANKS}{_SIGNS}{_LETTERS}]++|[{_SIGNS}]|[{_LETTERS}]{{1,4}}+"
 
 
 def patience_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -173,6 +180,39 @@ def _rank(first: str = "first", key: str = "key") -> Column:
     return F.struct(F.col(first).isNull().alias("none"), F.col(first).alias("id"), F.col(key).alias("key"))
 
 
+def _run(lines: Column) -> Column:
+    """Hash of the shortest beginning of lines that has LINE_WORDS words, with its inner blank lines; null if there is none."""
+
+    def longer(run: Column, x: Column) -> Column:
+        # the distance tells how many blank lines lie between; it keeps forward and backward runs apart too
+        grown = F.struct(F.xxhash64(run["hash"], x["at"] - run["at"], x["hash"]).alias("hash"), x["at"].alias("at"), (run["words"] + x["words"]).alias("words"))
+        return F.when(run["words"] >= LINE_WORDS, run).otherwise(grown)
+
+    first = F.element_at(lines, 1)
+    start = F.struct(first["hash"].alias("hash"), first["at"].alias("at"), first["words"].alias("words"))
+    return F.aggregate(F.slice(lines, 2, LINE_WORDS - 1), start, longer, lambda last: F.when(last["words"] >= LINE_WORDS, last["hash"]))
+
+
+def _full() -> Column:
+    """Hash, words and place of the lines that are not blank."""
+    placed = F.transform(F.arrays_zip("hashes", "words"), lambda line, at: F.struct(line["hashes"].alias("hash"), line["words"].alias("words"), at.alias("at")))
+    return F.filter(placed, lambda kept: kept["words"] > 0)
+
+
+def _links() -> Column:
+    """What links a text, with its words: the hashes of its long lines, and of the runs about its short ones, which count no words."""
+    full = F.col("full")
+
+    def runs(short: Column, i: Column) -> Column:
+        start = F.greatest(i - (LINE_WORDS - 2), F.lit(1))
+        return F.when(short["words"] < LINE_WORDS, F.array(_run(F.slice(full, i + 1, LINE_WORDS)), _run(F.reverse(F.slice(full, start, i + 2 - start)))))
+
+    own = F.transform(F.filter(full, lambda long: long["words"] >= LINE_WORDS), lambda one: F.struct(one["hash"].alias("hash"), one["words"].alias("words")))
+    about = F.flatten(F.filter(F.transform(full, runs), lambda both: both.isNotNull()))
+    about = F.transform(F.filter(about, lambda run: run.isNotNull()), lambda found: F.struct(found.alias("hash"), F.lit(0).alias("words")))
+    return F.array_distinct(F.concat(own, about))
+
+
 def _deduped(rows: DataFrame, spare_common: bool = False) -> DataFrame:
     """rows has doc_id, text and carried, which comes back beside the text that is left and the counts."""
     trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim)
@@ -181,13 +221,12 @@ def _deduped(rows: DataFrame, spare_common: bool = False) -> DataFrame:
         "doc_id",
         "key",
         F.transform(trimmed, lambda x: F.xxhash64(x)).alias("hashes"),
-        F.transform(trimmed, lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, " ")))).alias("words"),
+        F.transform(trimmed, lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"),
     )
     texts = materialize(
         lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("hashes").alias("hashes"), F.first("words").alias("words"))
     )
-    linking = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= LINE_WORDS)
-    held = texts.select("key", "first", F.explode(F.array_distinct(linking)).alias("line")).select("key", "first", F.col("line.hashes").alias("hash"), F.col("line.words").alias("words"))
+    held = texts.select("key", "first", _full().alias("full")).select("key", "first", F.explode(_links()).alias("line")).select("key", "first", "line.hash", "line.words")
     owners = held.groupBy("hash").agg(F.count("*").alias("texts"), F.min(_rank()).alias("owner")).where("texts > 1")
     links = held.join(owners, "hash").where("key <> owner.key").groupBy(F.col("owner.key").alias("owner"), "key").agg(
         F.min("texts").alias("rarest"), F.sum("words").alias("shared")
@@ -213,8 +252,10 @@ def dedup_lines(documents: DataFrame, spare_common: bool = True) -> DataFrame:
     """Delete from every document the aligned blocks that it shares with an earlier one.
 
     Earlier means a smaller doc_id; an exact copy of an earlier text loses all its lines.
-    Lines are compared without the white space around them. Only lines of LINE_WORDS words
-    or more link documents; a block goes if it has BLOCK_WORDS words.
+    Lines are compared without the white space around them. Lines of LINE_WORDS words
+    or more link documents, and so do runs of neighbours about shorter lines; a block goes
+    if it has BLOCK_WORDS words. Words are parted by any white space; of scripts without
+    blanks one sign or four letters count as a word.
 
     spare_common: lines that more than RARE_TEXTS texts hold link two texts only if these
     share COMMON_WORDS words of them, so a lone license line stays. What goes then depends

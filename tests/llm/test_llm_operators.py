@@ -389,6 +389,18 @@ def test_patience():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
 
 
+def test_passages_of_short_lines(spark):
+    """Verse, lists with blank lines, tabs, and scripts without blanks."""
+    verse = ["roses are red", "violets", "", "sugar is sweet", "so"]
+    rows = [(0, "\n".join(["first", *verse, "end"])), (1, "\n".join([*verse, "other"])), (2, "\n".join(["lone", "roses are red", "here"]))]
+    rows += [(10, "a\tb\tc\td\te\nown"), (11, "mine\na\tb\tc\td\te")]
+    rows += [(20, "春眠不覚暁\n一"), (21, "二\n春眠不覚暁"), (30, "สวัสดีครับยินดีที่ได้รู้จัก\nก"), (31, "ข\nสวัสดีครับยินดีที่ได้รู้จัก"), (40, "漢字\n一"), (41, "漢字\n二")]
+    rows += [(50, "only one line of seven words here\nnot"), (51, "only one line of seven words here\nso short"), (52, "begin\nonly one line of seven words here\nso short")]
+    rows += [(60, "unlike\nonly two\nthe last line with six words"), (61, "so short\nthe last line with six words"), (62, "so short\nthe last line with six words\nleft")]
+    found = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), spare_common=False).collect()}
+    assert found == {0: 0, 1: 5, 2: 0, 10: 0, 11: 1, 20: 0, 21: 1, 30: 0, 31: 1, 40: 0, 41: 0, 50: 0, 51: 1, 52: 2, 60: 0, 61: 1, 62: 2}
+
+
 def test_repeated_and_swapped_blocks():
     p, q = ["p1", "p2", "p3"], ["q1", "q2"]
     cases = [([*p, "tail"], ["head", *p, "mid", *p, "end"], [1, 2, 3, 5, 6, 7]), ([*p, "x", *p, "y"], ["head", *p, "end"], [1, 2, 3]), ([*p, "x", *q], [*q, "y", *p], [0, 1, 3, 4, 5])]

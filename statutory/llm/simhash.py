@@ -193,10 +193,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
 
 
+def _row_key() -> Column:
+    """Names a row by its id and text, both null-safe."""
+    return F.concat(*[F.coalesce(F.unhex(F.md5(F.col(c).cast("string"))), F.lit("-").cast("binary")) for c in ("doc_id", "text")])
+
+
 def keep_one_per_group(documents: DataFrame) -> DataFrame:
-    """The rows whose doc_id names their component, with all columns: one document of each group of near-copies.
+    """One row of each group of near-copies, with all columns.
 
-    Of rows that repeat an id with different texts every one whose id names its component stays.
+    It is the row with the smallest id, null ids last; of several texts of that id, one that
+    belongs to the group. Rows without an id stand for themselves, so a text that only they
+    hold stays once. Rows that repeat id and text are one row.
     """
-    kept = near_duplicates(documents).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), _row_key().alias("row"))
+    kept = near_duplicates(documents.select(name.alias("doc_id"), "text")).select(F.col("component_id.row").alias("_row")).distinct()
+    return documents.withColumn("_row", _row_key()).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

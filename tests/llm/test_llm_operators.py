@@ -176,6 +176,18 @@ def test_simhash(documents, texts):
     assert {r.doc_id for r in kept.collect()} == set(least.values())
 
 
+def test_one_row_of_every_group_is_kept(spark):
+    """Rows without an id, repeated rows, and one id with the texts of two groups."""
+    rng = random.Random(8)
+    one, two, three, four = (words(rng, 60, 10**6) for _ in range(4))
+    rows = [(None, one), (None, two), (None, two), (3, three), (3, three), (1, four), (3, four), (5, three), (None, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("other", F.lit(1))
+    kept = simhash.keep_one_per_group(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, one), (None, two), (3, three), (1, four)])
+    assert simhash.keep_one_per_group(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("bucket_rows", [2000, 1])
 def test_links_of_close_fingerprints(spark, bucket_rows):
     """A dense group and far ones: what links within four bits is connected, in large buckets too."""

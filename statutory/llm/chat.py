@@ -3,7 +3,8 @@
 Messages form trees by (tree, node, parent). Iterative self-joins give every message the
 one 1, 2, 4, ... places above it; by the binary digits of their distance these lead from
 each leaf to all messages above it, once each. The rounds grow with the logarithm of the
-depth, and the rows with the length of the paths. Of the paths of a tree the best by score are chosen and formatted as one text each.
+depth, and the rows with the length of the paths. Of the paths of a tree the best by score
+are chosen and formatted as one text each.
 
 The template is `<s>[role]text</s>` per turn. `&`, `<`, `[` and `]` inside roles and texts
 (and line breaks inside roles) are written as character references, so no control string
@@ -73,7 +74,9 @@ def best_paths(found: DataFrame, per_tree: int = 1) -> DataFrame:
 def format_paths(chosen: DataFrame, messages: DataFrame) -> DataFrame:
     """One text per chosen path: tree, rank, formatted and loss (spans of code points to learn from).
 
-    The loss mask covers every assistant text, without the template around it.
+    The loss mask covers every assistant text, without the template around it. Null roles
+    and texts are empty; steps without a message are passed over; a message that is given
+    twice is two turns; no paths give no rows.
     """
     steps = chosen.select("tree", "rank", F.posexplode("path").alias("place", "node"))
     turns = steps.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
@@ -123,7 +126,7 @@ def linear_trees(conversations: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order))
     return rows.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree"),
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")).alias("tree"),  # no id is the tree "null"
         "node",
         F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"),
         F.lit(None).cast("double").alias("score"),
@@ -141,7 +144,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     messages = materialize(linear_trees(conversations))
     done = format_paths(best_paths(paths(messages)), messages)
     kind = conversations.schema["conv_id"].dataType.simpleString()
-    return done.select(F.expr(f"try_cast(tree as {kind})").alias("conv_id"), "formatted", "loss")
+    return done.select(F.expr(f"if(tree = 'null', null, try_cast(substring(tree, 2) as {kind}))").alias("conv_id"), "formatted", "loss")
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
@@ -164,10 +167,11 @@ CONTROL_CONVERSATION = ((0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "
 
 
 def with_control_conversation(conversations: DataFrame) -> DataFrame:
-    """The conversations and conversation -1, whose texts hold control strings."""
+    """The conversations and conversation -1 (of their type of id), whose texts hold control strings."""
     rows = conversations.select("conv_id", "turn", "role", "text")
     extra = rows.sparkSession.createDataFrame([(-1, *turn) for turn in CONTROL_CONVERSATION], "conv_id long, turn long, role string, text string")
-    return rows.unionByName(extra)
+    kind = rows.schema["conv_id"].dataType
+    return rows.unionByName(extra.withColumn("conv_id", F.col("conv_id").cast(kind)))
 
 
 CHAT_SQL = """

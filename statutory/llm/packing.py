@@ -6,13 +6,12 @@ number of documents. On it: patterns of one to three lengths that fill a sequenc
 enumerated, their repeat counts are fitted to the histogram by non-negative least squares
 and rounded, and what is left over is packed best-fit, longest first. The result is a short
 list of (pattern, repeats). Pieces find their place in it by their rank among the pieces of
-their length; ranks come from counts per (length, bucket), so no length meets in one task.
+their length; ranks come from counts per (length, part), so no length meets in one task.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -29,14 +28,18 @@ from statutory.llm.common import materialize, same_rows, slices
 
 CAPACITY = 1024
 END_ID = 2
-#: Chunks whose ids a Python worker remembers.
-CACHE_CHUNKS = 400_000
-#: Parts into which the pieces of one length are dealt for their ranks.
-RANK_BUCKETS = 128
-
-
-def tokenizer_ranks() -> str:
-    """The file of byte_bpe_50k's vocabulary as ranks; it gives the ids that byte_bpe_50k.json gives."""
+#: Chunks after which a Python worker forgets those that it has not met since as many were new.
+CACHE_CHUNKS = 300_000
+#: Pieces of one length that meet in one task for their ranks; the parts of a length grow with their number.
+RANK_ROWS = 20_000
+#: Counts of parts are broadcast up to this number of rows, and joined by a shuffle beyond it.
+BROADCAST_COUNTS = 1_000_000
+#: The vocabulary's token that is met inside texts, fixed by its file.
+SPECIAL = "<|endoftext|>"
+
+
+def tokenizer_path() -> str:
+    """The file of byte_bpe_50k's vocabulary as ranks; it gives the ids that byte_bpe_50k.json gives, in a third of the time."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,8 +48,9 @@ def tokenizer_ranks() -> str:
 class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit words.
 
-    The pattern never joins what lies on both sides of a lone space, so such texts are
-    encoded chunk by chunk, and the ids of chunks that were met before are looked up.
+    The pattern never joins what lies on both sides of a lone space or line break, so such
+    texts are encoded chunk by chunk, and the ids of chunks that were met before are looked
+    up. New chunks of a text are encoded together and parted where a token opens a chunk.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -55,9 +59,12 @@ class Encoder:
         import public_tokenizers
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-        self._encode = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        # the special token's id follows the ranks; it is met in texts, as the other library does by default
+        self._bpe = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
+        self._opens = np.zeros(len(ranks) + 1, bool)
+        self._opens[[i for x, i in ranks.items() if x[:1] == b" " or x == b"\n"]] = True
         self._known: dict[str, bytes] = {}
-        self._uneven = re.compile(r"\s\s|^\s|\s$")
+        self._older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,24 +73,41 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self._encode(text), "<u4").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._bpe.encode(text, allowed_special="all"), "<u4")
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Make sure that the ids of chunks are known; those not met for long are forgotten."""
+        if len(self._known) > CACHE_CHUNKS:
+            self._known, self._older = {}, self._known
+        new = []
+        for chunk in chunks.difference(self._known):
+            if chunk in self._older:
+                self._known[chunk] = self._older[chunk]
+            else:
+                new.append(chunk)
+        framed = [c if c[0] == "\n" else f" {c}" for c in new]
+        ids = self._ids("".join(framed))
+        begins = np.flatnonzero(self._opens[ids])
+        if len(begins) == len(new) and (not len(new) or begins[0] == 0):
+            data, cuts = ids.tobytes(), [*(4 * begins).tolist(), 4 * len(ids)]
+            self._known.update((c, data[i:j]) for c, i, j in zip(new, cuts, cuts[1:], strict=False))
+        else:
+            self._known.update((c, self._ids(f).tobytes()) for c, f in zip(new, framed, strict=True))
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self._uneven.search(text):
-            return self._ids(text)
-        head, *rest = text.split(" ")
-        known = self._known
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
+        words = text.split()
+        if len(text) - len("".join(words)) != len(words) - 1 or SPECIAL in text:  # white space side by side, or at an end
+            return self._ids(text).tobytes()
+        chunks = ("\n" + text).replace("\n", " \n").split(" ")[1:]  # the first one is read as after a line break
         try:
-            return self._ids(head) + b"".join(map(known.__getitem__, rest))
+            found = b"".join(map(self._known.__getitem__, chunks))
         except KeyError:
-            for chunk in set(rest).difference(known):
-                known[chunk] = self._ids(" " + chunk)
-            return self._ids(head) + b"".join(map(known.__getitem__, rest))
+            self._learn(set(chunks))
+            found = b"".join(map(self._known.__getitem__, chunks))
+        return found[4:]  # without that line break
 
 
 def _piece_batches(path: str, capacity: int, end_id: int):
@@ -222,13 +246,20 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
 
 
 def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Give every row of found (with a length from 1 to capacity) its sequence_id and offset."""
-    dealt = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(RANK_BUCKETS)))
-    dealt = materialize(dealt)
-    counts = materialize(dealt.groupBy("length", "_bucket").count())  # at most capacity x RANK_BUCKETS rows
+    """Give every row of found its sequence_id and offset.
+
+    found has doc_id, piece, start, ids_crc32 and a length from 1 to capacity, never null. Rows
+    that are equal in all of these are placed each for itself, in any order; null ids come
+    first among their length; no rows give no rows.
+    """
+    found = materialize(found)
+    totals = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    parts = F.array(*[F.lit(-(-totals.get(i, 1) // RANK_ROWS)).cast("long") for i in range(capacity + 1)])
+    dealt = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.element_at(parts, (F.col("length") + 1).cast("int"))))
+    counts = materialize(dealt.groupBy("length", "_bucket").count())
     histogram = np.zeros(capacity + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most capacity rows
-        histogram[r["length"]] = r["n"]
+    for length, n in totals.items():
+        histogram[length] = n
     slots: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # by length: first rank, first sequence, offset
     next_rank, next_id = np.zeros(capacity + 1, np.int64), 0
     for lengths, times in plan(histogram, capacity):
@@ -238,9 +269,10 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             next_rank[length] += times
             offset += length
         next_id += times
-    before = counts.withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count"))
+    before = counts.withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count")).drop("count")
+    few = sum(-(-n // RANK_ROWS) for n in totals.values()) <= BROADCAST_COUNTS
     own = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    ranked = dealt.withColumn("_rank", own.cast("long") - 1).join(F.broadcast(before.drop("count")), ["length", "_bucket"])
+    ranked = dealt.withColumn("_rank", own.cast("long") - 1).join(F.broadcast(before) if few else before, ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before", "_bucket")
     kinds = ranked.drop("length", "_rank").schema
     names = [*kinds.names, "length"]
@@ -271,5 +303,5 @@ def pack(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY
     Null and empty texts are one end_id; repeated rows are packed as often as they occur,
     also without an id; other columns are ignored; no rows give no rows.
     """
-    found = pieces(documents, path or tokenizer_ranks(), capacity, end_id)
+    found = pieces(documents, path or tokenizer_path(), capacity, end_id)
     return place(found, capacity)

@@ -7,9 +7,8 @@ Inside a bucket every fingerprint has its row of a pivot table: its Hamming dist
 fixed reference fingerprints. By the triangle inequality a pair whose distances to any
 pivot differ by more than four is no link; the pairs that survive are verified.
 
-A bucket that is larger than `bucket_rows` is split once more by blocks of its remaining
-bits, of which one agrees for every link inside it, so that no bucket meets in one task
-because of its key alone. Links leave a bucket as a spanning forest: once a fingerprint is
+A bucket that is larger than `bucket_rows` is split by blocks of its remaining bits, of
+which one agrees for every link inside it, as often as it takes. Links leave a bucket as a spanning forest: once a fingerprint is
 reached it needs no further partner, so a large group of copies never becomes all its pairs.
 """
 
@@ -38,6 +37,10 @@ PIVOTS = 16
 SMALL = 32
 #: Keys of large buckets are broadcast up to this number, and joined by a shuffle beyond it.
 BROADCAST_BUCKETS = 100_000
+#: Buckets that leave so many bits open hold at most 2 ** FREE_BITS fingerprints and are not split.
+FREE_BITS = 22
+#: Tasks over which the fingerprints of one component are spread.
+SALTS = 32
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -149,28 +152,59 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield search(held_keys, held)
 
 
-def _part(at: int, bits: int) -> Column:
-    return F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def finer_masks(mask: int, parts: int = MAX_BITS + 1) -> list[int]:
+    """The mask with one more of `parts` equal blocks of the bits it leaves out; every link inside a bucket agrees in one."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * k // parts for k in range(parts + 1)]
+    return [mask | sum(1 << b for b in free[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 def fingerprint_links(prints: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links a, b between the distinct fingerprints in column fp that connect what links within MAX_BITS connect."""
-    tables = list(combinations(range(len(BLOCKS)), 2))
-    keys, finer = [], []
-    for t, (i, j) in enumerate(tables):
-        keys.append(F.lit(t << 40).cast("long") + F.shiftleft(_part(*BLOCKS[i]), 11) + _part(*BLOCKS[j]))
-        # of the four other blocks, one cut in two, at most four are changed by a link: one of five parts agrees
-        spans = [BLOCKS[k] for k in range(len(BLOCKS)) if k not in (i, j)]
-        half = spans[0][1] // 2
-        spans = [(spans[0][0], half), (spans[0][0] + half, spans[0][1] - half), *spans[1:]]
-        parts = [F.lit(k + 1 << 36).cast("long") + F.shiftleft(_part(*x), 22) for k, x in enumerate(spans)]
-        finer.append(F.when(F.shiftright("bucket", 40) == t, F.array(*parts)))
-    rows = prints.select("fp", F.explode(F.array(*keys)).alias("bucket"))
-    large = materialize(rows.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.lit(True).alias("large")))
-    small_table = large.count() <= BROADCAST_BUCKETS
-    rows = rows.join(F.broadcast(large) if small_table else large, "bucket", "left")
-    rows = rows.select("fp", F.explode(F.when(F.col("large"), F.transform(F.coalesce(*finer), lambda x: x + F.col("bucket"))).otherwise(F.array("bucket"))).alias("bucket"))
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, "a long, b long")
+    """Links a, b between the distinct fingerprints in column fp that connect what links within MAX_BITS connect.
+
+    A bucket is a mask of bits and what a fingerprint has there. Buckets of more than
+    bucket_rows are split by finer masks, again and again, until none is so large or their
+    masks leave out at most FREE_BITS bits, which bounds the distinct fingerprints in one.
+    """
+    spark = prints.sparkSession
+    blocks = [((1 << n) - 1) << at for at, n in BLOCKS]
+    masks = sorted({a | b for a, b in combinations(blocks, 2)}, key=int.bit_count)
+    rows = prints.select("fp", F.explode(F.array(*[F.lit(_signed(m)).cast("long") for m in masks])).alias("mask"))
+    part = F.col("fp").bitwiseAND(F.col("mask"))
+    small: DataFrame | None = None
+    while True:
+        rows = rows.select("fp", "mask", part.alias("part"))
+        large = materialize(rows.groupBy("mask", "part").count().where(F.col("count") > bucket_rows).select("mask", "part", F.lit(True).alias("large")))
+        n = large.count() if masks[0].bit_count() < 64 - FREE_BITS else 0
+        if n:
+            rows = rows.join(F.broadcast(large) if n <= BROADCAST_BUCKETS else large, ["mask", "part"], "left")
+        done = rows.where("large is null").select("fp", "mask", "part") if n else rows
+        small = done if small is None else small.unionByName(done)
+        if not n:
+            break
+        pairs = [(_signed(m), _signed(x)) for m in masks for x in finer_masks(m)]  # 15 x 5 on the first turn
+        finer = spark.createDataFrame(pairs, "mask long, finer long")
+        masks = sorted({x for m in masks for x in finer_masks(m)}, key=int.bit_count)  # the first leaves out most
+        rows = materialize(rows.where("large").join(F.broadcast(finer), "mask").select("fp", F.col("finer").alias("mask")))
+    found = small.select("fp", F.xxhash64("mask", "part").alias("bucket"))  # buckets of one hash are compared together
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, "a long, b long")
+
+
+def _names(least: DataFrame, roots: DataFrame) -> DataFrame:
+    """fp and component_id of the fingerprints that have a link.
+
+    A component may hold a large share of all fingerprints: its names are written SALTS
+    times, so that its fingerprints look them up in as many tasks.
+    """
+    linked = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
+    names = linked.join(least.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
+    salted = names.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    own = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    return own.join(salted, ["root", "salt"]).select(F.col("node").alias("fp"), "component_id")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -185,9 +219,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     docs = materialize(fingerprints(documents))
     least = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(fingerprint_links(least.select("fp")))
-    nodes = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = nodes.select("fp", "root").join(names, "root").select("fp", "component_id")
+    linked = _names(least, roots).withColumn("linked", F.lit(True))
+    member = least.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
     return docs.join(member, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -7,7 +7,8 @@ forward-backward marginals give every token of every document a probability; fro
 come the offending spans and, by a logistic fit on two of their aggregates, the score.
 
 The sample is bounded: SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents in the order of a
-hash of their id, of at most LONGEST_SAMPLE characters each. All of every text is scored.
+hash of their id, of at most LONGEST_SAMPLE characters each; the chain is trained on whole
+texts of it, of TRAIN_TOKENS tokens in all. All of every text is scored, as one chain.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ MARKER_PURITY = 0.97
 #: A beginning whose most frequent word is in this share of its documents marks nothing beyond that word.
 ONE_WORD = 0.8
 FEATURES = 1 << 16
-CHAIN = 128
-#: Chains to train on: those with toxic tokens first, then clean ones spread evenly over the sample.
-TRAIN_CHAINS = 4000
+#: Tokens to train on, in whole texts: at most two thirds in texts with toxic ones, then clean texts spread evenly over the sample.
+TRAIN_TOKENS = 600_000
+#: Places that texts walk together, and the number of texts below which each goes on alone.
+BAND, ALONE = 128, 12
 CACHE_WORDS = 400_000
 #: Tokens above this marginal are offending.
 SPAN_THRESHOLD = 0.5
@@ -136,92 +138,113 @@ class ChainModel:
 
     def marginals(self, lengths: list[int], emissions: np.ndarray) -> np.ndarray:
         """Probability of the toxic state for every token of texts with these many tokens."""
-        rows, mask = chain_rows(lengths)
-        if not len(rows):
-            return np.zeros(0)
-        padded = np.append(emissions, 0.0)[rows]
-        return forward_backward(padded, mask, self.transitions)[0][mask]
-
-
-def chain_rows(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Token places of all chains as rows of CHAIN, and which are filled; a text starts a chain, and so does every CHAIN-th token."""
-    total = sum(lengths)
-    begins, at = [], 0
-    for n in lengths:
-        begins += [(s, min(CHAIN, at + n - s)) for s in range(at, at + n, CHAIN)]
-        at += n
-    if not begins:
-        return np.zeros((0, CHAIN), np.int64), np.zeros((0, CHAIN), bool)
-    start, size = np.array(begins, np.int64).T
-    mask = np.arange(CHAIN)[None, :] < size[:, None]
-    return np.where(mask, start[:, None] + np.arange(CHAIN), total), mask
-
-
-def forward_backward(emissions: np.ndarray, mask: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the toxic state and expected transitions, for chains as rows.
-
-    With two states a message is one number, the log-odds of toxic over clean.
+        return forward_backward(lengths, emissions, self.transitions)[0]
+
+
+def _alone(odds: list[float], message: float, weights: tuple[float, float, float, float]) -> list[float]:
+    """The messages before each token of one text, walked from the given message on, and the one after its end."""
+    a, b, c, d = weights
+    out = [message]
+    for x in odds:
+        x *= message
+        message = (a + x * b) / (c + x * d)
+        out.append(message)
+    return out
+
+
+def forward_backward(lengths: list[int], emissions: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the toxic state for every token, and the expected transitions, of texts as uncut chains.
+
+    With two states a message is one number, the odds of toxic over clean. Texts walk together
+    by falling length, in bands of BAND places, and hand their messages from band to band; the
+    ends of the longest, of which fewer than ALONE are left, are walked one by one.
     """
-    (cc, ct), (tc, tt) = transitions
-    n, width = emissions.shape
-
-    def ahead(odds: np.ndarray) -> np.ndarray:
-        return np.logaddexp(ct, odds + tt) - np.logaddexp(cc, odds + tc)
-
-    def back(odds: np.ndarray) -> np.ndarray:
-        return np.logaddexp(tc, tt + odds) - np.logaddexp(cc, ct + odds)
-
-    forward, backward = np.zeros((width, n)), np.zeros((width, n))
-    columns, filled = np.ascontiguousarray(emissions.T), np.ascontiguousarray(mask.T)
-    for t in range(1, width):
-        forward[t] = ahead(forward[t - 1] + columns[t - 1])
-    for t in range(width - 2, -1, -1):
-        backward[t] = np.where(filled[t + 1], back(backward[t + 1] + columns[t + 1]), 0.0)
-    alpha, beta = forward + columns, backward
-    marginal = 1 / (1 + np.exp(-np.clip(alpha + beta, -40, 40)))
-    a, b = alpha[:-1], columns[1:] + beta[1:]
-    scores = np.stack([np.full_like(a, cc), ct + b, a + tc, a + tt + b])
-    scores -= scores.max(0)
-    pair = np.exp(scores)
-    pair = (pair / pair.sum(0) * filled[1:]).sum((1, 2)).reshape(2, 2)
-    return marginal.T, pair
+    cc, ct, tc, tt = np.exp(np.clip(transitions, -20, 20)).reshape(-1).tolist()
+    odds = np.exp(np.clip(emissions, -40, 40))
+    ahead, back = np.ones(len(odds)), np.ones(len(odds))
+    sizes = np.asarray(lengths, np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    begins = (np.cumsum(sizes) - sizes)[order]
+    sizes = sizes[order]
+    longer = lambda at: int((sizes > at).sum())  # noqa: E731  texts that reach place `at`, which come first
+    reach, bands = 0, []
+    while longer(reach) >= ALONE:
+        n = longer(reach)
+        places = np.arange(reach, reach + BAND)[:, None]
+        filled = places < sizes[None, :n]
+        bands.append((np.where(filled, begins[:n] + places, 0), filled))
+        reach += BAND
+    message = np.ones(len(sizes))
+    for rows, filled in bands:
+        message, here = message[: filled.shape[1]], odds[rows]
+        found = np.empty_like(here)
+        for t in range(BAND):
+            found[t] = message
+            x = here[t] * message
+            message = (ct + x * tt) / (cc + x * tc)
+        ahead[rows[filled]] = found[filled]
+    later = np.zeros(0)  # the message from the next band on, of the texts that have one
+    if tails := longer(reach):
+        later = np.ones(tails)
+        for i in range(tails):
+            rest = slice(begins[i] + reach, begins[i] + sizes[i])
+            own = odds[rest].tolist()
+            ahead[rest] = _alone(own, float(message[i]), (ct, tt, cc, tc))[:-1]
+            found = _alone(own[::-1], 1.0, (tc, tt, cc, ct))
+            back[rest] = found[-2::-1]
+            later[i] = found[-1]
+    for rows, filled in reversed(bands):
+        here = odds[rows]
+        found = np.empty_like(here)
+        message = np.ones(filled.shape[1])
+        message[: len(later)] = later
+        for t in range(BAND - 1, -1, -1):
+            found[t] = message
+            x = here[t] * message
+            message = np.where(filled[t], (tc + x * tt) / (cc + x * ct), 1.0)
+        back[rows[filled]] = found[filled]
+        later = message
+    both = ahead * odds * back
+    inner = np.ones(len(odds), bool)
+    inner[begins[sizes > 0]] = False  # first tokens follow none
+    after = np.flatnonzero(inner)
+    a, b = (ahead * odds)[after - 1], (odds * back)[after]
+    pair = np.stack([np.full(len(after), cc), ct * b, tc * a, tt * a * b])
+    return both / (1 + both), (pair / pair.sum(0)).sum(1).reshape(2, 2)
 
 
 def train_chain(texts: list[np.ndarray], labels: list[np.ndarray], vocabulary: list[bytes], rounds: int = 30, l2: float = 1e-6) -> ChainModel:
     """Fit the chain to token labels by gradient steps with per-weight rates; texts are arrays of word numbers."""
     model = ChainModel()
-    words = np.concatenate([*texts, np.zeros(0, np.int64)]).astype(np.int64)
+    positive = np.array([x.any() for x in labels], bool)
+    sizes = np.array([len(x) for x in texts], np.int64)
+    chosen: list[int] = []
+    for group, until in ((np.flatnonzero(positive), TRAIN_TOKENS * 2 // 3), (np.flatnonzero(~positive), TRAIN_TOKENS)):
+        room = until - int(sizes[chosen].sum())
+        step = max(1, -(-int(sizes[group].sum()) // max(1, room)))
+        spread = np.concatenate([group[k::step] for k in range(step)]).astype(int)
+        chosen += spread[np.cumsum(sizes[spread]) <= room].tolist()
+    words = np.concatenate([*(texts[i] for i in chosen), np.zeros(0, np.int64)]).astype(np.int64)
+    gold = np.concatenate([*(labels[i] for i in chosen), np.zeros(0)]).astype(float)
+    sizes = sizes[chosen].tolist()
     if not len(words):
         return model
-    gold = np.concatenate(labels).astype(float)
-    rows, mask = chain_rows([len(t) for t in texts])
-    positive = np.append(gold, 0.0)[rows].any(1)
-    chosen = np.flatnonzero(positive)[:TRAIN_CHAINS]
-    others = np.flatnonzero(~positive)
-    spread = max(1, -(-len(others) // max(1, TRAIN_CHAINS - len(chosen))))
-    chosen = np.sort(np.concatenate([chosen, others[::spread]]))
-    kept = rows[chosen][mask[chosen]]  # the trained tokens, chain by chain
-    sizes = mask[chosen].sum(1).tolist()
-    words, gold = words[kept], gold[kept]
     used, words = np.unique(words, return_inverse=True)
     ids = [feature_ids(vocabulary[i]) for i in used.tolist()]
     owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     flat = np.concatenate(ids)
-    rows, mask = chain_rows(sizes)
-    truth = np.append(gold, 0.0)[rows]
-    pairs = np.zeros((2, 2))
-    left, right, both = truth[:, :-1] > 0, truth[:, 1:] > 0, mask[:, 1:]
-    for i, a in enumerate((~left, left)):
-        for j, b in enumerate((~right, right)):
-            pairs[i, j] = (a & b & both).sum()
+    inner = np.ones(len(words), bool)
+    inner[np.cumsum([0, *sizes])[:-1][np.array(sizes) > 0]] = False
+    after = np.flatnonzero(inner)
+    pairs = np.bincount((2 * gold[after - 1] + gold[after]).astype(int), minlength=4).reshape(2, 2).astype(float)
     share = float(np.clip(gold.mean(), 1e-6, 1 - 1e-6))
     model.bias = math.log(share / (1 - share))
     squares, transition_squares, bias_squares = np.full(FEATURES, 1e-8), np.full((2, 2), 1e-8), 1e-8
     size = len(words)
     for _ in range(rounds):
         per_word = np.bincount(owner, model.weights[flat], len(ids)) + model.bias
-        marginal, expected = forward_backward(np.append(per_word[words], 0.0)[rows], mask, model.transitions)
-        error = np.bincount(words, gold - marginal[mask], len(ids))
+        marginal, expected = forward_backward(sizes, per_word[words], model.transitions)
+        error = np.bincount(words, gold - marginal, len(ids))
         gradient = np.bincount(flat, error[owner], FEATURES) / size - l2 * model.weights
         squares += gradient**2
         model.weights += gradient / np.sqrt(squares)

@@ -16,6 +16,19 @@ def count_by_period(rows: DataFrame, date: str, dimension: Column, period: str =
     return rows.where(F.col(date).isNotNull()).groupBy(start.alias("period"), dimension.alias("dimension")).agg(F.count("*").alias("count"))
 
 
+def counts_by_kind(rows: DataFrame, date: str, kinds: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Rows per kind, period and dimension, for several kinds (name: period and an array of dimensions) in one scan."""
+    at = F.col(date).cast("timestamp")
+
+    def of(name: str, period: str, dimensions: Column) -> Column:
+        start = F.to_date(F.date_trunc(period, at))
+        return F.transform(dimensions, lambda x: F.struct(F.lit(name).alias("kind"), start.alias("period"), x.alias("dimension")))
+
+    found = F.concat(*[F.coalesce(of(name, *how), F.array()) for name, how in kinds.items()])
+    keys = rows.where(F.col(date).isNotNull()).select(F.explode(found).alias("key")).select("key.*")
+    return keys.groupBy("kind", "period", "dimension").agg(F.count("*").alias("count"))
+
+
 def with_share(counts: DataFrame) -> DataFrame:
     """Percent of the period's total, one decimal."""
     total = F.sum("count").over(Window.partitionBy("period"))

@@ -18,10 +18,10 @@ def bill_counts(t: Tables, dimension: str, period: str = "month") -> DataFrame:
     if dimension in ("subject", "classification"):
         bills = bills.withColumn(dimension, F.explode(dimension))
     column = F.coalesce(dimension, F.lit("unknown")) if dimension == "status" else F.col(dimension)
-    return A.count_by_period(bills, "introduced_date", column, period)
+    return A.count_by_period(bills, "created_at", column, period)
 
 
-_COUNTS = "SELECT CAST(date_trunc('{p}', introduced_date) AS DATE) AS period, {d} AS dimension, count(*) AS count FROM {f} GROUP BY 1, 2"
+_COUNTS = "SELECT CAST(date_trunc('{p}', created_at) AS DATE) AS period, {d} AS dimension, count(*) AS count FROM {f} GROUP BY 1, 2"
 
 
 @query("trend_bills", " UNION ALL ".join(
@@ -29,16 +29,18 @@ _COUNTS = "SELECT CAST(date_trunc('{p}', introduced_date) AS DATE) AS period, {d
     for name, p, d, f in (
         ("jurisdiction_id", "month", "jurisdiction_id", "v_bills"),
         ("status", "quarter", "coalesce(status, 'unknown')", "v_bills"),
-        ("subject", "year", "subject", "(SELECT introduced_date, unnest(subject) AS subject FROM v_bills) b"),
-        ("classification", "year", "classification", "(SELECT introduced_date, unnest(classification) AS classification FROM v_bills) b"),
+        ("subject", "year", "subject", "(SELECT created_at, unnest(subject) AS subject FROM v_bills) b"),
+        ("classification", "year", "classification", "(SELECT created_at, unnest(classification) AS classification FROM v_bills) b"),
     )
 ))
 def trend_bills(t: Tables) -> DataFrame:
-    out = None
-    for kind, period in (("jurisdiction_id", "month"), ("status", "quarter"), ("subject", "year"), ("classification", "year")):
-        one = bill_counts(t, kind, period).withColumn("kind", F.lit(kind))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The four groupings of bills in one scan and one aggregate."""
+    return A.counts_by_kind(t.bills, "created_at", {
+        "jurisdiction_id": ("month", F.array("jurisdiction_id")),
+        "status": ("quarter", F.array(F.coalesce("status", F.lit("unknown")))),
+        "subject": ("year", F.col("subject")),
+        "classification": ("year", F.col("classification")),
+    })
 
 
 @query("trend_actions", "SELECT CAST(date_trunc('month', action_date) AS DATE) AS period, dimension, count(*) AS count FROM (SELECT action_date, unnest(classification) AS dimension FROM v_bill_actions) a GROUP BY 1, 2")
@@ -47,7 +49,7 @@ def trend_actions(t: Tables) -> DataFrame:
     return A.count_by_period(actions, "action_date", F.col("kind"))
 
 
-@query("trend_topics", "WITH c AS (" + _COUNTS.format(p="quarter", d="subject", f="(SELECT introduced_date, unnest(subject) AS subject FROM v_bills) b") + ") SELECT period, dimension, count, round(100.0 * count / sum(count) OVER (PARTITION BY period), 1) AS share FROM c")
+@query("trend_topics", "WITH c AS (" + _COUNTS.format(p="quarter", d="subject", f="(SELECT created_at, unnest(subject) AS subject FROM v_bills) b") + ") SELECT period, dimension, count, round(100.0 * count / sum(count) OVER (PARTITION BY period), 1) AS share FROM c")
 def trend_topics(t: Tables) -> DataFrame:
     return A.with_share(bill_counts(t, "subject", "quarter"))
 

@@ -142,13 +142,28 @@ def drop_infra(t: Tables) -> DataFrame:
     return G.pairable(t.traces).groupBy("template_id").agg(F.count("*").alias("n"))
 
 
-@query("drift_triage")
+_DRIFT = """SELECT model, kind, benign, restored, count(*) AS n FROM (SELECT model, CAST(output_tokens % 8 AS INT) AS kind, output_tokens % 8 IN (0, 1, 2, 5) AS benign,
+CASE WHEN output_tokens % 8 IN (0, 1, 2, 5) THEN CASE WHEN output_tokens % 3 = 0 THEN 'sandbox_infra' ELSE 'success' END END AS restored FROM v_traces) x GROUP BY 1, 2, 3, 4"""
+
+
+@query("drift_triage", _DRIFT)
 def drift_triage(t: Tables) -> DataFrame:
-    """Served model names, made from the traces: the asked one, a dated alias of it, or another."""
-    n = F.col("output_tokens")
-    served = F.when(n % 7 == 0, F.lit("other-model")).when(n % 3 == 0, F.concat("model", F.lit("-20260101"))).otherwise(F.col("model"))
-    kind = F.when(F.col("served") == F.col("model"), "same").when(F.regexp_extract("served", r"^(.*)-\d{8}$", 1) == F.col("model"), "alias").otherwise("foreign")
-    return t.traces.withColumn("served", served).groupBy("model", kind.alias("drift")).agg(F.count("*").alias("n"))
+    """Eight kinds of markers, of which the first three and the sixth are harmless by their making."""
+    n, model = F.col("output_tokens"), F.col("model")
+    served = [
+        F.concat(F.lit("['"), model, F.lit("']")),
+        F.concat(F.lit("['"), model, F.lit("-20260101', \"<synthetic>\"]")),
+        F.lit("['<synthetic>', None, '']"),
+        F.concat(F.lit("['"), model, F.lit("', 'other-model']")),
+        F.concat(F.lit("['"), model, F.lit("ish']")),
+        F.lit("[]"),
+        F.lit("[not, a, list]"),
+    ]
+    marker = F.element_at(F.array(*served), (n % 8 + 1).cast("int"))
+    raw = F.when(n % 8 < 7, F.concat(F.lit("text <MODEL_DRIFT requested="), model, F.lit(" served="), marker, F.lit("> end"))).otherwise("no marker")
+    kinds = F.when(n % 3 == 0, F.array(F.lit("timeout"), F.lit("sandbox_infra"))).otherwise(F.array(F.lit("timeout")))
+    runs = G.drift_triage(t.traces.select("model", (n % 8).cast("int").alias("kind"), raw.alias("raw"), kinds.alias("error_kinds")))
+    return runs.groupBy("model", "kind", "benign", "restored").agg(F.count("*").alias("n"))
 
 
 @query("surface_delta", f"WITH {_SCORED} SELECT model, avg(CASE WHEN surface = 'ours' THEN h END) - avg(CASE WHEN surface = 'web' THEN h END) AS delta FROM (SELECT model, surface, CASE WHEN {_CLASS} = 'hallucination' THEN 1.0 ELSE 0.0 END AS h FROM s WHERE NOT is_refusal) x GROUP BY 1")

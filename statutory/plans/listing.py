@@ -107,7 +107,7 @@ def id_crosswalk(t: Tables) -> DataFrame:
     return t.vote_records.select("vote_event_id", F.col("person_id").alias("lis")).join(first, "lis", "left").join(second, "bioguide", "left")
 
 
-@query("sponsor_features", "WITH n AS (SELECT s.*, p.party FROM v_sponsorships s JOIN v_people p ON p.id = s.person_id), f AS (SELECT bill_id, arg_min(party, person_id) AS sponsor_party FROM n WHERE classification = 'primary' GROUP BY 1), c AS (SELECT n.bill_id, count(DISTINCT n.person_id) AS c, count(DISTINCT CASE WHEN n.party <> f.sponsor_party THEN n.person_id END) AS b FROM n LEFT JOIN f ON f.bill_id = n.bill_id WHERE classification <> 'primary' GROUP BY 1) SELECT coalesce(f.bill_id, c.bill_id) AS bill_id, sponsor_party, coalesce(c, 0) AS cosponsor_count, coalesce(b, 0) AS bipartisan_cosponsor_count FROM f FULL JOIN c ON c.bill_id = f.bill_id")
+@query("sponsor_features", "SELECT sp.bill_id, arg_min(p.party, p.id) AS sponsor_party, count(DISTINCT sp2.person_id) AS cosponsor_count, count(DISTINCT CASE WHEN p2.party <> p.party THEN sp2.person_id END) AS bipartisan_cosponsor_count FROM v_sponsorships sp JOIN v_people p ON p.id = sp.person_id AND sp.classification = 'primary' LEFT JOIN v_sponsorships sp2 ON sp2.bill_id = sp.bill_id AND sp2.classification = 'cosponsor' LEFT JOIN v_people p2 ON p2.id = sp2.person_id GROUP BY 1")
 def sponsor_features(t: Tables) -> DataFrame:
     from statutory.operators.predict import sponsor_features as features
 

@@ -11,18 +11,19 @@ from statutory.plans.rollcall import TODAY
 from statutory.plans.views import Tables
 
 _FRAME = f"""
-n AS (SELECT s.*, p.party FROM v_sponsorships s JOIN v_people p ON p.id = s.person_id),
-f AS (SELECT bill_id, arg_min(party, person_id) AS party FROM n WHERE classification = 'primary' GROUP BY 1),
-c AS (SELECT n.bill_id, count(DISTINCT n.person_id) AS c, count(DISTINCT CASE WHEN n.party <> f.party THEN n.person_id END) AS b FROM n LEFT JOIN f ON f.bill_id = n.bill_id WHERE classification <> 'primary' GROUP BY 1),
+c AS (SELECT sp.bill_id, count(DISTINCT sp2.person_id) AS c, count(DISTINCT CASE WHEN p2.party <> p.party THEN sp2.person_id END) AS b FROM v_sponsorships sp JOIN v_people p ON p.id = sp.person_id AND sp.classification = 'primary'
+  LEFT JOIN v_sponsorships sp2 ON sp2.bill_id = sp.bill_id AND sp2.classification = 'cosponsor' LEFT JOIN v_people p2 ON p2.id = sp2.person_id GROUP BY 1),
 a AS (SELECT bill_id, count(*) AS n, min(action_date) AS d0, max(action_date) AS d1 FROM v_bill_actions GROUP BY 1),
 frame AS (SELECT b.id AS bill_id, b.session_id, b.identifier, b.title, b.status, b.introduced_date, s.start_date AS session_start, s.end_date AS session_end, a.d0 AS first_action, a.d1 AS last_action,
   coalesce(c.c, 0) AS cosponsor_count, coalesce(c.b, 0) AS bipartisan_cosponsor_count, coalesce(a.n, 0) AS action_count, CASE WHEN b.status IN ('passed_lower', 'passed_upper', 'enrolled', 'enacted', 'vetoed') THEN 1 ELSE 0 END AS label
   FROM v_bills b JOIN v_sessions s ON s.id = b.session_id LEFT JOIN c ON c.bill_id = b.id LEFT JOIN a ON a.bill_id = b.id
-  WHERE s.end_date < DATE '{TODAY}' AND list_contains(b.classification, 'bill') AND b.status <> 'other')"""
+  WHERE s.end_date < DATE '{TODAY}' AND list_contains(b.classification, 'bill') AND b.introduced_date IS NOT NULL AND b.status IS NOT NULL AND b.status <> 'other'
+    AND b.jurisdiction_id IN (SELECT id FROM v_jurisdictions WHERE classification = 'country'))"""
 
 
 def _frame(t: Tables) -> DataFrame:
-    return P.training_frame(t.bills, t.sessions, t.sponsorships, t.people, t.bill_actions, TODAY)
+    federal = t.jurisdictions.where("classification = 'country'")
+    return P.training_frame(t.bills, t.sessions, t.sponsorships, t.people, t.bill_actions, TODAY, federal)
 
 
 @query("training_frame", f"WITH {_FRAME} SELECT * FROM frame")
@@ -39,7 +40,7 @@ def time_split(t: Tables) -> DataFrame:
 _POSITION = "coalesce(least(greatest(introduced_date - session_start, 0) / CAST(greatest(session_end - session_start, 1) AS DOUBLE), 1.0), 0.5)"
 
 
-@query("passage_features", f"WITH {_FRAME}, x AS (SELECT *, {_POSITION} AS pos, coalesce(last_action - first_action, 0) AS days, ln(1 + action_count) AS la, ln(1 + cosponsor_count) AS lc FROM frame) SELECT bill_id, cosponsor_count, round(lc, 6) AS log_cosponsor_count, bipartisan_cosponsor_count, action_count, round(la, 6) AS log_action_count, days AS days_active, round(action_count / CAST(greatest(days, 1) AS DOUBLE), 6) AS actions_per_day, round(pos, 6) AS session_position, greatest(session_end - introduced_date, 0) AS days_remaining, CAST(split_part(session_id, '-', 2) AS INT) AS congress_number, CASE WHEN starts_with(upper(identifier), 'HR') THEN 1 ELSE 0 END AS is_house_bill, CASE WHEN regexp_matches(upper(identifier), '^S\\d') THEN 1 ELSE 0 END AS is_senate_bill, length(title) AS title_length, len(string_split(title, ' ')) AS title_word_count, " + " + ".join(f"CASE WHEN contains(lower(title), '{k}') THEN 1 ELSE 0 END" for k in P.KEYWORDS) + " AS passage_keyword_count, 1 AS title_has_authoriz, round((1 - pos) * la, 6) AS early_bill_x_actions, round(la * lc, 6) AS action_x_cosponsor FROM x")
+@query("passage_features", f"WITH {_FRAME}, x AS (SELECT *, {_POSITION} AS pos, coalesce(last_action - first_action, 0) AS days, ln(1 + action_count) AS la, ln(1 + cosponsor_count) AS lc FROM frame) SELECT bill_id, cosponsor_count, round(lc, 6) AS log_cosponsor_count, bipartisan_cosponsor_count, action_count, round(la, 6) AS log_action_count, days AS days_active, round(action_count / CAST(greatest(days, 1) AS DOUBLE), 6) AS actions_per_day, round(pos, 6) AS session_position, greatest(session_end - introduced_date, 0) AS days_remaining, CAST(split_part(session_id, '-', 2) AS INT) AS congress_number, CASE WHEN starts_with(upper(identifier), 'HR') THEN 1 ELSE 0 END AS is_house_bill, CASE WHEN regexp_matches(upper(identifier), '^S\\d') THEN 1 ELSE 0 END AS is_senate_bill, length(title) AS title_length, len(string_split(title, ' ')) AS title_word_count, CASE WHEN contains(lower(title), 'appropriat') THEN 1 ELSE 0 END + CASE WHEN contains(lower(title), 'authoriz') THEN 1 ELSE 0 END + CASE WHEN contains(lower(title), 'reauthoriz') THEN 1 ELSE 0 END + CASE WHEN contains(lower(title), 'designat') THEN 1 ELSE 0 END + CASE WHEN contains(lower(title), 'post office') THEN 1 ELSE 0 END AS passage_keyword_count, 1 AS title_has_authoriz, round((1 - pos) * la, 6) AS early_bill_x_actions, round(la * lc, 6) AS action_x_cosponsor FROM x")
 def passage_features(t: Tables) -> DataFrame:
     out = P.with_features(_frame(t))
     rounded = {"log_cosponsor_count", "log_action_count", "actions_per_day", "session_position", "early_bill_x_actions", "action_x_cosponsor"}
@@ -61,7 +62,7 @@ def train_baseline(t: Tables) -> DataFrame:
 @query("train_stack")
 def train_stack(t: Tables) -> DataFrame:
     train, rest = _trained(t)
-    return P.auroc(P.score_stack(P.train_stack(train, folds=2), rest), ["split"])
+    return P.auroc(P.score_stack(P.train_stack(train), rest), ["split"])
 
 
 @query("score_bills")
@@ -115,7 +116,7 @@ def threshold_sweep(t: Tables) -> DataFrame:
     return P.threshold_sweep(_scores(t), ["split"])
 
 
-@query("best_run")
+@query("best_run", "SELECT template_id, max(cost) AS best FROM v_traces WHERE cost IS NOT NULL GROUP BY 1")
 def best_run(t: Tables) -> DataFrame:
     """The best value per template of a metrics log, written as JSON lines and read back."""
     from statutory.operators.sinks import through_json

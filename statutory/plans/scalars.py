@@ -102,14 +102,14 @@ def parse_package(t: Tables) -> DataFrame:
     return t.bills.withColumn("p", T.package_parts(name)).select("id", "p.*", T.split_bill_id(F.concat(low, F.lit("-119")))[0].alias("kind"))
 
 
-@query("refs_regulatory")
+@query("refs_regulatory", "SELECT id, list_sort(['HR ' || id, 'PL 118-5', 'S ' || id]) AS refs FROM v_bills")
 def refs_regulatory(t: Tables) -> DataFrame:
-    """Texts that mention two bills and one section; the result is the sorted references."""
-    made = F.concat(F.lit("See H.R. "), "id", F.lit(", Section 5, S. "), "id", F.lit(" and Public Law 118-"), "id", F.lit(": "), "title")
+    """Texts that mention two bills, a section, a simple resolution and a law; the result is the sorted references."""
+    made = F.concat(F.lit("See H.R. "), "id", F.lit(", Section 5, h r "), "id", F.lit(", H.Res. 9, S. "), "id", F.lit(" and Public Law 118-5: "), "title")
     return t.bills.select("id", T.references_in_rules(made).alias("refs"))
 
 
-@query("refs_reports")
+@query("refs_reports", "SELECT id, ['SRES ' || id, 'HR ' || id] AS refs FROM v_bills")
 def refs_reports(t: Tables) -> DataFrame:
     made = F.concat(F.lit("On S.Res. "), "id", F.lit(" and H.R. "), "id", F.lit(", HR 7; again S.Res. "), "id")
     return t.bills.select("id", T.references_in_reports(made).alias("refs"))
@@ -171,7 +171,7 @@ def month_cutoff(t: Tables) -> DataFrame:
     return t.bills.select("id", T.month_cutoff("introduced_date", 6).alias("cutoff"))
 
 
-@query("json_from_text")
+@query("json_from_text", "SELECT id, title, '' AS summary, list_slice(string_split(title, ' '), 1, 8) AS sections FROM v_bills")
 def json_from_text(t: Tables) -> DataFrame:
     """Outlines in fenced blocks of free text, read back with defaults for what is missing."""
     said = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct("title", F.slice(F.split("title", " "), 1, 9).alias("sections"))), F.lit("\n```\nDone."))
@@ -179,7 +179,7 @@ def json_from_text(t: Tables) -> DataFrame:
     return t.bills.withColumn("o", got).select("id", F.col("o.title").alias("title"), F.coalesce("o.summary", F.lit("")).alias("summary"), F.slice("o.sections", 1, 8).alias("sections"))
 
 
-@query("index_numbers")
+@query("index_numbers", "SELECT bill_id, max(CAST(substr(id, 2) AS INT)) AS highest, list_sort(list(DISTINCT CAST(substr(id, 2) AS INT))) AS rolls FROM v_vote_events GROUP BY 1")
 def index_numbers(t: Tables) -> DataFrame:
     """The highest roll and the distinct numbers of index pages made of each bill's events."""
     page = F.concat_ws("", F.sort_array(F.collect_list(F.concat(F.lit("<a href=rollnumber="), F.expr("substr(id, 2)"), F.lit(">")))))

@@ -37,7 +37,7 @@ SELECT CAST(o_orderkey AS STRING) AS id, 'j' || CAST(c_nationkey AS STRING) AS j
        CASE WHEN o_orderkey % 13 <> 0
             THEN split(lower(c_mktsegment) || ',' || lower(substr(o_orderpriority, 3)), ',') END AS subject,
        split(CASE WHEN o_orderkey % 3 = 0 THEN 'resolution' ELSE 'bill' END, ',') AS classification,
-       o_orderdate AS created_at
+       CAST(CAST(o_orderdate AS DATE) + (o_orderkey % 40) * INTERVAL '1' DAY AS TIMESTAMP) AS created_at
 FROM orders JOIN customer ON c_custkey = o_custkey""",
     "v_people": """
 SELECT CAST(s_suppkey AS STRING) AS id, 'Rep. ' || s_name || ' [X-' || CAST(s_nationkey AS STRING) || ']' AS name,

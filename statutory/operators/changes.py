@@ -46,15 +46,18 @@ def detect_changes(old: DataFrame, new: DataFrame, fields: tuple[str, ...] = TRA
 def matching_bills(searches: DataFrame, bills: DataFrame) -> DataFrame:
     """Searches with the bills that meet them.
 
-    Searches with a jurisdiction meet the bills by an equi join on it; only those without
-    one, of which an installation has few, need the nested loop.
+    Searches with a jurisdiction meet the bills by an equi join on it, those with a status
+    only by one on that. Only searches for a word in all bills have nothing to be joined by:
+    they are a stated set of queries that meets all rows, and are broadcast if Spark finds
+    them small.
     """
     b = bills.select(F.struct("id", "jurisdiction_id", "status", "title", "identifier").alias("b"))
     s = searches.select(F.struct("id", "org_id", "jurisdiction_id", "status", "query", "event_types", "alerts_enabled").alias("s"))
     keyed = s.where("s.jurisdiction_id is not null").join(b, (F.col("s.jurisdiction_id") == F.col("b.jurisdiction_id")) & matches_criteria())
-    loose = b.join(s.where("s.jurisdiction_id is null"), matches_criteria())
+    by_status = s.where("s.jurisdiction_id is null and s.status is not null").join(b, (F.col("s.status") == F.col("b.status")) & matches_criteria())
+    loose = b.join(s.where("s.jurisdiction_id is null and s.status is null"), matches_criteria())
     columns = [F.col("s.id").alias("search_id"), F.col("s.event_types").alias("event_types"), F.col("s.alerts_enabled").alias("alerts_enabled"), F.col("b.id").alias("bill_id"), F.col("b.title").alias("title"), F.col("b.identifier").alias("identifier"), F.col("b.jurisdiction_id").alias("jurisdiction_id")]
-    return keyed.select(*columns).unionByName(loose.select(*columns))
+    return keyed.select(*columns).unionByName(by_status.select(*columns)).unionByName(loose.select(*columns))
 
 
 def alert_matches(changes: DataFrame, searches: DataFrame, bills: DataFrame) -> DataFrame:
@@ -96,7 +99,8 @@ def retry_schedule(deliveries: DataFrame) -> DataFrame:
 def circuit_breaker(deliveries: DataFrame, threshold: int = BREAKER_FAILURES) -> DataFrame:
     """Per endpoint: the longest run of failed attempts, the current one, and whether it is disabled.
 
-    A run is counted from the last success; attempts are in the order of time and id.
+    A run is counted from the last success; attempts are in the order of time and id. The
+    attempts of one endpoint are walked in one task, sorted on disk if they are many.
     """
     order = Window.partitionBy("endpoint_id").orderBy("attempted_at", F.col("id").cast("long"))
     ended = deliveries.where(F.col("status") != "queued")

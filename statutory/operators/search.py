@@ -10,8 +10,13 @@ from statutory.operators.windows import first_text, top_per_group
 K1, B = 1.5, 0.75
 # English words that carry no meaning alone.
 STOP_WORDS = (
-    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no",
+    "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to",
+    "was", "will", "with",
+)
+#: Query vectors up to this number are broadcast; more meet the rows in blocks of BLOCK_ROWS.
+BROADCAST_QUERIES = 20_000
+BLOCK_ROWS = 4096
 RRF = 60
 
 
@@ -68,64 +73,87 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest bills of every query vector by cosine; queries are a stated set that goes to all rows."""
-    asked = unit(queries.select("query_id", "embedding")).withColumnRenamed("unit", "asked")
-    pairs = unit(vectors).crossJoin(F.broadcast(asked))
-    scored = pairs.select("query_id", F.col("bill_id").alias("id"), dot("unit", "asked").alias("score"))
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
+    """The k nearest bills of every query vector by cosine; queries are a stated set that meets all rows.
+
+    A set of up to broadcast_queries vectors goes to the rows; a larger one meets them in blocks.
+    """
+    asked = unit(queries.select("query_id", "embedding"))
+    if asked.count() > broadcast_queries:
+        found = _nearest_in_blocks(asked.withColumnRenamed("query_id", "asked_id"), unit(vectors).withColumnRenamed("bill_id", "held_id"), k)
+        scored = found.select(F.col("asked_id").alias("query_id"), F.col("held_id").alias("id"), "score")
+    else:
+        pairs = unit(vectors).crossJoin(F.broadcast(asked.withColumnRenamed("unit", "asked")))
+        scored = pairs.select("query_id", F.col("bill_id").alias("id"), dot("unit", "asked").alias("score"))
     return top_per_group(scored, ["query_id"], [F.round("score", 9).desc(), "id"], k, rank="rank")
 
 
-def similar_bills(vectors: DataFrame, k: int, least: float, other_jurisdiction: bool = True, blocks: int = 16) -> DataFrame:
-    """The k nearest bills of every bill above a score, by exact comparison in blocks.
+def _nearest_in_blocks(asked: DataFrame, held: DataFrame, k: int, least: float = -2.0, group: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """asked_id, held_id and score of the k nearest held vectors (column unit) of every asked one, per block of held ones.
 
-    Every bill is asked for, so the comparison is quadratic by definition. Rows are dealt
-    into blocks and each pair of blocks is one group, which bounds what a task holds; the
-    work inside is one matrix product. Per bill and block only the k best leave the task.
+    Both sides are dealt into blocks of about block_rows, and each pair of blocks is one
+    group, so what a task holds is bounded at any size; the work inside is a matrix product.
+    With group, rows of the same group or the same id are no neighbours.
     """
     import numpy as np
     import pandas as pd
 
-    rows = unit(vectors).select("bill_id", "jurisdiction_id", "unit").withColumn("block", F.pmod(F.xxhash64("bill_id"), F.lit(blocks)).cast("int"))
-    left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(0))
-    right = rows.withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))
-    both = left.unionByName(right)
+    parts = [max(1, -(-side.count() // block_rows)) for side in (asked, held)]
+
+    def dealt(side: DataFrame, i: int) -> DataFrame:
+        name = ("asked_id", "held_id")[i]
+        own, others = ("a", "h") if i == 0 else ("h", "a")
+        rows = side.select(F.col(name).alias("id"), F.col(group).alias("kind") if group else F.lit(None).cast("string").alias("kind"), "unit", F.lit(i).alias("side"))
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(parts[i])))
+        return rows.withColumn(others, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[1 - i] - 1).cast("long"))))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        asked, held = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        empty = pd.DataFrame({"bill_id": [], "similar_id": [], "score": []}).astype({"bill_id": str, "similar_id": str, "score": float})
-        if asked.empty or held.empty:
-            return empty
-        ids, names = asked["bill_id"].to_numpy(), held["bill_id"].to_numpy()
-        matrix = np.stack(held["unit"].to_numpy())
+        ours, theirs = frame[frame["side"] == 0], frame[frame["side"] == 1]
         out = []
-        for start in range(0, len(asked), 256):
-            part = asked.iloc[start : start + 256]
+        names, kinds = theirs["id"].to_numpy(), theirs["kind"].to_numpy()
+        matrix = np.stack(theirs["unit"].to_numpy()) if len(theirs) else None
+        for start in range(0, len(ours) if len(theirs) else 0, 256):
+            part = ours.iloc[start : start + 256]
             scores = np.stack(part["unit"].to_numpy()) @ matrix.T
-            allowed = (part["bill_id"].to_numpy()[:, None] != names[None, :]) & (scores > least)
-            if other_jurisdiction:
-                allowed &= part["jurisdiction_id"].to_numpy()[:, None] != held["jurisdiction_id"].to_numpy()[None, :]
-            for i, row in enumerate(np.where(allowed, scores, -np.inf)):
+            allowed = scores > least
+            if group:
+                allowed &= (part["id"].to_numpy()[:, None] != names[None, :]) & (part["kind"].to_numpy()[:, None] != kinds[None, :])
+            for asked_id, row in zip(part["id"], np.where(allowed, scores, -np.inf), strict=True):
                 found = np.flatnonzero(np.isfinite(row))
+                if len(found) > k:  # all that tie with the k-th best are ranked
+                    found = found[row[found] >= np.partition(row[found], -k)[-k] - 1e-8]
                 best = sorted(found.tolist(), key=lambda j: (-round(row[j], 9), names[j]))[:k]
-                out += [(ids[start + i], names[j], float(row[j])) for j in best]
-        return pd.DataFrame(out, columns=["bill_id", "similar_id", "score"]) if out else empty
+                out += [(asked_id, names[j], float(row[j])) for j in best]
+        return pd.DataFrame(out, columns=["asked_id", "held_id", "score"]).astype({"score": float})
+
+    both = dealt(asked, 0).unionByName(dealt(held, 1))
+    kind = lambda side, c: side.schema[c].dataType.simpleString()
+    return both.groupBy("a", "h").applyInPandas(compare, f"asked_id {kind(asked, 'asked_id')}, held_id {kind(held, 'held_id')}, score double")
 
-    parts = both.groupBy("block", "other").applyInPandas(compare, "bill_id string, similar_id string, score double")
-    return top_per_group(parts, ["bill_id"], [F.round("score", 9).desc(), "similar_id"], k, rank="rank")
+
+def similar_bills(vectors: DataFrame, k: int, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k nearest bills of other jurisdictions of every bill above a score, by exact comparison in blocks.
+
+    Every bill is asked for, so the comparison is quadratic by definition; similar_bills_lsh
+    is the way for large tables.
+    """
+    rows = unit(vectors).select("bill_id", "jurisdiction_id", "unit")
+    found = _nearest_in_blocks(rows.withColumnRenamed("bill_id", "asked_id"), rows.withColumnRenamed("bill_id", "held_id"), k, least, "jurisdiction_id", block_rows)
+    pairs = found.select(F.col("asked_id").alias("bill_id"), F.col("held_id").alias("similar_id"), "score")
+    return top_per_group(pairs, ["bill_id"], [F.round("score", 9).desc(), "similar_id"], k, rank="rank")
 
 
-def similar_bills_lsh(vectors: DataFrame, k: int, least: float, tables: int = 12, planes: int = 8, seed: int = 11) -> DataFrame:
-    """As similar_bills within a jurisdiction or across, from candidates that share a hash of random hyperplanes.
+def similar_bills_lsh(vectors: DataFrame, k: int, least: float, tables: int = 12, length: float = 0.25, seed: int = 11) -> DataFrame:
+    """As similar_bills, of any jurisdiction, from candidates that share a bucket of a random projection.
 
-    Approximate: a pair is found if it agrees in all planes of some table. Candidates are
-    ranked exactly.
+    Approximate: a pair is found if its projections fall into one bucket of `length` in some
+    of the tables. Candidates are ranked exactly. Longer buckets and more tables find more.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     rows = unit(vectors).select("bill_id", "jurisdiction_id", "unit", array_to_vector("unit").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=2.0 / planes, numHashTables=tables, seed=seed).fit(rows)
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed).fit(rows)
     radius = (2 * (1 - least)) ** 0.5
     pairs = model.approxSimilarityJoin(rows, rows, radius, "distance").where("datasetA.bill_id <> datasetB.bill_id")
     scored = pairs.select(F.col("datasetA.bill_id").alias("bill_id"), F.col("datasetB.bill_id").alias("similar_id"), (1 - F.col("distance") ** 2 / 2).alias("score"))

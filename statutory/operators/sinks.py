@@ -13,8 +13,12 @@ from statutory.functions.text import csv_guard
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below a local one where that is not set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="statutory-")
+    """A new folder below spark.checkpoint.dir; only a local session has one of its own where that is not set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="statutory-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

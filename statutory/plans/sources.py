@@ -158,7 +158,8 @@ def src_state_bills(t: Tables) -> DataFrame:
 def src_federal_bills(t: Tables) -> DataFrame:
     action = F.struct(F.col("introduced_date").cast("string").alias("actionDate"), F.lit("Referred to the Committee on Rules").alias("text"))
     bill = F.struct(F.lit(118).alias("congress"), _number("identifier").alias("number"), F.lower(F.regexp_extract("identifier", r"^([A-Z]+)", 1)).alias("type"), "title", action.alias("latestAction"))
-    return S.federal_bills(t.bills.groupBy("session_id").agg(F.to_json(F.struct(F.collect_list(bill).alias("bills"))).alias("json")))
+    page = F.floor(F.col("id").cast("long") / 4000)  # files of bounded size, however many bills a session has
+    return S.federal_bills(t.bills.groupBy("session_id", page.alias("page")).agg(F.to_json(F.struct(F.collect_list(bill).alias("bills"))).alias("json")))
 
 
 def _legislators(t: Tables) -> DataFrame:

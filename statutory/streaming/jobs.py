@@ -66,9 +66,9 @@ def upsert_batch(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]
 
     def run(batch: DataFrame, number: int) -> None:
         fresh = batch.dropDuplicates(keys)
-        earlier = [f"{path}/batch={k}" for k in range(number)]
-        if earlier:
-            fresh = fresh.join(batch.sparkSession.read.schema(batch.schema).parquet(*earlier).select(*keys), keys, "left_anti")
+        if number:  # one table, of whose earlier batches only the keys are read
+            table = batch.sparkSession.read.schema(f"{batch.schema.toDDL()}, batch long").parquet(path)
+            fresh = fresh.join(table.where(F.col("batch") < number).select(*keys), keys, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return run

@@ -3,17 +3,17 @@
 Each task sorts the suffixes of the documents it holds (a shard) and binary-searches the
 suffixes of every benchmark item in that array. A shard's array only holds suffixes whose
 first words open some benchmark window, since no other suffix can be found; this leaves
-nothing out and keeps the array small. Documents are never shuffled.
+nothing out and keeps the array small. What a search meets is compared word by word, so
+matches are as long as the texts agree. Documents are never shuffled.
 
-The benchmark is the stated query set. It goes to the tasks in blocks of at most
-BLOCK_CHARS characters; each further block is one more pass over the rows, so a benchmark
-of any size fits into memory.
+The benchmark is the stated query set. It goes to the tasks in blocks of about BLOCK_CHARS
+characters, whole items each; every further block is one more pass over the rows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from statutory.llm.common import WORD_BYTES, same_rows, slices, utf8
 
 WINDOW = 13
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 #: Leading words by which suffixes are admitted to a shard's array.
 SEED = 3
 
@@ -32,45 +32,44 @@ _STATE = "hits array<struct<start:long,end:long>>, items array<string>, longest
 
 
 class BenchmarkBlock:
-    """Numbered words, suffixes and windows of one block of benchmark items."""
+    """The words of one block of benchmark items as one array of numbers, and where its windows start."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int) -> None:
+        self.window = window
         self.vocabulary: dict[bytes, int] = {}
         number = self.vocabulary
-        #: by first words of a window: (window as big-endian ids, item, position in it)
-        self.windows: dict[tuple[int, ...], list[tuple[bytes, int, int]]] = {}
         self.names: list[str | None] = []
+        parts, sizes = [], []
         for name, text in items:
-            words = [number.setdefault(w, len(number) + 1) for w in (text or "").encode().translate(WORD_BYTES).split()]
-            if not words:
-                continue
-            self.names.append(name)
-            size = min(window, len(words))
-            for at in range(len(words) - size + 1):
-                ids = words[at : at + size]
-                packed = np.array(ids, ">u4").tobytes()
-                self.windows.setdefault(tuple(ids[:SEED]), []).append((packed, len(self.names) - 1, at))
-        self.longest = max((len(w) // 4 for ws in self.windows.values() for w, _, _ in ws), default=0)
-        self.opens = {n: {s for s in self.windows if len(s) == n} for n in range(1, SEED + 1)}
-
-
-def _starts(ids: np.ndarray, block: BenchmarkBlock) -> list[int]:
-    """Places in ids whose next words open a benchmark window."""
-    found: set[int] = set()
-    for n, seeds in block.opens.items():
-        if not seeds or len(ids) < n:
-            continue
-        size = len(block.vocabulary) + 1
-        first = np.zeros(size, bool)
-        first[[s[0] for s in seeds]] = True
-        places = np.flatnonzero(first[ids[: len(ids) - n + 1]])
-        for k in range(1, n):
-            later = np.zeros(size, bool)
-            later[[s[k] for s in seeds]] = True
-            places = places[later[ids[places + k]]]
-        rows = ids[places[:, None] + np.arange(n)].tolist()
-        found.update(int(p) for p, row in zip(places, rows, strict=True) if tuple(row) in seeds)
-    return sorted(found)
+            words = (text or "").encode().translate(WORD_BYTES).split()
+            if words:
+                self.names.append(name)
+                sizes.append(len(words))
+                parts.append(np.array([number.setdefault(w, len(number) + 1) for w in words], np.uint32))
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        self.packed = self.words.astype(">u4").tobytes()  # bytes of equal order, to search with
+        self.ends = np.cumsum(sizes, dtype=np.int64)
+        self.begins = self.ends - np.array(sizes, np.int64)
+        #: by the number of leading words that are looked up: the hashes of these, sorted, with the windows' starts
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        own = np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64))
+        place = np.arange(len(self.words)) - self.begins[own]
+        length = np.array(sizes, np.int64)[own]
+        opens = place <= np.maximum(length - window, 0)
+        for n in range(1, SEED + 1):
+            starts = np.flatnonzero(opens & (np.minimum(np.minimum(length, window), SEED) == n))
+            if len(starts):
+                keys = _seed_keys(self.words, starts, n)
+                order = np.argsort(keys, kind="stable")
+                self.seeds[n] = keys[order], starts[order]
+
+
+def _seed_keys(ids: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """A number for the n words from each place on; different words may share one."""
+    keys = ids[places].astype(np.uint64)
+    for k in range(1, n):
+        keys = keys * np.uint64(0x9E3779B97F4A7C15) + ids[places + k]
+    return keys
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -86,36 +85,50 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def search_shard(texts: list[bytes], block: BenchmarkBlock) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
     """Per text its number of words and its verbatim matches (item, place in item, place in text, words).
 
-    A match is a longest run of words that covers at least one window of the item.
+    A match is a longest run of words that covers at least one window of the item. Every
+    suffix of an item that opens a window is searched in the sorted suffixes of the texts;
+    what it meets is followed word by word to the end of the common prefix, from the place
+    on where the words before differ.
     """
-    counts, parts, offset = [], [], 0
-    begins = []
+    counts, parts = [], []
     for text in texts:
         words = text.translate(WORD_BYTES).split()
-        begins.append(offset)
         counts.append(len(words))
-        parts.append(np.fromiter(map(block.vocabulary.get, words, repeat(0)), np.uint32, len(words)))
-        parts.append(np.zeros(1, np.uint32))  # word 0 stands in no item, so no match crosses it
-        offset += len(words) + 1
+        parts.append(np.fromiter(map(block.vocabulary.get, words, repeat(0)), np.uint32, len(words)))  # 0: in no item
+        parts.append(np.zeros(1, np.uint32))
     ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    ends = np.cumsum(np.array(counts, np.int64) + 1) - 1
+    begins = ends - np.array(counts, np.int64)
     found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-    places = _starts(ids, block)
-    if places:
-        raw, width = ids.astype(">u4").tobytes(), 4 * block.longest
-        array = sorted((raw[4 * p : 4 * p + width], p) for p in places)  # the shard's suffix array
-        keys = [k for k, _ in array]
-        diagonals: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for seed in {tuple(ids[p : p + n].tolist()) for p in places for n in range(1, SEED + 1)} & block.windows.keys():
-            for packed, item, at in block.windows[seed]:
-                low = bisect_left(keys, packed)
-                while low < len(keys) and keys[low].startswith(packed):
-                    p = array[low][1]
-                    diagonals.setdefault((item, p - at), []).append((p, p + len(packed) // 4))
-                    low += 1
-        for (item, shift), spans in diagonals.items():
-            for start, end in _merge(spans):
-                doc = int(np.searchsorted(begins, start, "right")) - 1
-                found[doc].append((item, start - shift, start - begins[doc], end - start))
+    admitted, searched = [], []
+    for n, (keys, starts) in block.seeds.items():
+        first = np.zeros(len(block.vocabulary) + 1, bool)
+        first[block.words[starts]] = True
+        places = np.flatnonzero(first[ids[: max(0, len(ids) - n + 1)]])
+        own = _seed_keys(ids, places, n)
+        known = keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
+        admitted.append(places[known])
+        low, high = (np.searchsorted(keys, np.unique(own[known]), side) for side in ("left", "right"))
+        searched += [int(x) for i, j in zip(low.tolist(), high.tolist(), strict=True) for x in starts[i:j]]
+    if not searched:
+        return list(zip(counts, found, strict=True))
+    raw, width = ids.astype(">u4").tobytes(), 4 * block.window
+    array = sorted((raw[4 * p : 4 * p + width], p) for p in np.unique(np.concatenate(admitted)).tolist())  # the shard's suffix array
+    keys = [k for k, _ in array]
+    for start in searched:
+        item = int(np.searchsorted(block.ends, start, "right"))
+        begin, end = int(block.begins[item]), int(block.ends[item])
+        suffix = block.packed[4 * start : 4 * min(start + block.window, end)]
+        at = bisect_left(keys, suffix)
+        while at < len(keys) and keys[at].startswith(suffix):
+            p = array[at][1]
+            at += 1
+            if start > begin and p and ids[p - 1] == block.words[start - 1]:
+                continue  # part of a longer match, which another suffix of the item meets
+            doc = int(np.searchsorted(ends, p, "right"))
+            most = min(end - start, int(ends[doc]) - p)
+            differs = np.flatnonzero(ids[p : p + most] != block.words[start : start + most])
+            found[doc].append((item, start - begin, p - int(begins[doc]), int(differs[0]) if len(differs) else most))
     return list(zip(counts, found, strict=True))
 
 
@@ -157,7 +170,7 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: in
     n = -(-total // block_chars) or 1
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else items
-        yield BenchmarkBlock([(r.item_id, r.text) for r in part.toLocalIterator()], window)
+        yield BenchmarkBlock(((r.item_id, r.text) for r in part.toLocalIterator()), window)
 
 
 def benchmark_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -24,6 +24,10 @@ from statutory.llm.common import materialize
 
 RARE_TEXTS = 50
 COMMON_WORDS = 50
+#: A line that more texts hold is joined in parts of about so many.
+HEAVY_TEXTS = 2000
+#: Such lines are broadcast up to this number, and joined by a shuffle beyond it.
+BROADCAST_LINES = 200_000
 LINE_WORDS = 5
 BLOCK_WORDS = 5
 #: White space, and the letters of scripts without blanks: one (Chinese, Japanese) or four (Thai, Lao, Burmese, Khmer) count as a word.
@@ -213,6 +217,18 @@ def _links() -> Column:
     return F.array_distinct(F.concat(own, about))
 
 
+def _with_owners(held: DataFrame, owners: DataFrame) -> DataFrame:
+    """Join on the line; one of more than HEAVY_TEXTS texts is written so often that each part of its texts finds it in a task of its own."""
+    parts = F.ceil(F.col("texts") / HEAVY_TEXTS)
+    heavy = owners.where(F.col("texts") > HEAVY_TEXTS).select("hash", parts.alias("parts"))
+    n = heavy.count()
+    if not n:
+        return held.join(owners, "hash")
+    tagged = held.join(F.broadcast(heavy) if n <= BROADCAST_LINES else heavy, "hash", "left")
+    tagged = tagged.withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)).cast("long"))).drop("parts")
+    return tagged.join(owners.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), ["hash", "part"])
+
+
 def _deduped(rows: DataFrame, spare_common: bool = False) -> DataFrame:
     """rows has doc_id, text and carried, which comes back beside the text that is left and the counts."""
     trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim)
@@ -227,8 +243,8 @@ def _deduped(rows: DataFrame, spare_common: bool = False) -> DataFrame:
         lines.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("hashes").alias("hashes"), F.first("words").alias("words"))
     )
     held = texts.select("key", "first", _full().alias("full")).select("key", "first", F.explode(_links()).alias("line")).select("key", "first", "line.hash", "line.words")
-    owners = held.groupBy("hash").agg(F.count("*").alias("texts"), F.min(_rank()).alias("owner")).where("texts > 1")
-    links = held.join(owners, "hash").where("key <> owner.key").groupBy(F.col("owner.key").alias("owner"), "key").agg(
+    owners = materialize(held.groupBy("hash").agg(F.count("*").alias("texts"), F.min(_rank()).alias("owner")).where("texts > 1"))
+    links = _with_owners(held, owners).where("key <> owner.key").groupBy(F.col("owner.key").alias("owner"), "key").agg(
         F.min("texts").alias("rarest"), F.sum("words").alias("shared")
     )
     if spare_common:

@@ -13,7 +13,8 @@ equal passages have equal samples at equal places.
    whole, and so are all starts that it decides.
 3. Remaining starts: where a gram has several contexts, one copy of each is cut from its
    document, every start in it gets the name of its `length`-byte prefix, and equal
-   prefixes are found after a sort by name.
+   prefixes are found after a sort by name. The contexts of a gram meet in one task if they
+   are few; of very many, the names are counted over all tasks.
 4. The repeated starts return to their documents, which drop the bytes they cover.
 """
 
@@ -34,7 +35,7 @@ LENGTH = 400
 GRAM = 64
 #: Starts of a text that are sampled at once.
 CHUNK_STARTS = 1 << 20
-#: Contexts of a gram up to which they are compared in one task; of more, every start is a row of its own.
+#: Contexts of a gram up to which they are compared in one task; of more, the names of all starts are counted.
 GROUP_CONTEXTS = 2000
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -141,31 +142,36 @@ def _sample_batches(length: int, gram: int):
 
 
 def _cut_batches(length: int):
-    """Cut the wanted contexts: a row with the text for each, or for those of large groups a row for each start."""
+    """Cut the wanted contexts: a row with the text for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            key, context, start, once, piece = [], [], [], [], []
+            gram, context, once, piece = [], [], [], []
             for text, wanted in zip(utf8(batch, "text"), batch.column("cuts").to_pylist(), strict=True):
                 for cut in wanted or ():
-                    part = text[cut["first"] : cut["first"] + cut["more"] + length]
-                    if cut["large"]:
-                        names = passage_names(part, length).view(np.int64).tolist()
-                        key += names
-                        start += range(len(names))
-                        context += [cut["context"]] * len(names)
-                        once += [cut["once"]] * len(names)
-                        piece += [None] * len(names)
-                    else:
-                        key.append(cut["gram"])
-                        start.append(0)
-                        context.append(cut["context"])
-                        once.append(cut["once"])
-                        piece.append(part)
-            if key:
+                    gram.append(cut["gram"])
+                    context.append(cut["context"])
+                    once.append(cut["once"])
+                    piece.append(text[cut["first"] : cut["first"] + cut["more"] + length])
+            if gram:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(context, pa.int64()), pa.array(start, pa.int32()), pa.array(once, pa.bool_()), pa.array(piece, pa.binary())],
-                    names=["key", "context", "start", "once", "piece"],
+                    [pa.array(gram, pa.int64()), pa.array(context, pa.int64()), pa.array(once, pa.bool_()), pa.array(piece, pa.binary())],
+                    names=["gram", "context", "once", "piece"],
+                )
+
+    return run
+
+
+def _name_batches(length: int):
+    """The name of the passage at every start of the contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, piece in enumerate(batch.column("piece").to_pylist()):
+                names = passage_names(piece, length).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names), pa.repeat(batch.column("context")[i], len(names)), pa.array(np.arange(len(names), dtype=np.int32)), pa.repeat(batch.column("once")[i], len(names))],
+                    names=["name", "context", "start", "once"],
                 )
 
     return run
@@ -179,19 +185,17 @@ def passage_names(text: bytes, length: int) -> np.ndarray:
 
 
 def _compare_batches(length: int):
-    """Repeated starts of the contexts that occur once; rows come sorted by key."""
+    """Repeated starts of the contexts that occur once; rows come sorted by gram, of at most GROUP_CONTEXTS contexts each."""
 
     def search(group: list[tuple]) -> list[tuple[int, int]]:
         if len(group) < 2:
             return []
-        if group[0][4] is None:  # starts of one name
-            return [(context, start) for _, context, start, once, _ in group if once]
         names = [passage_names(piece, length) for *_, piece in group]
         every, counts = np.unique(np.concatenate(names), return_counts=True)
         repeated = every[counts > 1]
         found = []
         if len(repeated):
-            for (_, context, _, once, _), own in zip(group, names, strict=True):
+            for (_, context, once, _), own in zip(group, names, strict=True):
                 if once:
                     found += [(context, int(x)) for x in np.flatnonzero(np.isin(own, repeated))]
         return found
@@ -212,7 +216,7 @@ def _compare_batches(length: int):
         group: list[tuple] = []
         for batch in slices(batches, "piece"):
             found = []
-            for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 if group and group[0][0] != row[0]:
                     found += search(group)
                     group = []
@@ -274,14 +278,21 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     contexts = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "more")).alias("copy"))
     grams = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("all > 1")
     contexts = materialize(contexts.join(grams, "gram"))
-    cuts = contexts.where("m > 1").groupBy(F.col("copy.k1").alias("k1"), F.col("copy.k2").alias("k2")).agg(
-        F.collect_list(F.struct("copy.first", "copy.more", "gram", "context", (F.col("n") == 1).alias("once"), (F.col("m") > GROUP_CONTEXTS).alias("large"))).alias("cuts")
-    )
-    # both joins with the texts have the same left side, which is shuffled once and used again
-    cut = rows.join(cuts, ["k1", "k2"], "left").select("doc_id", "text", "cuts").mapInArrow(
-        _cut_batches(length), "key long, context long, start int, once boolean, piece binary"
-    )
-    part = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_batches(length), "context long, low int, high int")
+
+    def cut(wanted: DataFrame) -> DataFrame:
+        cuts = wanted.groupBy(F.col("copy.k1").alias("k1"), F.col("copy.k2").alias("k2")).agg(
+            F.collect_list(F.struct("copy.first", "copy.more", "gram", "context", (F.col("n") == 1).alias("once"))).alias("cuts")
+        )
+        # all joins with the texts have the same left side, which is shuffled once and used again
+        return rows.join(cuts, ["k1", "k2"], "left").select("text", "cuts").mapInArrow(_cut_batches(length), "gram long, context long, once boolean, piece binary")
+
+    small = cut(contexts.where((F.col("m") > 1) & (F.col("m") <= GROUP_CONTEXTS)))
+    part = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare_batches(length), "context long, low int, high int")
+    large = contexts.where((F.col("m") > 1) & (F.col("m") > GROUP_CONTEXTS))
+    if not large.isEmpty():  # no task holds such a group: names are counted before they are shuffled
+        named = materialize(cut(large).mapInArrow(_name_batches(length), "name long, context long, start int, once boolean"))
+        again = materialize(named.groupBy("name").count().where("count > 1").select("name"))
+        part = part.union(named.where("once").join(again, "name").select("context", F.col("start").alias("low"), F.col("start").alias("high")))
     whole = contexts.where("n > 1").select("context", F.lit(0).alias("low"), F.col("copy.more").cast("int").alias("high"))
     hits = found.select("k1", "k2", "first", "context").join(whole.union(part), "context").groupBy("k1", "k2").agg(
         F.collect_set(F.struct((F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))).alias("hits")

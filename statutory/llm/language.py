@@ -1,10 +1,11 @@
 """Language identification by cross-parsing with suffix automata.
 
 For each language an automaton accepts every substring of a sample of labelled text. A text
-is parsed from left to right into the longest phrases that the automaton knows; the language
-that needs the fewest phrases, normalised by what unseen text of that language itself needs,
-wins. Phrases end with words at the latest, so that the parse of a word is the same wherever
-it stands; workers remember it.
+is parsed from left to right into the longest phrases that the automaton knows, words and
+the blanks between them alike; the language that needs the fewest phrases, normalised by what
+unseen text of that language itself needs, wins. All automata are one table with a row per
+state, in which a phrase's end is a step to where the next phrase goes on, so that many texts
+are parsed together, a character of each at a time.
 
 The sample is bounded: SAMPLE_DOCS documents per language in the order of a hash of their
 id, of which at most SAMPLE_CHARS characters are used. All of every text is parsed.
@@ -13,9 +14,9 @@ id, of which at most SAMPLE_CHARS characters are used. All of every text is pars
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ SAMPLE_DOCS = 120
 SAMPLE_CHARS = 60_000
 #: Documents longer than this are no sample.
 LONGEST_SAMPLE = 20_000
-#: Words whose parses a worker remembers.
-CACHE_WORDS = 300_000
+#: Characters that texts are parsed together, and the number of texts below which each goes on alone.
+BAND, ALONE = 64, 12
 
 
 class SuffixAutomaton:
@@ -106,48 +107,99 @@ class LanguageModel:
     def __init__(self, samples: dict[str, list[str]], sample_chars: int = SAMPLE_CHARS) -> None:
         self.languages = sorted(samples)
         self.automata: list[SuffixAutomaton] = []
-        self.norms: list[float] = []
-        self.limits: list[int] = []
+        self._table: np.ndarray | None = None
+        self._numbers: np.ndarray | None = None
+        unseen = []
         for language in self.languages:
             texts = [b" ".join(words_of(t)).decode() for t in samples[language]]
-            seen, unseen = [], []
-            for i, t in enumerate(texts):
-                (unseen if i % 5 == 4 else seen).append(t)
-            automaton = SuffixAutomaton((" " + " ".join(seen or texts) + " ")[:sample_chars])
-            self.automata.append(automaton)
-            own = Counter(w for t in (unseen or texts) for w in t.split())
-            chars = sum(n * (len(w) + 2) for w, n in own.items())
-            self.norms.append(max(1, sum(n * automaton.phrases(f" {w} ") for w, n in own.items())) / max(1, chars))
-        self._known: dict[bytes, tuple[int, ...]] = {}
+            seen = [t for i, t in enumerate(texts) if i % 5 != 4]
+            unseen.append(" ".join(texts[4::5] or texts))
+            self.automata.append(SuffixAutomaton((" " + " ".join(seen) + " ")[:sample_chars]))
+        self.norms = [1.0] * len(self.languages)
+        if self.languages:
+            counts, chars = self.phrases(unseen)
+            self.norms = [max(1, int(counts[i, i])) / int(chars[i]) for i in range(len(unseen))]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}}
-
-    def costs(self, text: str) -> list[float]:
-        """Normalised phrases per character, by language."""
-        known = self._known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        counts = Counter(words_of(text))
-        totals, chars = [0] * len(self.automata), 0
-        for word, n in counts.items():
-            found = known.get(word)
-            if found is None:
-                framed = f" {word.decode()} "
-                found = known[word] = tuple(a.phrases(framed) for a in self.automata)
-            chars += n * (len(word) + 2)
-            for i, x in enumerate(found):
-                totals[i] += n * x
-        return [t / (max(1, chars) * norm) for t, norm in zip(totals, self.norms, strict=True)]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and how sure it is (0 to 1); `und` for a text without letters."""
-        if not self.languages or not has_letter(text):
-            return "und", 0.0
-        costs = self.costs(text)
-        best = min(range(len(costs)), key=costs.__getitem__)
-        weights = [math.exp(8 * (costs[best] - c)) for c in costs]
-        return self.languages[best], 1 / sum(weights)
+        return self.__dict__ | {"_table": None, "_numbers": None}  # each worker builds its own
+
+    def _build(self) -> None:
+        """The table: by language, state and character the next state's row and, in the two lowest bits, how many phrases end there."""
+        letters = sorted(set().union(*(a.number for a in self.automata)))
+        self._unknown, self._none = len(letters), len(letters) + 1  # a character that no sample has, and no character at all
+        width = len(letters) + 2
+        self._numbers = np.full(0x110000, self._unknown, np.int32)
+        self._numbers[[ord(c) for c in letters]] = np.arange(len(letters))
+        parts, self._roots, first = [], [], 0
+        for automaton in self.automata:
+            own = np.array([letters.index(c) for c in automaton.number], np.int64)
+            keys, after = (np.fromiter(x, np.int64, len(automaton.table)) for x in (automaton.table.keys(), automaton.table.values()))
+            states = int(after.max(initial=0)) + 1
+            steps = np.full((states, width), -1, np.int64)
+            steps[keys // automaton.width, own[keys % automaton.width]] = after
+            root = first * width
+            begins = steps[0].copy()  # where a phrase that begins with a character leads to
+            fresh = np.where(begins >= 0, 4 * (root + begins * width) + 1, 4 * root + 2)
+            values = np.where(steps >= 0, 4 * (root + steps * width), fresh[None, :])
+            values[0] = np.where(begins >= 0, 4 * (root + begins * width), 4 * root + 1)  # at a root no phrase is open
+            values[:, self._none] = 4 * (root + np.arange(states) * width)
+            parts.append(values)
+            self._roots.append(root)
+            first += states
+        table = np.concatenate(parts).reshape(-1)
+        self._table = table.astype(np.int32) if table.max(initial=0) < 1 << 31 else table
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of the greedy parse of each text (rows) in each language, and the characters that were parsed."""
+        if self._table is None:
+            self._build()
+        codes = [self._numbers[np.frombuffer(f" {' '.join(x.decode() for x in words_of(t))} ".encode("utf-32-le"), "<u4")] for t in texts]
+        sizes = np.array([len(c) for c in codes], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        falling = sizes[order]
+        begins = (np.cumsum(sizes) - sizes)[order]
+        flat = np.concatenate([*codes, np.array([self._none], np.int32)])
+        roots = np.array(self._roots, np.int64)[:, None]
+        states, counts = np.repeat(roots, len(texts), 1), np.zeros((len(roots), len(texts)), np.int64)
+        at, n = 0, int((falling > 0).sum())
+        while n >= ALONE:
+            places = np.arange(at, at + BAND)[:, None]
+            rows = flat[np.where(places < falling[None, :n], begins[None, :n] + places, len(flat) - 1)]
+            state, count = states[:, :n].copy(), counts[:, :n].copy()
+            for row in rows:
+                step = self._table.take(state + row)
+                count += step & 3
+                state = step >> 2
+            states[:, :n], counts[:, :n] = state, count
+            at += BAND
+            n = int((falling > at).sum())
+        table = memoryview(self._table)
+        for i in range(n):  # the ends of the longest texts
+            rest = flat[begins[i] + at : begins[i] + falling[i]].tolist()
+            for k in range(len(roots)):
+                state, count = int(states[k, i]), 0
+                for c in rest:
+                    step = table[state + c]
+                    count += step & 3
+                    state = step >> 2
+                states[k, i] = state
+                counts[k, i] += count
+        counts += states != roots  # the last phrase is open yet
+        out = np.empty_like(counts.T)
+        out[order] = counts.T
+        return out, sizes
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language of each text and how sure it is (0 to 1); `und` for texts without letters. Ties go to the first name."""
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        asked = [i for i, t in enumerate(texts) if self.languages and has_letter(t)]
+        if asked:
+            counts, chars = self.phrases([texts[i] for i in asked])
+            costs = counts / (chars[:, None] * np.array(self.norms)[None, :])
+            for i, row in zip(asked, costs.tolist(), strict=True):
+                best = min(range(len(row)), key=row.__getitem__)
+                out[i] = self.languages[best], 1 / sum(math.exp(8 * (row[best] - c)) for c in row)
+        return out
 
 
 def sample_texts(documents: DataFrame, learn: Column, n: int = SAMPLE_DOCS) -> dict[str, list[str]]:
@@ -171,7 +223,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in slices(batches, "text"):
-            found = [own.predict(t) for t in batch.column("text").to_pylist()]
+            found = own.predict_all(batch.column("text").to_pylist())
             yield same_rows(batch, ["doc_id"], {
                 "lang_pred": pa.array([x for x, _ in found], pa.string()),
                 "score": pa.array([s for _, s in found], pa.float64()),

@@ -211,7 +211,7 @@ def longest(sample, text, at):
     return n
 
 
-def test_language_by_brute_force(spark):
+def test_language_by_brute_force(monkeypatch):
     """Predictions follow from phrases that are counted by plain substring search."""
     rng = random.Random(6)
     stems = {"aa": ["tion", "the", "ing"], "bb": ["lich", "sch", "the"], "cc": ["que", "eau", "ing"]}
@@ -220,21 +220,22 @@ def test_language_by_brute_force(spark):
     model = language.LanguageModel(samples)
     kept = {x: " " + " ".join(t for i, t in enumerate(samples[x]) if i % 5 != 4) + " " for x in stems}
 
-    def phrases(sample, word):
+    def phrases(sample, text):
         at = n = 0
-        while at < len(word):
-            at += max(1, longest(sample, word, at))
+        while at < len(text):
+            at += max(1, longest(sample, text, at))
             n += 1
         return n
 
-    for _ in range(40):
-        text = make(rng.choice(list(stems)), rng.randrange(1, 12)) + rng.choice(["", " ÉTÉ", " 12 !?", "\nxx"])
-        own = [f" {w.decode()} " for w in language.words_of(text)]
-        costs = {}
-        for x, norm in zip(model.languages, model.norms, strict=True):
-            costs[x] = sum(phrases(kept[x], w) for w in own) / (sum(len(language_word.strip().encode()) + 2 for language_word in own) * norm)
-        assert model.costs(text) == pytest.approx([costs[x] for x in model.languages])
-        assert model.predict(text)[0] == min(model.languages, key=lambda x: costs[x])
+    texts = [make(rng.choice(list(stems)), rng.randrange(1, 40)) + rng.choice(["", " ÉTÉ", " 12 !?", "\nxx"]) for _ in range(60)] + ["", "é", "zz zz"]
+    own = [" " + " ".join(w.decode() for w in language.words_of(t)) + " " for t in texts]
+    want = np.array([[phrases(kept[x], t) for x in model.languages] for t in own])
+    for alone in (1, 12, 1000):
+        monkeypatch.setattr(language, "ALONE", alone)
+        counts, chars = model.phrases(texts)
+        assert (counts == want).all() and chars.tolist() == [len(t) for t in own]
+    costs = want / np.array([len(t) for t in own])[:, None] / np.array(model.norms)
+    assert [x for x, _ in model.predict_all(texts)] == [model.languages[int(np.argmin(c))] if t else "und" for t, c in zip(texts, costs, strict=True)]
 
 
 def test_language_of_awkward_rows(spark, nothing):
@@ -252,7 +253,7 @@ def test_language_of_awkward_rows(spark, nothing):
 
 def test_a_tie_of_languages_goes_to_the_first():
     same = ["the same text for both of them"] * 6
-    assert language.LanguageModel({"b": same, "a": same}).predict("the text")[0] == "a"
+    assert language.LanguageModel({"b": same, "a": same}).predict_all(["the text"])[0][0] == "a"
 
 
 # --- SimHash

@@ -2,20 +2,26 @@
 
 Sampled suffixes are sorted and named, the suffixes between them are decided from the
 names, and adjacent prefixes are compared. The sample is not taken by residues of the
-position but by content: a suffix is sampled if the hash of its first GRAM bytes is the
-least of some window, so that every passage of `length` bytes holds a sample whose place
-in it depends on nothing but the passage. One passage in about 170 bytes is sampled, and
-equal passages have equal samples at equal places.
+position but by content: a suffix is sampled if the hash of its first items is the least of
+some window, so that every passage of the wanted length holds a sample whose place in it
+depends on nothing but the passage, and equal passages have equal samples at equal places.
+
+Passages are looked for in two units at once: of LENGTH bytes, which are removed, and of
+WORDS words (between ASCII white space), which are only counted, as prose of so many words
+may be shorter. A sample of bytes is one of about 170, a sample of words one of 22.
 
 1. Samples: per document the sampled places with the range of starts that each decides,
-   and the name (hash) of the text that those starts cover, its context.
+   and the name (hash) of the text that those starts cover, its context. Samples whose gram
+   occurs once are dropped.
 2. Names: samples are grouped by their gram. A context that occurs twice is repeated as a
    whole, and so are all starts that it decides.
 3. Remaining starts: where a gram has several contexts, one copy of each is cut from its
-   document, every start in it gets the name of its `length`-byte prefix, and equal
-   prefixes are found after a sort by name. The contexts of a gram meet in one task if they
-   are few; of very many, the names are counted over all tasks.
+   document, every start in it gets the name of its passage, and equal names are found after
+   a sort. The contexts of a gram meet in one task if they are few; of very many, the names
+   are counted over all tasks.
 4. The repeated starts return to their documents, which drop the bytes they cover.
+
+Texts are compressed where they are shuffled.
 """
 
 from __future__ import annotations
@@ -26,15 +32,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statutory.llm.common import materialize, same_rows, slices, utf8
+from statutory.llm.common import SLICE_BYTES, materialize, same_rows, slices, utf8
 
 LENGTH = 400
 GRAM = 64
-#: Starts of a text that are sampled at once.
+#: The same in words.
+WORDS, WORD_GRAM = 51, 8
+#: Starts of a text that are sampled at once; PLACE_BITS hold a place among them.
 CHUNK_STARTS = 1 << 20
+PLACE_BITS = 21
 #: Contexts of a gram up to which they are compared in one task; of more, the names of all starts are counted.
 GROUP_CONTEXTS = 2000
 _BASE = 0x9E3779B97F4A7C15
@@ -69,20 +79,46 @@ def _power(n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
-def _sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the hash of every substring follows."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_bytes_table()[data] * _power(len(data)), out=out[1:])
+def _sums(symbols: np.ndarray) -> np.ndarray:
+    """Prefix sums from which the hash of every run of symbols (a word of 64 bits for each item) follows."""
+    out = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * _power(len(symbols)), out=out[1:])
     return out
 
 
+def byte_symbols(text: bytes) -> np.ndarray:
+    return _bytes_table()[np.frombuffer(text, np.uint8)]
+
+
+#: White space of ASCII, which parts words.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and ends."""
+    edge = np.diff(np.concatenate([[True], _SPACE[np.frombuffer(text, np.uint8)], [True]]).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def word_symbols(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Names of the words, a stretch of the text at a time."""
+    out, i = [np.zeros(0, np.uint64)], 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_STARTS, "right")))
+        base = int(starts[i])
+        sums = _sums(byte_symbols(text[base : int(ends[j - 1])]))
+        out.append(_hashes(sums, starts[i:j] - base, ends[i:j] - base))
+        i = j
+    return np.concatenate(out)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
 def _hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end], also by the length."""
+    """Hashes of symbols[start:end], also by the length."""
     raw = (sums[ends] - sums[starts]) * _power(len(sums), inverse=True)[starts]
     return _mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
@@ -91,84 +127,118 @@ def _grams(sums: np.ndarray, size: int) -> np.ndarray:
     return _mix((sums[size:] - sums[:-size]) * _power(len(sums) - size, inverse=True))
 
 
-def samples(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """First start that each sampled place decides, how many more it decides, its gram and its context's name."""
-    sums = _sums(data)
+def samples(symbols: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """First start that each sampled place decides, how many more it decides, its gram and its context's name.
+
+    A place is sampled by a start if its gram is the least of the start's window, the first
+    of equal ones; grams are ordered by their higher bits, beside which the place stands.
+    """
+    sums = _sums(symbols)
     grams = _grams(sums, gram)
     window = length - gram + 1
     n = len(grams) - window + 1  # starts of passages
-    # the last place of the least gram of every window, by running minima from both sides of blocks
+    # the least of every window, by running minima from both sides of blocks
     size = -(-len(grams) // window) * window
-    padded = np.full(size, _MASK, np.uint64)
-    padded[: len(grams)] = grams
-    blocks = padded.reshape(-1, window)
+    ordered = np.full(size, _MASK, np.uint64)
+    ordered[: len(grams)] = (grams >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(grams), dtype=np.uint64)
+    blocks = ordered.reshape(-1, window)
     ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     least = np.minimum(back[:n], ahead[window - 1 : window - 1 + n])
-    # runs of equal minima; a run ends where its place leaves the window
-    at_least = np.flatnonzero(np.diff(least, prepend=~least[:1]))
-    places, firsts, lasts = [], [], []
-    ends = np.append(at_least[1:], n)
-    for first, end in zip(at_least.tolist(), ends.tolist(), strict=True):
-        while first < end:
-            equal = np.flatnonzero(grams[first : first + window] == least[first])
-            place = first + int(equal[0])  # the first of equal grams, until it leaves the window
-            last = min(end - 1, place)
-            places.append(place)
-            firsts.append(first)
-            lasts.append(last)
-            first = last + 1
-    p, a, b = (np.array(x, np.int64) for x in (places, firsts, lasts))
-    context = _mix(_hashes(sums, a, b + length) + (p - a).astype(np.uint64))
-    return a, b - a, grams[p].view(np.int64), context.view(np.int64)
-
-
-def _sample_batches(length: int, gram: int):
+    place = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    last = np.append(first[1:], n) - 1
+    at = place[first]
+    context = _mix(_hashes(sums, first, last + length) + (at - first).astype(np.uint64))
+    return first, last - first, grams[at], context
+
+
+#: What sets the names of the two units apart.
+_UNIT = (np.uint64(0), np.uint64(0x5851F42D4C957F2D))
+
+
+def _places(first: np.ndarray, more: np.ndarray, words: bool) -> np.ndarray:
+    """A sample's first start, how many more it decides, and its unit, in one number."""
+    return first << (PLACE_BITS + 1) | more << 1 | int(words)
+
+
+def _read_place(place: int) -> tuple[int, int, bool]:
+    return place >> (PLACE_BITS + 1), place >> 1 & (1 << PLACE_BITS) - 1, bool(place & 1)
+
+
+def _sample_batches(length: int, gram: int, words: int):
+    def of(symbols: np.ndarray, size: int, width: int, unit: int) -> Iterator[tuple[np.ndarray, ...]]:
+        for at in range(0, len(symbols) - size + 1, CHUNK_STARTS):
+            first, more, grams, context = samples(symbols[at : at + CHUNK_STARTS + size - 1], size, width)
+            yield _places(first + at, more, bool(unit)), (grams ^ _UNIT[unit]).view(np.int64), (context ^ _UNIT[unit]).view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             keys = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), utf8(batch, "text"), strict=True)
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for k1, k2, text in keys:
-                data = np.frombuffer(text, np.uint8)
-                for at in range(0, len(data) - length + 1, CHUNK_STARTS):
-                    found = samples(data[at : at + CHUNK_STARTS + length - 1], length, gram)
-                    first, n = found[0] + at, len(found[0])
-                    for column, values in zip(out, (np.full(n, k1), np.full(n, k2), first, *found[1:]), strict=True):
+                found = [x for at in range(0, len(text) - length + 1, CHUNK_STARTS) for x in of_bytes(text, at)]
+                found += of(word_symbols(text, *word_bounds(text)), words, min(WORD_GRAM, words), 1)
+                for place, grams, context in found:
+                    n = len(place)
+                    for column, values in zip(out, (np.full(n, k1), np.full(n, k2, np.int32), place, grams, context), strict=True):
                         column.append(values)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["k1", "k2", "first", "more", "gram", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["k1", "k2", "place", "gram", "context"])
+
+    def of_bytes(text: bytes, at: int) -> Iterator[tuple[np.ndarray, ...]]:
+        for place, grams, context in of(byte_symbols(text[at : at + CHUNK_STARTS + length - 1]), length, gram, 0):
+            yield place + (at << (PLACE_BITS + 1)), grams, context
 
     return run
 
 
-def _cut_batches(length: int):
+def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        press = zstandard.ZstdCompressor(level=1).compress
+        yield same_rows(batch, ["doc_id", "k1", "k2"], {"packed": pa.array([press(t) for t in utf8(batch, "text")], pa.binary())})
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x) for x in batch.column("packed").to_pylist()]
+
+
+def _cut_batches(length: int, words: int):
     """Cut the wanted contexts: a row with the text for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            gram, context, once, piece = [], [], [], []
-            for text, wanted in zip(utf8(batch, "text"), batch.column("cuts").to_pylist(), strict=True):
+        for batch in slices(batches, "packed", SLICE_BYTES // 4):
+            gram, context, once, unit, piece = [], [], [], [], []
+            for text, wanted in zip(_texts(batch), batch.column("cuts").to_pylist(), strict=True):
+                bounds = None
                 for cut in wanted or ():
+                    first, more, of_words = _read_place(cut["place"])
+                    if of_words:
+                        bounds = bounds or word_bounds(text)
+                        piece.append(text[bounds[0][first] : bounds[1][first + more + words - 1]])
+                    else:
+                        piece.append(text[first : first + more + length])
                     gram.append(cut["gram"])
                     context.append(cut["context"])
                     once.append(cut["once"])
-                    piece.append(text[cut["first"] : cut["first"] + cut["more"] + length])
+                    unit.append(of_words)
             if gram:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram, pa.int64()), pa.array(context, pa.int64()), pa.array(once, pa.bool_()), pa.array(piece, pa.binary())],
-                    names=["gram", "context", "once", "piece"],
+                    [pa.array(gram, pa.int64()), pa.array(context, pa.int64()), pa.array(once, pa.bool_()), pa.array(unit, pa.bool_()), pa.array(piece, pa.binary())],
+                    names=["gram", "context", "once", "words", "piece"],
                 )
 
     return run
 
 
-def _name_batches(length: int):
+def _name_batches(length: int, words: int):
     """The name of the passage at every start of the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, piece in enumerate(batch.column("piece").to_pylist()):
-                names = passage_names(piece, length).view(np.int64)
+            for i, (piece, unit) in enumerate(zip(batch.column("piece").to_pylist(), batch.column("words").to_pylist(), strict=True)):
+                names = passage_names(piece, length, words, unit).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names), pa.repeat(batch.column("context")[i], len(names)), pa.array(np.arange(len(names), dtype=np.int32)), pa.repeat(batch.column("once")[i], len(names))],
                     names=["name", "context", "start", "once"],
@@ -177,25 +247,26 @@ def _name_batches(length: int):
     return run
 
 
-def passage_names(text: bytes, length: int) -> np.ndarray:
-    """The name of the passage of length bytes at every start in text."""
-    sums = _sums(np.frombuffer(text, np.uint8))
-    starts = np.arange(len(text) - length + 1)
-    return _hashes(sums, starts, starts + length)
+def passage_names(text: bytes, length: int, words: int, unit: bool) -> np.ndarray:
+    """The name of the passage of so many bytes, or words, at every start in text."""
+    size = words if unit else length
+    symbols = word_symbols(text, *word_bounds(text)) if unit else byte_symbols(text)
+    starts = np.arange(len(symbols) - size + 1)
+    return _hashes(_sums(symbols), starts, starts + size) ^ _UNIT[unit]
 
 
-def _compare_batches(length: int):
+def _compare_batches(length: int, words: int):
     """Repeated starts of the contexts that occur once; rows come sorted by gram, of at most GROUP_CONTEXTS contexts each."""
 
     def search(group: list[tuple]) -> list[tuple[int, int]]:
         if len(group) < 2:
             return []
-        names = [passage_names(piece, length) for *_, piece in group]
+        names = [passage_names(piece, length, words, unit) for *_, unit, piece in group]
         every, counts = np.unique(np.concatenate(names), return_counts=True)
         repeated = every[counts > 1]
         found = []
         if len(repeated):
-            for (_, context, once, _), own in zip(group, names, strict=True):
+            for (_, context, once, *_), own in zip(group, names, strict=True):
                 if once:
                     found += [(context, int(x)) for x in np.flatnonzero(np.isin(own, repeated))]
         return found
@@ -216,7 +287,7 @@ def _compare_batches(length: int):
         group: list[tuple] = []
         for batch in slices(batches, "piece"):
             found = []
-            for row in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 if group and group[0][0] != row[0]:
                     found += search(group)
                     group = []
@@ -229,17 +300,23 @@ def _compare_batches(length: int):
     return run
 
 
-def _remove_batches(length: int):
+def _merged(spans: Iterator[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
+def _remove_batches(length: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            n_bytes, n_removed, spans, kept = [], [], [], []
-            for text, hits in zip(utf8(batch, "text"), batch.column("hits").to_pylist(), strict=True):
-                gone: list[list[int]] = []
-                for low, high in sorted((h["low"], h["high"]) for h in hits or ()):
-                    if gone and low <= gone[-1][1]:
-                        gone[-1][1] = max(gone[-1][1], high + length)
-                    else:
-                        gone.append([low, high + length])
+        for batch in slices(batches, "packed", SLICE_BYTES // 4):
+            n_bytes, n_removed, spans, kept, repeated = [], [], [], [], []
+            for text, hits in zip(_texts(batch), batch.column("hits").to_pylist(), strict=True):
+                gone = _merged((h["low"], h["high"] + length) for h in hits or () if not h["words"])
+                again = _merged((h["low"], h["high"] + words) for h in hits or () if h["words"])
                 at, left = 0, []
                 for low, high in gone:
                     left.append(text[at:low])
@@ -249,63 +326,75 @@ def _remove_batches(length: int):
                 n_bytes.append(len(text))
                 n_removed.append(len(text) - len(kept[-1]))
                 spans.append([{"start": a, "end": b} for a, b in gone])
+                repeated.append(sum(b - a for a, b in again))
             span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
             yield same_rows(batch, ["doc_id"], {
                 "n_bytes": pa.array(n_bytes, pa.int64()),
                 "n_removed": pa.array(n_removed, pa.int64()),
                 "spans": pa.array(spans, pa.list_(span)),
                 "kept": pa.array(kept, pa.binary()),
+                "n_repeated_words": pa.array(repeated, pa.int64()),
             })
 
     return run
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = WORDS) -> DataFrame:
     """Drop every byte covered by a passage of `length` bytes that also starts anywhere else.
 
     Passages are judged on the input, so all copies go, the first one too; they may overlap
     and may lie in the same document, but never cross documents.
 
-    Returns doc_id, n_bytes, n_removed, spans (maximal removed byte ranges [start, end)) and
-    kept (the remaining bytes, which may end inside a character). Null texts are empty; texts
-    shorter than `length` are kept; a repeated row is a copy like any other, with or without
-    an id; other columns are ignored.
+    Returns doc_id, n_bytes, n_removed, spans (maximal removed byte ranges [start, end)), kept
+    (the remaining bytes, which may end inside a character) and n_repeated_words (words that
+    lie in a run of `words` words, equal byte by byte whatever parts them, that also starts
+    anywhere else; nothing is removed for these). Null texts are empty; texts that are too
+    short are kept; a repeated row is a copy like any other, with or without an id; other
+    columns are ignored.
+
+    A document is known by a 64-bit hash of its id and text and by its length.
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("doc_id").alias("k1"), F.xxhash64("text").alias("k2"))
-    found = rows.select("k1", "k2", "text").mapInArrow(_sample_batches(length, gram), "k1 long, k2 long, first long, more long, gram long, context long")
+    rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.octet_length("text").alias("k2"))
+    doc_type = documents.schema["doc_id"].dataType.simpleString()
+    packed = rows.mapInArrow(_pack_batches, f"doc_id {doc_type}, k1 long, k2 int, packed binary")
+    found = rows.select("k1", "k2", "text").mapInArrow(_sample_batches(length, gram, words), "k1 long, k2 int, place long, gram long, context long")
     found = materialize(found)
-    contexts = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "more")).alias("copy"))
-    grams = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("all > 1")
+    again = materialize(found.groupBy("gram").count().where("count > 1").select("gram"))
+    found = materialize(found.join(again, "gram", "left_semi"))
+    contexts = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("copy"))
+    grams = contexts.groupBy("gram").agg(F.count("*").alias("m"))
     contexts = materialize(contexts.join(grams, "gram"))
 
     def cut(wanted: DataFrame) -> DataFrame:
         cuts = wanted.groupBy(F.col("copy.k1").alias("k1"), F.col("copy.k2").alias("k2")).agg(
-            F.collect_list(F.struct("copy.first", "copy.more", "gram", "context", (F.col("n") == 1).alias("once"))).alias("cuts")
+            F.collect_list(F.struct("copy.place", "gram", "context", (F.col("n") == 1).alias("once"))).alias("cuts")
         )
         # all joins with the texts have the same left side, which is shuffled once and used again
-        return rows.join(cuts, ["k1", "k2"], "left").select("text", "cuts").mapInArrow(_cut_batches(length), "gram long, context long, once boolean, piece binary")
+        return packed.join(cuts, ["k1", "k2"], "left").select("packed", "cuts").mapInArrow(_cut_batches(length, words), "gram long, context long, once boolean, words boolean, piece binary")
 
     small = cut(contexts.where((F.col("m") > 1) & (F.col("m") <= GROUP_CONTEXTS)))
-    part = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare_batches(length), "context long, low int, high int")
+    part = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare_batches(length, words), "context long, low int, high int")
     large = contexts.where((F.col("m") > 1) & (F.col("m") > GROUP_CONTEXTS))
     if not large.isEmpty():  # no task holds such a group: names are counted before they are shuffled
-        named = materialize(cut(large).mapInArrow(_name_batches(length), "name long, context long, start int, once boolean"))
-        again = materialize(named.groupBy("name").count().where("count > 1").select("name"))
-        part = part.union(named.where("once").join(again, "name").select("context", F.col("start").alias("low"), F.col("start").alias("high")))
-    whole = contexts.where("n > 1").select("context", F.lit(0).alias("low"), F.col("copy.more").cast("int").alias("high"))
-    hits = found.select("k1", "k2", "first", "context").join(whole.union(part), "context").groupBy("k1", "k2").agg(
-        F.collect_set(F.struct((F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))).alias("hits")
+        named = materialize(cut(large).mapInArrow(_name_batches(length, words), "name long, context long, start int, once boolean"))
+        twice = materialize(named.groupBy("name").count().where("count > 1").select("name"))
+        part = part.union(named.where("once").join(twice, "name").select("context", F.col("start").alias("low"), F.col("start").alias("high")))
+    first = F.shiftright("place", PLACE_BITS + 1)
+    more = F.shiftright("copy.place", 1).bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long"))
+    whole = contexts.where("n > 1").select("context", F.lit(0).alias("low"), more.cast("int").alias("high"))
+    unit = F.col("place").bitwiseAND(F.lit(1).cast("long")) == 1
+    hits = found.select("k1", "k2", "place", "context").join(whole.union(part), "context").groupBy("k1", "k2").agg(
+        F.collect_set(F.struct((first + F.col("low")).alias("low"), (first + F.col("high")).alias("high"), unit.alias("words"))).alias("hits")
     )
-    doc_type = documents.schema["doc_id"].dataType.simpleString()
-    return rows.join(hits, ["k1", "k2"], "left").select("doc_id", "text", "hits").mapInArrow(
-        _remove_batches(length),
-        f"doc_id {doc_type}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary",
+    return packed.join(hits, ["k1", "k2"], "left").select("doc_id", "packed", "hits").mapInArrow(
+        _remove_batches(length, words),
+        f"doc_id {doc_type}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, n_repeated_words long",
     )
 
 
 def repeat_report(documents: DataFrame) -> DataFrame:
-    """Counts and the digest of what is left for every document."""
+    """Counts and the digest of what is left for every document, and the words in repeated runs of over 50."""
     return remove_repeats(documents).select(
-        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_words"
     )

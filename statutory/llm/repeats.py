@@ -46,7 +46,7 @@ WORDS, WORD_GRAM = 51, 8
 CHUNK_STARTS = 1 << 20
 PLACE_BITS = 21
 #: Contexts of a gram up to which they are compared in one task; of more, the names of all starts are counted.
-GROUP_CONTEXTS = 2000
+GROUP_CONTEXTS = 8000
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -210,9 +210,10 @@ def _cut_batches(length: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed", SLICE_BYTES // 4):
             gram, context, once, unit, piece = [], [], [], [], []
-            for text, wanted in zip(_texts(batch), batch.column("cuts").to_pylist(), strict=True):
+            rows = batch.filter(batch.column("cuts").is_valid())
+            for text, wanted in zip(_texts(rows), rows.column("cuts").to_pylist(), strict=True):
                 bounds = None
-                for cut in wanted or ():
+                for cut in wanted:
                     first, more, of_words = _read_place(cut["place"])
                     if of_words:
                         bounds = bounds or word_bounds(text)
@@ -370,15 +371,15 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
         cuts = wanted.groupBy(F.col("copy.k1").alias("k1"), F.col("copy.k2").alias("k2")).agg(
             F.collect_list(F.struct("copy.place", "gram", "context", (F.col("n") == 1).alias("once"))).alias("cuts")
         )
-        # all joins with the texts have the same left side, which is shuffled once and used again
-        return packed.join(cuts, ["k1", "k2"], "left").select("packed", "cuts").mapInArrow(_cut_batches(length, words), "gram long, context long, once boolean, words boolean, piece binary")
+        # all joins with the texts have the same left side and columns, which are shuffled once and used again
+        return packed.join(cuts, ["k1", "k2"], "left").select("doc_id", "packed", "cuts").mapInArrow(_cut_batches(length, words), "gram long, context long, once boolean, words boolean, piece binary")
 
     small = cut(contexts.where((F.col("m") > 1) & (F.col("m") <= GROUP_CONTEXTS)))
     part = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare_batches(length, words), "context long, low int, high int")
     large = contexts.where((F.col("m") > 1) & (F.col("m") > GROUP_CONTEXTS))
     if not large.isEmpty():  # no task holds such a group: names are counted before they are shuffled
-        named = materialize(cut(large).mapInArrow(_name_batches(length, words), "name long, context long, start int, once boolean"))
-        twice = materialize(named.groupBy("name").count().where("count > 1").select("name"))
+        named = cut(large).mapInArrow(_name_batches(length, words), "name long, context long, start int, once boolean")
+        twice = named.groupBy("name").count().where("count > 1").select("name")
         part = part.union(named.where("once").join(twice, "name").select("context", F.col("start").alias("low"), F.col("start").alias("high")))
     first = F.shiftright("place", PLACE_BITS + 1)
     more = F.shiftright("copy.place", 1).bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long"))

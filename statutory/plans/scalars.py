@@ -142,7 +142,12 @@ def like_escape(t: Tables) -> DataFrame:
     return t.bills.select("id", T.escape_like(F.concat("title", F.lit("_50%"))).alias("pattern"), T.contains_folded("title", "MACHIN").alias("found"))
 
 
-@query("strip_markup")
+_TEXT = r"regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g')"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+    _TEXT = f"replace({_TEXT}, '{_name}', '{_char}')"
+
+
+@query("strip_markup", rf"SELECT page_id, trim(regexp_replace(regexp_replace({_TEXT}, '[^\S\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')) AS text FROM pages")
 def strip_markup(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.plain_text("html").alias("text"))
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,6 +61,32 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(start)
 
 
+def row_field(batch: pa.RecordBatch, row: str, field: str) -> pa.Array:
+    """A field of a struct column."""
+    return pc.struct_field(batch.column(row), field)
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], row: str, field: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """As slices, by the sizes of a text in a struct column."""
+    for batch in batches:
+        sized = pa.RecordBatch.from_arrays([batch.column(row), row_field(batch, row, field)], names=[row, "_sized"])
+        for part in slices(iter([sized]), "_sized", limit):
+            yield pa.RecordBatch.from_arrays([part.column(row)], schema=batch.schema)
+
+
+_warm: dict[str, Any] = {}
+
+
+def only_warm(kind: str, model: Any, forget: Callable[[Any], None]) -> Any:
+    """The model; what an earlier one of its kind has come to remember in this Python worker is forgotten."""
+    earlier = _warm.get(kind)
+    if earlier is not model:
+        if earlier is not None:
+            forget(earlier)
+        _warm[kind] = model
+    return model
+
+
 def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The column's texts as UTF-8 bytes; null gives no bytes."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statutory.llm.common import WORD_BYTES, same_rows, slices, utf8
+from statutory.llm.common import WORD_BYTES, row_field, same_rows, slices, utf8
 
 WINDOW = 13
 BLOCK_CHARS = 4_000_000
@@ -132,9 +132,18 @@ def search_shard(texts: list[bytes], block: BenchmarkBlock) -> list[tuple[int, l
     return list(zip(counts, found, strict=True))
 
 
+def _with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of rows that travel as one struct beside them, without a copy."""
+    for batch in batches:
+        if "text" in batch.schema.names:
+            yield batch
+        else:
+            yield pa.RecordBatch.from_arrays([*batch.columns, row_field(batch, "row", "text")], names=[*batch.schema.names, "text"])
+
+
 def _pass(block: BenchmarkBlock, keep: list[str], first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(_with_text(batches), "text"):
             state = None if first else [batch.column(c).to_pylist() for c in ("hits", "items", "matches")]
             n_words, hits, items, longest, matches = [], [], [], [], []
             for i, (n, found) in enumerate(search_shard(utf8(batch, "text"), block)):
@@ -221,14 +230,13 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFram
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns, unchanged.
 
-    One pass over the rows without a shuffle: the row travels beside its text. Clashing
+    One pass over the rows without a shuffle. Clashing
     column names do no harm, as the row is packed into one struct.
     """
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")
-    kind = packed.schema["row"].dataType.simpleString()
-    out = packed
+    out = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    kind = out.schema["row"].dataType.simpleString()
     for k, block in enumerate(benchmark_blocks(benchmark)):
-        out = out.mapInArrow(_pass(block, ["row", "text"], k == 0), f"row {kind}, text string, n_words long, {_STATE}")
+        out = out.mapInArrow(_pass(block, ["row"], k == 0), f"row {kind}, n_words long, {_STATE}")
     return out.where(~is_contaminated()).select("row.*")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statutory.llm.common import materialize, same_rows, slices
+from statutory.llm.common import materialize, only_warm, same_rows, slices
 
 SAMPLE_DOCS = 120
 SAMPLE_CHARS = 60_000
@@ -123,6 +123,9 @@ class LanguageModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_table": None, "_numbers": None}  # each worker builds its own
 
+    def forget(self) -> None:
+        self._table = self._numbers = None
+
     def _build(self) -> None:
         """The table: by language, state and character the next state's row and, in the two lowest bits, how many phrases end there."""
         letters = sorted(set().union(*(a.number for a in self.automata)))
@@ -221,7 +224,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = only_warm("language", shared.value, LanguageModel.forget)
         for batch in slices(batches, "text"):
             found = own.predict_all(batch.column("text").to_pylist())
             yield same_rows(batch, ["doc_id"], {

@@ -29,7 +29,7 @@ from statutory.llm.common import materialize, same_rows, slices
 CAPACITY = 1024
 END_ID = 2
 #: Chunks after which a Python worker forgets those that it has not met since as many were new.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 120_000
 #: Pieces of one length that meet in one task for their ranks; the parts of a length grow with their number.
 RANK_ROWS = 20_000
 #: Counts of parts are broadcast up to this number of rows, and joined by a shuffle beyond it.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statutory.llm.common import WORD_BYTES, materialize, same_rows, slices
+from statutory.llm.common import WORD_BYTES, materialize, only_warm, row_field, row_slices, same_rows, slices
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2400
 LONGEST_SAMPLE = 20_000
@@ -40,7 +40,9 @@ FEATURES = 1 << 16
 TRAIN_TOKENS = 600_000
 #: Places that texts walk together, and the number of texts below which each goes on alone.
 BAND, ALONE = 128, 12
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Text bytes that a task scores at once, except where one text alone is longer.
+SCORED_BYTES = 1 << 20
 #: Tokens above this marginal are offending.
 SPAN_THRESHOLD = 0.5
 
@@ -367,8 +369,8 @@ def score_documents(documents: DataFrame, model: ChainModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in slices(batches, "text"):
+        own = only_warm("toxicity", shared.value, lambda m: m.known.clear())
+        for batch in slices(batches, "text", SCORED_BYTES):
             found = score_texts(own, [t or "" for t in batch.column("text").to_pylist()])
             span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])
             yield same_rows(batch, ["doc_id"], {
@@ -383,5 +385,13 @@ def score_documents(documents: DataFrame, model: ChainModel) -> DataFrame:
 
 def keep_clean(documents: DataFrame, model: ChainModel) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns, in one pass without a shuffle."""
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc_id"), "text")
-    return score_documents(rows, model).where("predicted = 0").select("doc_id.*")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = only_warm("toxicity", shared.value, lambda m: m.known.clear())
+        for batch in row_slices(batches, "row", "text", SCORED_BYTES):
+            found = score_texts(own, [t or "" for t in row_field(batch, "row", "text").to_pylist()])
+            yield batch.filter(pa.array([s < 0.5 for s, _ in found], pa.bool_()))
+
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")

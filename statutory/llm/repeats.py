@@ -237,66 +237,83 @@ def _name_batches(length: int, words: int):
     """The name of the passage at every start of the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, (piece, unit) in enumerate(zip(batch.column("piece").to_pylist(), batch.column("words").to_pylist(), strict=True)):
-                names = passage_names(piece, length, words, unit).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), pa.repeat(batch.column("context")[i], len(names)), pa.array(np.arange(len(names), dtype=np.int32)), pa.repeat(batch.column("once")[i], len(names))],
-                    names=["name", "context", "start", "once"],
-                )
+        for batch in slices(batches, "piece", SLICE_BYTES // 4):
+            names = passage_names(batch.column("piece").to_pylist(), batch.column("words").to_pylist(), length, words)
+            sizes = [len(x) for x in names]
+            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            starts = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(names).view(np.int64)), batch.column("context").take(rows), pa.array(starts), batch.column("once").take(rows)],
+                names=["name", "context", "start", "once"],
+            )
 
     return run
 
 
-def passage_names(text: bytes, length: int, words: int, unit: bool) -> np.ndarray:
-    """The name of the passage of so many bytes, or words, at every start in text."""
-    size = words if unit else length
-    symbols = word_symbols(text, *word_bounds(text)) if unit else byte_symbols(text)
-    starts = np.arange(len(symbols) - size + 1)
-    return _hashes(_sums(symbols), starts, starts + size) ^ _UNIT[unit]
+def passage_names(pieces: list[bytes], units: list[bool], length: int, words: int) -> list[np.ndarray]:
+    """By piece, the name of the passage of so many bytes (or words, by its unit) at every start; all pieces at once."""
+    out = [np.zeros(0, np.uint64)] * len(pieces)
+    for unit in (False, True):
+        own = [i for i, u in enumerate(units) if u == unit]
+        if not own:
+            continue
+        sizes = np.array([len(pieces[i]) for i in own], np.int64)
+        if unit:
+            text, size = b" ".join([pieces[i] for i in own]), words
+            bounds = word_bounds(text)
+            symbols = word_symbols(text, *bounds)
+            ends = np.searchsorted(bounds[0], np.cumsum(sizes + 1))
+        else:
+            size = length
+            symbols = byte_symbols(b"".join([pieces[i] for i in own]))
+            ends = np.cumsum(sizes)
+        begins = np.concatenate([[0], ends[:-1]])
+        starts = np.maximum(ends - begins - size + 1, 0)
+        cuts = np.cumsum(starts)
+        at = np.arange(int(cuts[-1])) + np.repeat(begins - (cuts - starts), starts)
+        names = _hashes(_sums(symbols), at, at + size) ^ _UNIT[unit]
+        for i, part in zip(own, np.split(names, cuts[:-1]), strict=True):
+            out[i] = part
+    return out
 
 
 def _compare_batches(length: int, words: int):
     """Repeated starts of the contexts that occur once; rows come sorted by gram, of at most GROUP_CONTEXTS contexts each."""
 
-    def search(group: list[tuple]) -> list[tuple[int, int]]:
+    def search(group: list[tuple]) -> tuple[np.ndarray, ...] | None:
+        """Contexts with the first and the last start of their repeated stretches."""
         if len(group) < 2:
-            return []
-        names = [passage_names(piece, length, words, unit) for *_, unit, piece in group]
-        every, counts = np.unique(np.concatenate(names), return_counts=True)
-        repeated = every[counts > 1]
-        found = []
-        if len(repeated):
-            for (_, context, once, *_), own in zip(group, names, strict=True):
-                if once:
-                    found += [(context, int(x)) for x in np.flatnonzero(np.isin(own, repeated))]
-        return found
-
-    def pack(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        rows: list[list[int]] = []
-        for context, start in found:
-            if rows and rows[-1][0] == context and rows[-1][2] == start - 1:
-                rows[-1][2] = start
-            else:
-                rows.append([context, start, start])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())],
-            names=["context", "low", "high"],
-        )
+            return None
+        sizes = np.array([len(names) for *_, names in group])
+        _, number, counts = np.unique(np.concatenate([names for *_, names in group]), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(group)), sizes)
+        at = np.flatnonzero((counts[number] > 1) & np.array([once for _, _, once, _ in group])[owner])
+        if not len(at):
+            return None
+        breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(owner[at]) != 0))
+        low, high = at[np.concatenate([[0], breaks + 1])], at[np.append(breaks, len(at) - 1)]
+        begins = np.cumsum(sizes) - sizes
+        context = np.array([context for _, context, *_ in group])
+        return context[owner[low]], low - begins[owner[low]], high - begins[owner[low]]
+
+    def pack(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        context, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(context, pa.int64()), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["context", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        for batch in slices(batches, "piece"):
+        for batch in slices(batches, "piece", SLICE_BYTES // 4):
             found = []
-            for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+            names = passage_names(batch.column("piece").to_pylist(), batch.column("words").to_pylist(), length, words)
+            for row in zip(*[batch.column(i).to_pylist() for i in range(3)], names, strict=True):
                 if group and group[0][0] != row[0]:
-                    found += search(group)
+                    found.append(search(group))
                     group = []
                 group.append(row)
-            if found:
+            if found := [x for x in found if x]:
                 yield pack(found)
-        if found := search(group):
-            yield pack(found)
+        if last := search(group):
+            yield pack([last])
 
     return run
 

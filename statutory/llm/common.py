@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -33,13 +34,31 @@ def materialize(df: DataFrame) -> DataFrame:
     would each write to a disk of their own.
     """
     spark = df.sparkSession
+    _shared_folder(spark)
+    return df.checkpoint()
+
+
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As materialize, but as compressed Parquet, of which later steps read the columns they need.
+
+    The table is deleted when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    place = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def id_hash_remainder(id_col: str, modulus: int) -> Column:

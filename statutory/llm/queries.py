@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statutory.llm import alignment, chat, decontaminate, html, language, lines, media, packing, repeats, simhash, toxicity, whitening
+from statutory.llm import alignment, chat, chosenpath, decontaminate, html, language, lines, media, packing, repeats, simhash, toxicity, whitening
 from statutory.llm.common import id_hash_remainder, table
 
 
@@ -65,6 +65,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op13_chosenpath(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicate_sets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_simhash,
         op11_alignment,
         op12_whitening,
+        op13_chosenpath,
     )
 }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statutory.operators.neighbours import fit_index, nearest_in_cells
 from statutory.operators.windows import first_text, top_per_group
 
 K1, B = 1.5, 0.75
@@ -17,6 +18,8 @@ STOP_WORDS = (
 #: Query vectors up to this number are broadcast; more meet the rows in blocks of BLOCK_ROWS.
 BROADCAST_QUERIES = 20_000
 BLOCK_ROWS = 4096
+#: Similar bills are compared exactly up to this number of vectors, and found by an index beyond it.
+EXACT_ROWS = 50_000
 RRF = 60
 
 
@@ -135,7 +138,7 @@ def similar_bills(vectors: DataFrame, k: int, least: float, block_rows: int = BL
     """The k nearest bills of other jurisdictions of every bill above a score, by exact comparison in blocks.
 
     Every bill is asked for, so the comparison is quadratic by definition; similar_bills_lsh
-    is the way for large tables.
+    scores only what an index leaves.
     """
     rows = unit(vectors).select("bill_id", "jurisdiction_id", "unit")
     found = _nearest_in_blocks(rows.withColumnRenamed("bill_id", "asked_id"), rows.withColumnRenamed("bill_id", "held_id"), k, least, "jurisdiction_id", block_rows)
@@ -143,21 +146,18 @@ def similar_bills(vectors: DataFrame, k: int, least: float, block_rows: int = BL
     return top_per_group(pairs, ["bill_id"], [F.round("score", 9).desc(), "similar_id"], k, rank="rank")
 
 
-def similar_bills_lsh(vectors: DataFrame, k: int, least: float, tables: int = 12, length: float = 0.25, seed: int = 11) -> DataFrame:
-    """As similar_bills, of any jurisdiction, from candidates that share a bucket of a random projection.
+def similar_bills_lsh(vectors: DataFrame, k: int, least: float, recall: float = 0.95) -> DataFrame:
+    """As similar_bills, from a neighbour index fitted to find at least the given share of them; scores are exact."""
+    rows = unit(vectors).select("bill_id", F.col("jurisdiction_id").alias("kind"), "unit")
+    index = fit_index(rows, k, least, recall)
+    found = nearest_in_cells(index, rows, rows, k, least).where("held_id is not null")
+    pairs = found.select(F.col("asked_id").alias("bill_id"), F.col("held_id").alias("similar_id"), "score")
+    return top_per_group(pairs, ["bill_id"], [F.round("score", 9).desc(), "similar_id"], k, rank="rank")
 
-    Approximate: a pair is found if its projections fall into one bucket of `length` in some
-    of the tables. Candidates are ranked exactly. Longer buckets and more tables find more.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = unit(vectors).select("bill_id", "jurisdiction_id", "unit", array_to_vector("unit").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed).fit(rows)
-    radius = (2 * (1 - least)) ** 0.5
-    pairs = model.approxSimilarityJoin(rows, rows, radius, "distance").where("datasetA.bill_id <> datasetB.bill_id")
-    scored = pairs.select(F.col("datasetA.bill_id").alias("bill_id"), F.col("datasetB.bill_id").alias("similar_id"), (1 - F.col("distance") ** 2 / 2).alias("score"))
-    return top_per_group(scored.where(F.col("score") > least), ["bill_id"], [F.round("score", 9).desc(), "similar_id"], k, rank="rank")
+
+def similar(vectors: DataFrame, k: int, least: float, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """similar_bills up to exact_rows vectors, and by the neighbour index beyond them."""
+    return (similar_bills if vectors.count() <= exact_rows else similar_bills_lsh)(vectors, k, least)
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def similar_bills(t: Tables) -> DataFrame:
 
 @query("similar_lsh")
 def similar_lsh(t: Tables) -> DataFrame:
-    """The same from hashed candidates."""
+    """The same from the neighbour index."""
     return S.similar_bills_lsh(t.bill_embeddings, 5, 0.25)
 
 
@@ -102,7 +102,7 @@ def similar_symmetric(t: Tables) -> DataFrame:
 
 @query("similar_fallback", f"WITH {_SIMILAR}, lack AS (SELECT DISTINCT bill_id FROM v_bill_embeddings WHERE bill_id NOT IN (SELECT bill_id FROM best)), st AS (SELECT a AS bill_id, b AS similar_id, max(s) AS score FROM {_PAIRS} p WHERE a IN (SELECT bill_id FROM lack) GROUP BY 1, 2) SELECT bill_id, similar_id, round(score, 6) AS score FROM best UNION ALL SELECT bill_id, similar_id, round(score, 6) FROM (SELECT *, row_number() OVER (PARTITION BY bill_id ORDER BY score DESC, similar_id) AS n FROM st) x WHERE n <= 5")
 def similar_fallback(t: Tables) -> DataFrame:
-    found = S.with_fallback(_similar(t), t.bill_embeddings.select("bill_id"), t.bill_similarities, 5)
+    found = S.with_fallback(S.similar(t.bill_embeddings, 5, 0.25), t.bill_embeddings.select("bill_id"), t.bill_similarities, 5)
     return found.select("bill_id", "similar_id", F.round("score", 6).alias("score"))
 
 
@@ -138,7 +138,7 @@ def embed_pending(t: Tables) -> DataFrame:
 
 @query("diffusion", f"WITH {_SIMILAR} SELECT best.bill_id, count(*) AS bills, count(DISTINCT b.jurisdiction_id) AS jurisdictions, min(b.introduced_date) AS first_date, max(b.introduced_date) AS last_date FROM best JOIN v_bills b ON b.id = best.similar_id GROUP BY 1")
 def diffusion(t: Tables) -> DataFrame:
-    return S.diffusion(_similar(t), t.bills)
+    return S.diffusion(S.similar(t.bill_embeddings, 5, 0.25), t.bills)
 
 
 @query("context_pack", "SELECT bill_id, 'Versions:' || chr(10) || string_agg(substr(content_text, 1, 300), chr(10) || '---' || chr(10) ORDER BY version_date, id) AS context FROM v_bill_texts GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statutory.operators.aggregates import option_counts
@@ -93,17 +93,40 @@ def member_summary(votes: DataFrame) -> DataFrame:
     return option_counts(votes, ["congress", "chamber", "person_id"]).drop("total")
 
 
+def event_places(votes: DataFrame, keys: list[str], buckets: int = 64) -> DataFrame:
+    """A place for every event of the votes: keys, bucket and block name 64 events at most, bit is the place among them.
+
+    Events are numbered inside buckets of their keys, so no task numbers all events of one key.
+    """
+    events = votes.select(*keys, "vote_event_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("vote_event_id"), F.lit(buckets)).cast("int"))
+    place = F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("vote_event_id")) - 1
+    return events.withColumn("block", F.floor(place / F.lit(64)).cast("int")).withColumn("bit", F.pmod(place, F.lit(64)))
+
+
+def vote_bits(votes: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
+    """Per member and block of events, the events of its yea and of its nay votes as the bits of two longs."""
+    bit = F.expr("shiftleft(1L, bit)")
+    placed = votes.where("option in ('yea', 'nay')").join(places, [*keys, "vote_event_id"])
+    either = {side: F.bit_or(F.when(F.col("option") == side, bit).otherwise(F.lit(0).cast("long"))).alias(side) for side in ("yea", "nay")}
+    return placed.groupBy(*keys, "bucket", "block", "person_id").agg(*either.values())
+
+
+def _bits_of(bits: DataFrame, end: str, keep: list[str]) -> DataFrame:
+    return bits.select(*keep, F.col("person_id").alias(end), F.col("yea").alias(f"yea_{end}"), F.col("nay").alias(f"nay_{end}"))
+
+
 def pairwise_agreement(votes: DataFrame, keys: list[str]) -> DataFrame:
     """Per pair of members a < b: events where both said yea or nay, and where they agree.
 
-    The pairs of one event are the result's own support; votes are one row per event and
-    person, and the pair counts are combined before they are shuffled.
+    votes has one row for each event and person. Members meet per block of 64 events: two
+    ANDs count what they share, so a pair is a row per block and not per event.
     """
-    held = votes.where("option in ('yea', 'nay')")
-    a = held.select(*keys, "vote_event_id", F.col("person_id").alias("a"), F.col("option").alias("option_a"))
-    b = held.select("vote_event_id", F.col("person_id").alias("b"), F.col("option").alias("option_b"))
-    pairs = a.join(b, "vote_event_id").where("a < b")
-    return pairs.groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"), F.count(F.when(F.col("option_a") == F.col("option_b"), 1)).alias("agreements"))
+    bits = vote_bits(votes, event_places(votes, keys), keys)
+    block = [*keys, "bucket", "block"]
+    pairs = _bits_of(bits, "a", block).join(_bits_of(bits, "b", block), block).where("a < b")
+    met = pairs.select(*keys, "a", "b", F.expr("bit_count((yea_a | nay_a) & (yea_b | nay_b))").alias("met"), F.expr("bit_count(yea_a & yea_b) + bit_count(nay_a & nay_b)").alias("agreed"))
+    counted = met.where("met > 0").groupBy(*keys, "a", "b").agg(F.sum("met").alias("shared"), F.sum("agreed").alias("agreements"))
+    return counted.select(*keys, "a", "b", "shared", "agreements")
 
 
 def same_party_pairs(members: DataFrame, least: int) -> DataFrame:
@@ -115,12 +138,20 @@ def same_party_pairs(members: DataFrame, least: int) -> DataFrame:
 
 
 def disagreements(votes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Events on which the two of a pair voted yea and nay, as a sorted list; an empty one is kept."""
-    held = votes.where("option in ('yea', 'nay')")
-    a = held.select("vote_event_id", F.col("person_id").alias("a"), F.col("option").alias("oa"))
-    b = held.select("vote_event_id", F.col("person_id").alias("b"), F.col("option").alias("ob"))
-    met = a.join(b, "vote_event_id").where("a < b and oa <> ob").join(pairs.select("a", "b"), ["a", "b"], "left_semi")  # events first: far fewer rows than pairs x votes
-    lists = met.groupBy("a", "b").agg(F.array_sort(F.collect_set("vote_event_id")).alias("events"))
+    """Events on which the two of a pair voted yea and nay, as a sorted list; an empty one is kept.
+
+    A pair meets its members' bits block by block; only bits that differ become events again.
+    """
+    asked = pairs.select("a", "b").distinct()
+    members = asked.select(F.col("a").alias("person_id")).union(asked.select(F.col("b").alias("person_id"))).distinct()
+    held = votes.join(members, "person_id", "left_semi")
+    places = event_places(held, [])
+    bits = vote_bits(held, places, [])
+    block = ["bucket", "block"]
+    met = asked.join(_bits_of(bits, "a", block), "a").join(_bits_of(bits, "b", block), ["b", *block])
+    apart = met.select("a", "b", *block, F.expr("(yea_a & nay_b) | (nay_a & yea_b)").alias("apart")).where("apart <> 0")
+    single = apart.select("a", "b", *block, F.explode(F.expr("filter(sequence(0, 63), i -> getbit(apart, i) = 1)")).alias("bit"))
+    lists = single.join(places, [*block, "bit"]).groupBy("a", "b").agg(F.array_sort(F.collect_list("vote_event_id")).alias("events"))
     return pairs.join(lists, ["a", "b"], "left").withColumn("events", F.coalesce("events", F.array().cast("array<string>")))
 
 

@@ -85,20 +85,32 @@ def name_collisions(records: DataFrame, people: DataFrame) -> DataFrame:
     return named.groupBy("vote_event_id", "name").agg(F.count_distinct("person_id").alias("n")).where("n > 1")
 
 
+def _trigrams(text: Column) -> Column:
+    return F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, 3))).otherwise(F.array().cast("array<string>"))
+
+
 def window_collisions(members: DataFrame) -> DataFrame:
-    """Members of a window whose name tokens all occur in another member's name there.
+    """Members of a window whose name tokens are all substrings of another member's name there, and n, how many such others.
 
-    members: window columns congress and chamber, person_id and name. Candidates meet on a
-    shared token, so only members that share one are compared.
+    members: window columns congress and chamber, person_id and name. Members of one name are
+    one row with their number. Candidates come from an index of the names' trigrams and
+    letters: a name asks with the one of its tokens' that fewest names of the window hold,
+    and every name with all tokens holds that one too. Candidates are tested on the
+    lower-case names. Names without tokens collide with none.
     """
-    named = members.select("congress", "chamber", "person_id", F.lower("name").alias("low"), core_name_tokens("name").alias("tokens"))
-    token = named.select("congress", "chamber", "person_id", "tokens", F.explode(F.array_distinct("tokens")).alias("token"))
-    asks = token.groupBy("congress", "chamber", "person_id", "tokens").agg(F.max("token").alias("token"))
-    other = token.select("congress", "chamber", "token", F.col("person_id").alias("other")).distinct()
-    names = named.select("congress", "chamber", F.col("person_id").alias("other"), "low")
-    met = asks.join(other, ["congress", "chamber", "token"]).where("person_id <> other").join(names, ["congress", "chamber", "other"])
-    hit = met.where(F.forall("tokens", lambda t: F.contains(F.col("low"), t)))
-    return hit.groupBy("congress", "chamber", "person_id").agg(F.count_distinct("other").alias("n"))
+    window = ["congress", "chamber"]
+    named = members.select(*window, "person_id", F.lower("name").alias("low"), core_name_tokens("name").alias("tokens")).distinct()
+    grams = lambda text: F.array_union(_trigrams(text), F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, 1)))
+    names = named.where(F.length("low") > 0).groupBy(*window, "low").agg(F.count_distinct("person_id").alias("persons"))
+    held = names.select(*window, F.col("low").alias("other"), "persons", F.explode(F.array_distinct(grams(F.col("low")))).alias("gram"))
+    rare = held.groupBy(*window, "gram").agg(F.count("*").alias("holders"))
+    asked = named.where(F.size("tokens") > 0).select(*window, "low", "tokens").distinct()
+    asks = asked.select(*window, "low", "tokens", F.explode(F.array_distinct(F.flatten(F.transform("tokens", grams)))).alias("gram"))
+    best = asks.join(rare, [*window, "gram"]).groupBy(*window, "low", "tokens").agg(F.min(F.struct("holders", "gram")).alias("best"))
+    met = best.select(*window, "low", "tokens", F.col("best.gram").alias("gram")).join(held, [*window, "gram"])
+    hit = met.where(F.forall("tokens", lambda t: F.contains(F.col("other"), t))).groupBy(*window, "low", "tokens").agg(F.sum("persons").alias("persons"))
+    found = named.join(hit, [*window, "low", "tokens"]).groupBy(*window, "person_id").agg(F.max(F.col("persons") - 1).alias("n"))  # all but the member
+    return found.where("n > 0")
 
 
 def compare_casts(ours: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
     wanted = asked.select("term").distinct()
     words = documents.select("id", tokens("document").alias("words"))
-    stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("mean_length"))
+    stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.coalesce(F.size("words"), F.lit(0))).alias("mean_length"))  # a null document has no words
     found = words.select("id", F.size("words").alias("doc_length"), F.explode("words").alias("term")).join(wanted, "term")
     postings = found.groupBy("term", "id", "doc_length").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,13 +85,47 @@ def overlapping_spans(spans: DataFrame) -> DataFrame:
 
 
 def unique_slugs(rows: DataFrame, title: str, order: str) -> DataFrame:
-    """A slug for every row, numbered from the second on.
-
-    A numbered slug that some title spells itself gets one more number, until none clashes.
+    """A slug for every row, all different: as if they were given out one by one in `order`.
+
+    A row takes its title's slug if that is free, and the slug with the least free number
+    from 2 on otherwise. A slug such as a_2 may be the title of one row and the numbered
+    slug of another, whichever comes first. Only slugs that are another title's slug with a
+    number, or have such a one, and of which some title comes twice, can meet; those of one
+    stem are walked row by row, in order, with nothing kept but the slugs given out. All
+    others are numbered by their rank. Rows of one title and order are told apart by chance.
     """
     from statutory.functions.text import slug
 
-    numbered = rows.withColumn("_slug", slug(title)).withColumn("_n", F.row_number().over(Window.partitionBy("_slug").orderBy(order)))
-    made = numbered.withColumn("slug", F.when(F.col("_n") > 1, F.concat_ws("_", "_slug", F.col("_n").cast("string"))).otherwise(F.col("_slug")))
-    again = F.row_number().over(Window.partitionBy("slug").orderBy("_n", order))
-    return made.withColumn("_m", again).withColumn("slug", F.when(F.col("_m") > 1, F.concat_ws("_", "slug", F.col("_m").cast("string"))).otherwise(F.col("slug"))).drop("_slug", "_n", "_m")
+    number = r"_([2-9]|[1-9]\d+)"
+    based = rows.withColumn("_slug", slug(title))
+    titles = based.groupBy("_slug").agg(F.count("*").alias("_m"))
+    shorter = titles.withColumn("_short", F.regexp_replace("_slug", f"{number}$", "")).where("_short <> _slug")
+    pairs = shorter.join(titles.select(F.col("_slug").alias("_short"), F.col("_m").alias("_short_m")), "_short")
+    ends = pairs.select("_slug", "_m").union(pairs.select("_short", "_short_m")).distinct().withColumn("_stem", F.regexp_replace("_slug", f"({number})+$", ""))
+    twice = ends.groupBy("_stem").agg(F.max("_m").alias("_most")).where("_most > 1").select("_stem")
+    marked = based.join(ends.join(twice, "_stem").select("_slug", "_stem"), "_slug", "left")
+    ranked = marked.withColumn("_twin", F.row_number().over(Window.partitionBy("_slug").orderBy(order)))
+    meeting = ranked.where("_stem is not null").select("_stem", "_slug", "_twin", F.col(order).alias("_order"))
+    ordered = meeting.repartition("_stem").sortWithinPartitions("_stem", "_order", "_slug", "_twin").select("_stem", "_slug", "_twin")
+    given = ordered.mapInPandas(_give_slugs, "_slug string, _twin int, _given string")
+    own = F.when(F.col("_twin") > 1, F.concat_ws("_", "_slug", F.col("_twin").cast("string"))).otherwise(F.col("_slug"))
+    return ranked.join(given, ["_slug", "_twin"], "left").withColumn("slug", F.coalesce("_given", own)).drop("_slug", "_stem", "_twin", "_given")
+
+
+def _give_slugs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Slugs in order; rows come sorted by stem, whose rows may lie in several frames."""
+    stem, free, used = None, {}, set()
+    for frame in frames:
+        found = []
+        for own, base in zip(frame["_stem"], frame["_slug"], strict=True):
+            if own != stem:
+                stem, free, used = own, {}, set()
+            if base in used:
+                number = free.get(base, 2)
+                while f"{base}_{number}" in used:
+                    number += 1
+                free[base] = number + 1
+                base = f"{base}_{number}"
+            used.add(base)
+            found.append(base)
+        yield frame[["_slug", "_twin"]].assign(_given=found)

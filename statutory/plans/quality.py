@@ -154,14 +154,24 @@ def name_collisions(t: Tables) -> DataFrame:
     return Q.name_collisions(t.vote_records, t.people.withColumn("name", F.substring("name", 1, 21)))
 
 
-@query("window_collisions", "WITH m AS (SELECT DISTINCT year(e.vote_date) - 1885 AS congress, e.chamber, r.person_id, p.name FROM v_vote_records r JOIN v_vote_events e ON e.id = r.vote_event_id JOIN v_people p ON p.id = r.person_id) SELECT CAST(a.congress AS INT) AS congress, a.chamber, a.person_id, count(DISTINCT b.person_id) AS n FROM m a JOIN m b ON a.congress = b.congress AND a.chamber = b.chamber AND a.person_id <> b.person_id WHERE CAST(a.person_id AS BIGINT) % 10 = 0 AND CAST(b.person_id AS BIGINT) % 10 <= 1 AND CAST(a.person_id AS BIGINT) // 10 = CAST(b.person_id AS BIGINT) // 10 GROUP BY 1, 2, 3")
+_NAMES = """m AS (SELECT DISTINCT year(e.vote_date) - 1885 AS congress, e.chamber, r.person_id, CASE CAST(r.person_id AS BIGINT) % 6
+    WHEN 0 THEN 'Rep. ' || split_part(c, ' ', 1) || ', ' || split_part(c, ' ', 2) || ' [X-YY]' WHEN 1 THEN split_part(c, ' ', 2) || 'son ' || split_part(c, ' ', 1)
+    WHEN 2 THEN split_part(c, ' ', 2) WHEN 3 THEN 'Sen. ' || substr(c, 1, 4) WHEN 4 THEN substr(c, 3, 2) ELSE c END AS name
+  FROM v_vote_records r JOIN v_vote_events e ON e.id = r.vote_event_id JOIN (SELECT CAST(p_partkey AS VARCHAR) AS id, regexp_replace(p_name, '[^A-Za-z ]', '', 'g') AS c FROM part) p ON p.id = r.person_id),
+t AS (SELECT *, lower(name) AS low, list_filter(string_split_regex(trim(replace(lower(regexp_replace(regexp_replace(name, '\\[.*?\\]', ' ', 'g'), '^\\s*\\w+\\.\\s+', ' ')), ',', ' ')), '\\s+'), lambda x: regexp_full_match(x, '[a-z]+')) AS tokens FROM m)"""
+
+
+@query("window_collisions", f"WITH {_NAMES} SELECT CAST(a.congress AS INT) AS congress, a.chamber, a.person_id, count(DISTINCT b.person_id) AS n FROM t a JOIN t b ON a.congress = b.congress AND a.chamber = b.chamber AND a.person_id <> b.person_id WHERE len(a.tokens) > 0 AND len(list_filter(a.tokens, lambda x: NOT contains(b.low, x))) = 0 GROUP BY 1, 2, 3")
 def window_collisions(t: Tables) -> DataFrame:
-    """With names made so that those of one ten share their tokens and the tenth has one less."""
-    n = F.col("id").cast("long")
-    letters = F.translate(F.floor(n / 10).cast("string"), "0123456789", "abcdefghij")
-    extra = F.when(n % 10 == 0, F.lit("")).when(n % 10 == 1, F.lit(" more")).otherwise(F.concat(F.lit(" x"), F.translate(n.cast("string"), "0123456789", "abcdefghij")))
-    name = F.when(n % 10 <= 1, F.concat(F.lit("Rep. "), F.lit("q"), letters, F.lit("q"), extra)).otherwise(F.concat(F.lit("Rep. w"), F.translate(n.cast("string"), "0123456789", "klmnoprstu"), F.lit("w")))
-    people = t.people.select(F.col("id").alias("person_id"), name.alias("name"))
+    """With the words of part names as the names of members, some cut, turned or lengthened."""
+    words = F.regexp_replace("p_name", "[^A-Za-z ]", "")
+    first, second = (F.coalesce(F.get(F.split(words, " "), F.lit(i)), F.lit("")) for i in (0, 1))
+    kind = F.col("p_partkey") % 6
+    name = (
+        F.when(kind == 0, F.concat(F.lit("Rep. "), first, F.lit(", "), second, F.lit(" [X-YY]"))).when(kind == 1, F.concat(second, F.lit("son "), first))
+        .when(kind == 2, second).when(kind == 3, F.concat(F.lit("Sen. "), F.substring(words, 1, 4))).when(kind == 4, F.substring(words, 3, 2)).otherwise(words)
+    )
+    people = t.part.select(F.col("p_partkey").cast("string").alias("person_id"), name.alias("name"))
     events = t.vote_events.select(F.col("id").alias("vote_event_id"), "chamber", (F.year("vote_date") - 1885).alias("congress"))
     members = t.vote_records.join(events, "vote_event_id").select("congress", "chamber", "person_id").distinct().join(people, "person_id")
     return Q.window_collisions(members)

@@ -200,11 +200,21 @@ def int_buckets(t: Tables) -> DataFrame:
     return bucket_counts(t.vote_events.select((F.col("yes_count") - F.col("no_count")).alias("margin")), "margin")
 
 
-@query("slug_unique", "WITH s AS (SELECT id, CASE WHEN k = '' THEN 'section' ELSE k END AS base FROM (SELECT id, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS k FROM v_bills)) SELECT id, base || CASE WHEN n > 1 THEN '_' || CAST(n AS VARCHAR) ELSE '' END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY CAST(id AS BIGINT)) AS n FROM s)")
+_TITLED = "(SELECT id, CAST(id AS BIGINT) AS n, CAST(id AS BIGINT) // 8 AS g, lower(substr(title, 21, 4)) || CAST(CAST(id AS BIGINT) // 8 AS VARCHAR) || 'x' || ['', '', '_2', '', '_2_2', '_2', '_3', ''][CAST(id AS BIGINT) % 8 + 1] AS base FROM v_bills)"
+
+
+@query("slug_unique", f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n) AS i FROM {_TITLED} t),
+w AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS slug, CAST([] AS VARCHAR[]) AS used FROM s
+  UNION ALL SELECT g, i, id, slug, list_append(used, slug) FROM (SELECT s.g, s.i, s.id, w.used, list_filter(list_transform(range(1, 12), lambda k: s.base || CASE WHEN k > 1 THEN '_' || CAST(k AS VARCHAR) ELSE '' END), lambda c: NOT list_contains(w.used, c))[1] AS slug FROM w JOIN s ON s.g = w.g AND s.i = w.i + 1) x)
+SELECT id, slug FROM w WHERE i > 0""")
 def slug_unique(t: Tables) -> DataFrame:
+    """Titles of every eight bills that clash: a slug may be free, taken, or given out to an earlier row with a number."""
     from statutory.operators.windows import unique_slugs
 
-    return unique_slugs(t.bills.withColumn("n", F.col("id").cast("long")), "title", "n").select("id", "slug")
+    n = F.col("id").cast("long")
+    ends = F.array(*[F.lit(x) for x in ("", "", " 2", "", " 2 2", " 2", " 3", "")])
+    title = F.concat(F.substring("title", 21, 4), F.floor(n / 8).cast("string"), F.lit("X"), F.element_at(ends, (n % 8 + 1).cast("int")))
+    return unique_slugs(t.bills.select("id", n.alias("n"), title.alias("title")), "title", "n").select("id", "slug")
 
 
 @query("quote_negatives")

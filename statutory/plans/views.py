@@ -173,4 +173,7 @@ def with_views(sql: str) -> str:
         return sql
     parts = ", ".join(f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in needed)
     body = sql.strip()
-    return f"WITH {parts}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {parts} {body}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(opening):
+            return f"{opening}{parts}, {body[len(opening):]}"
+    return f"WITH {parts} {body}"

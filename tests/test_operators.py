@@ -1,6 +1,9 @@
 """Hand-made cases with literal results."""
 
 import datetime as dt
+import itertools
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +112,48 @@ def test_slugs(spark):
     assert len(set(got)) == 4 and got[0] == "a_b" and got[3] == "section"
 
 
+def given_slugs(titles):
+    """One by one, as the rule says it."""
+    used, out = set(), []
+    for title in titles:
+        base = re.sub(r"[^a-z0-9]+", "_", title.lower()).strip("_") or "section"
+        tried = itertools.chain([base], (f"{base}_{k}" for k in itertools.count(2)))
+        out.append(next(x for x in tried if x not in used))
+        used.add(out[-1])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_slugs_are_given_out_in_order(spark, seed):
+    rng = random.Random(seed)
+    parts = ["A", "a 2", "A 2 2", "a 3", "b", "b 10", "!!", "section", "section 2", "a 02", "A_2_3", "c 7", "c"]
+    titles = ["A", "a", "A 2", "a 2 2"] if not seed else [rng.choice(parts) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(titles)), "n int, title string").repartition(3)
+    got = [r.slug for r in windows.unique_slugs(rows, "title", "n").orderBy("n").collect()]
+    assert got == given_slugs(titles) and len(set(got)) == len(got)
+
+
+def colliding(members):
+    """Per window and member, the others whose name holds all its tokens."""
+    found = {}
+    for congress, chamber, person, name in members:
+        cut = re.sub(r"^\s*\w+\.\s+", " ", re.sub(r"\[.*?\]", " ", name))
+        tokens = [x for x in cut.lower().replace(",", " ").split() if x.isalpha()]
+        others = {p for c, h, p, other in members if (c, h) == (congress, chamber) and p != person and all(x in other.lower() for x in tokens)}
+        if tokens and others:
+            found[congress, chamber, person] = len(others)
+    return found
+
+
+def test_names_collide_by_substrings(spark):
+    rng = random.Random(8)
+    fixed = [(118, "house", "1", "Lee, Ann"), (118, "house", "2", "Ann Lee"), (118, "house", "3", "Leeson, Annabel"), (118, "house", "4", "Sen. Li [D-XX-1]"), (118, "house", "5", "Olivia Li"), (118, "senate", "1", "Lee, Ann"), (118, "house", "6", "123"), (118, "house", "7", ""), (118, "house", "8", "X"), (118, "house", "9", "Max X")]
+    made = [(117, h, f"p{i}", " ".join(rng.choice(["an", "ann", "annabel", "lee", "leeson", "o", "Rep. lee", "[X]", "de", "1a"]) for _ in range(rng.randrange(1, 4)))) for h in ("house", "senate") for i in range(40)]
+    members = spark.createDataFrame(fixed + made, "congress int, chamber string, person_id string, name string")
+    got = {(r.congress, r.chamber, r.person_id): r.n for r in quality.window_collisions(members).collect()}
+    assert got == colliding(fixed + made) and got[118, "house", "1"] == 2
+
+
 def test_date_range_rejects(spark):
     rows = spark.createDataFrame([(D(2024, 1, 1),)], "d date")
     with pytest.raises(ValueError):

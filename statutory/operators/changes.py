@@ -96,18 +96,42 @@ def retry_schedule(deliveries: DataFrame) -> DataFrame:
     return deliveries.select("id", count.alias("attempt_count"), F.when(dead, "dead_letter").otherwise("failed").alias("status"), F.when(~dead, (delay + jitter).cast("long")).alias("delay_s"))
 
 
-def circuit_breaker(deliveries: DataFrame, threshold: int = BREAKER_FAILURES) -> DataFrame:
+def run_summaries(deliveries: DataFrame, parts: int | None = None) -> DataFrame:
+    """Per endpoint and range of its attempts, in order: what is needed to join the ranges' runs of failures.
+
+    at (the place of the range), first and last (failures before the first and after the
+    last success), longest (run inside) and whole (no success at all). Ranges are cut by
+    endpoint, time and id, so an endpoint of very many attempts is many tasks.
+    """
+    ended = deliveries.where(F.col("status") != "queued").select("endpoint_id", "attempted_at", F.col("id").cast("long").alias("n"), (F.col("status") != "delivered").alias("failed"))
+    keys = ["endpoint_id", "attempted_at", "n"]
+    dealt = ended.repartitionByRange(*([parts] if parts else []), *keys).withColumn("at", F.spark_partition_id())
+    order = Window.partitionBy("endpoint_id", "at").orderBy("attempted_at", "n")
+    runs = dealt.withColumn("run", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = runs.groupBy("endpoint_id", "at", "run").agg(F.count(F.when(F.col("failed"), 1)).alias("size"))
+    return sizes.groupBy("endpoint_id", "at").agg(
+        F.coalesce(F.max(F.when(F.col("run") == 0, F.col("size"))), F.lit(0)).alias("first"), F.max_by("size", "run").alias("last"), F.max("size").alias("longest"), (F.max("run") == 0).alias("whole")
+    )
+
+
+def circuit_breaker(deliveries: DataFrame, threshold: int = BREAKER_FAILURES, parts: int | None = None) -> DataFrame:
     """Per endpoint: the longest run of failed attempts, the current one, and whether it is disabled.
 
-    A run is counted from the last success; attempts are in the order of time and id. The
-    attempts of one endpoint are walked in one task, sorted on disk if they are many.
+    A run is counted from the last success; attempts are in the order of time and id. Ranges
+    of attempts are summed up apart, and an endpoint's summaries, as few as the ranges, are
+    joined in order.
     """
-    order = Window.partitionBy("endpoint_id").orderBy("attempted_at", F.col("id").cast("long"))
-    ended = deliveries.where(F.col("status") != "queued")
-    failed = F.col("status") != "delivered"
-    runs = ended.withColumn("_run", F.sum(F.when(failed, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = runs.groupBy("endpoint_id", "_run").agg(F.count(F.when(failed, 1)).alias("n"))
-    out = sizes.groupBy("endpoint_id").agg(F.max("n").alias("longest"), F.max_by("n", "_run").alias("current"))
+    listed = run_summaries(deliveries, parts).groupBy("endpoint_id").agg(F.array_sort(F.collect_list(F.struct("at", "first", "last", "longest", "whole"))).alias("ranges"))
+
+    def joined(state: Column, part: Column) -> Column:
+        reaching = state["current"] + part["first"]
+        return F.struct(
+            F.greatest(state["longest"], part["longest"], reaching).alias("longest"),
+            F.when(part["whole"], reaching).otherwise(part["last"]).alias("current"),
+        )
+
+    start = F.struct(F.lit(0).cast("long").alias("longest"), F.lit(0).cast("long").alias("current"))
+    out = listed.select("endpoint_id", F.aggregate("ranges", start, joined).alias("r")).select("endpoint_id", "r.longest", "r.current")
     return out.withColumn("disabled", F.col("longest") >= threshold)
 
 

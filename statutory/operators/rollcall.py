@@ -10,19 +10,32 @@ from statutory.operators.quality import complete_events, reconcile
 from statutory.operators.windows import hash_order, top_per_group
 
 
+#: Spans are broadcast up to this number (some 60 bytes each), and joined by person and year beyond it.
+BROADCAST_SPANS = 200_000
+
+
 def in_span(day: str = "vote_date") -> Column:
     """A day lies in a span from start_date up to, but not on, end_date (null: open)."""
     return (F.col("start_date") <= F.col(day)) & (F.col("end_date").isNull() | (F.col(day) < F.col("end_date")))
 
 
-def party_asof(votes: DataFrame, spans: DataFrame, how: str = "inner") -> DataFrame:
+def party_asof(votes: DataFrame, spans: DataFrame, how: str = "inner", broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
     """Votes (person_id, vote_date) with the party of the span that covers the day.
 
-    An equi join on the person with the range as its residual; Spark picks the strategy by
-    the size of the spans, which grow with the people and not with the votes.
+    Up to broadcast_spans spans go to the votes. More are dealt to the years they cover and
+    meet the votes by an equi join on person and year, the exact range as its residual; so a
+    person of many spans is compared with those of the year only.
     """
     right = spans.select(F.col("person_id").alias("_person"), "party", "start_date", "end_date")
-    return votes.join(right, (F.col("person_id") == F.col("_person")) & in_span(), how).drop("_person", "start_date", "end_date")
+    if spans.count() <= broadcast_spans:
+        return votes.join(F.broadcast(right), (F.col("person_id") == F.col("_person")) & in_span(), how).drop("_person", "start_date", "end_date")
+    dated = votes.withColumn("_year", F.year("vote_date"))
+    most = votes.agg(F.year(F.max("vote_date")).alias("_most"), F.year(F.min("vote_date")).alias("_least"))  # open spans end with the last vote
+    last = F.least(F.coalesce(F.year("end_date"), F.col("_most")), F.col("_most"))
+    first = F.greatest(F.year("start_date"), F.col("_least"))
+    dealt = right.crossJoin(F.broadcast(most)).where(first <= last).withColumn("_span_year", F.explode(F.sequence(first, last))).drop("_most", "_least")
+    met = (F.col("person_id") == F.col("_person")) & (F.col("_year") == F.col("_span_year")) & in_span()
+    return dated.join(dealt, met, how).drop("_person", "_year", "_span_year", "start_date", "end_date")
 
 
 def dated_votes(records: DataFrame, events: DataFrame) -> DataFrame:

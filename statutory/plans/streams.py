@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statutory.operators.keyed import KeyedTable
 from statutory.operators.sinks import shared_folder
 from statutory.plans.changes import _ALERTS
 from statutory.plans.registry import query
@@ -37,6 +38,7 @@ def stream_alerts(t: Tables) -> DataFrame:
 def stream_upsert(t: Tables) -> DataFrame:
     """Every event comes twice and is kept once."""
     rows = t.change_events.select("event_id", "bill_id", "created_at")
-    out = shared_folder(t.spark)
     stream = jobs.once_per_key(jobs.replay(rows.union(rows), 3), "created_at", ["event_id"], "3650 days")
-    return jobs.drain(stream, jobs.upsert_batch(out, ["event_id"]), out=out).select("event_id", "bill_id")
+    table = KeyedTable(t.spark, shared_folder(t.spark), stream.select("event_id", "bill_id").schema.toDDL(), ["event_id"])
+    jobs.run_to_end(stream.select("event_id", "bill_id"), jobs.upsert_batch(table, 2))
+    return table.read()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statutory.operators import predict as P
+from statutory.operators.sinks import shared_folder
 from statutory.plans.registry import query
 from statutory.plans.rollcall import TODAY
 from statutory.plans.views import Tables
@@ -59,25 +60,37 @@ def train_baseline(t: Tables) -> DataFrame:
     return P.auroc(scored, ["split"]).join(P.brier(scored, ["split"]), "split")
 
 
+#: Folders of the stacks that this process has fitted, by application and data folder.
+_STACKS: dict[tuple[str, str], str] = {}
+
+
+def _stack(t: Tables) -> tuple:
+    """The stack as the operator's defaults have it, fitted once a session and saved; every use loads it."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _STACKS:
+        path = shared_folder(t.spark)
+        P.save_stack(P.train_stack(_trained(t)[0]), path)
+        _STACKS[key] = path
+    return P.load_stack(_STACKS[key])
+
+
 @query("train_stack")
 def train_stack(t: Tables) -> DataFrame:
-    """Seven folds, as the operator has them; fewer and smaller trees than its defaults, whose jobs would take long on one machine."""
-    train, rest = _trained(t)
-    return P.auroc(P.score_stack(P.train_stack(train, rounds=6, trees=30, depth=8), rest), ["split"])
+    return P.auroc(P.score_stack(_stack(t), _trained(t)[1]), ["split"])
 
 
 @query("score_bills")
 def score_bills(t: Tables) -> DataFrame:
-    train, _ = _trained(t)
-    rate = train.agg(F.avg("label").alias("base_rate"))
-    scored = P.score(P.train_logistic(train), P.with_features(_frame(t)))
+    """Every bill's score by the means over the folds and the layer, beside the rate of the bills that were trained on."""
+    rate = _trained(t)[0].agg(F.avg("label").alias("base_rate"))
+    scored = P.score_stack(_stack(t), P.with_features(_frame(t)))
     return scored.select("bill_id", "p").crossJoin(F.broadcast(rate))
 
 
 @query("key_factors")
 def key_factors(t: Tables) -> DataFrame:
-    train, _ = _trained(t)
-    return P.key_factors(P.train_logistic(train), P.BASELINE, P.with_features(_frame(t)))
+    stack = _stack(t)
+    return P.key_factors(stack[1], P.META, P.with_meta(stack, P.with_features(_frame(t))))
 
 
 _TOY = "(SELECT chamber AS split, id, CAST((CAST(substr(id, 2) AS BIGINT) * 37) % 101 AS DOUBLE) / 101 AS p, CASE WHEN result = 'Passed' THEN 1 ELSE 0 END AS label FROM v_vote_events) s"

@@ -69,7 +69,7 @@ def test_folds_are_stratified(labelled):
     assert predict.FOLDS == 7
 
 
-def test_models_rank_what_they_can_know(labelled):
+def test_models_rank_what_they_can_know(labelled, tmp_path):
     train, rest = labelled.where("hash(bill_id) % 3 <> 0"), labelled.where("hash(bill_id) % 3 = 0")
     one = rest.withColumn("all", F.lit(1))
     model = predict.train_logistic(train, ("log_action_count", "log_cosponsor_count", "noise"))
@@ -77,8 +77,29 @@ def test_models_rank_what_they_can_know(labelled):
     assert predict.auroc(scored, ["all"]).first().auroc > 0.9
     factors = predict.key_factors(model, ("log_action_count", "log_cosponsor_count", "noise"), rest, 1).groupBy("feature").count().orderBy(F.desc("count")).first()
     assert factors.feature == "log_action_count"
-    stack = predict.train_stack(train, folds=3, rounds=15, trees=20, depth=5)
-    assert predict.auroc(predict.score_stack(stack, one), ["all"]).first().auroc > 0.88
+    stack = predict.train_stack(train, folds=3, rounds=40, trees=20, depth=5, patience=15)
+    scored = predict.score_stack(stack, one)
+    assert predict.auroc(scored, ["all"]).first().auroc > 0.88
+    predict.save_stack(stack, str(tmp_path / "stack"))
+    again = predict.score_stack(predict.load_stack(str(tmp_path / "stack"), 3), one)
+    assert {r.bill_id: r.p for r in again.collect()} == {r.bill_id: r.p for r in scored.collect()}
+    factors = predict.key_factors(stack[1], predict.META, predict.with_meta(stack, rest), 2).collect()
+    assert {r.feature for r in factors} <= set(predict.META) and len(factors) == 2 * rest.count()
+
+
+def test_boosting_ends_after_its_best_round(labelled):
+    """Few trees are kept where the held-out loss soon rises, and all of them give the scores of a fit of that many rounds."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    data = VectorAssembler(inputCols=["log_action_count", "noise"], outputCol="features").transform(labelled.withColumn("weight", F.lit(1.0)))
+    inside, outside = data.where("hash(bill_id) % 2 = 0").cache(), data.where("hash(bill_id) % 2 <> 0").cache()
+    cut = predict._boosted(inside, outside, "label", 60, 10)
+    full = GBTClassifier(labelCol="label", weightCol="weight", maxIter=60, maxDepth=6, stepSize=predict.RATE, subsamplingRate=0.7, featureSubsetStrategy="0.7", minInstancesPerNode=10, seed=1).fit(inside)
+    losses = full.evaluateEachIteration(outside)
+    assert cut.getNumTrees == losses.index(min(losses)) + 1
+    kept = cut.evaluateEachIteration(outside)
+    assert kept == pytest.approx(losses[: len(kept)])
 
 
 def test_bootstrap_agrees_with_resampling(spark):

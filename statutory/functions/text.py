@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from xml.etree import ElementTree
+
+import pandas as pd
 from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 
 def _column(c: str | Column) -> Column:
@@ -300,12 +305,36 @@ def contains_folded(c: str | Column, part: str | Column) -> Column:
     return F.contains(F.lower(_column(c)), F.lower(F.lit(part) if isinstance(part, str) else part))
 
 
+# Character references by name, of XML and the common ones of HTML.
+REFERENCES = {
+    "lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'", "nbsp": "\u00a0", "sect": "\u00a7", "para": "\u00b6", "copy": "\u00a9", "reg": "\u00ae", "deg": "\u00b0",
+    "frac12": "\u00bd", "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "bull": "\u2022", "hellip": "\u2026",
+}
+
+
+def decoded(c: str | Column) -> Column:
+    """Character references as characters, each once: decimal, hexadecimal, and the names in REFERENCES. Others stay."""
+    parts = F.split(_column(c), "&", -1)
+
+    def part(x: Column) -> Column:
+        name = F.regexp_extract(x, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).when(name.startswith("#"), F.substring(name, F.lit(2), F.length(name))).cast("long")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        numbered = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        char = F.coalesce(numbered, mapped(name, REFERENCES))
+        return F.coalesce(F.concat(char, F.substring(x, F.length(name) + 2, F.length(x))), F.concat(F.lit("&"), x))
+
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), part), ""))
+
+
 def plain_text(c: str | Column) -> Column:
-    """Markup taken out, runs of blanks made one, line breaks kept, lines trimmed."""
-    text = F.regexp_replace(F.coalesce(_column(c), F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\S\n]+", " "), r" ?\n ?", "\n"))
+    """Markup taken out: every text node a line of its own, trimmed, blanks in it made one; null gives no text.
+
+    Scripts, styles and comments go; references are decoded once the markup is gone.
+    """
+    bare = F.regexp_replace(F.coalesce(_column(c), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", "\n")
+    lines = F.transform(F.split(decoded(bare), "\n", -1), lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), "^ | $", ""))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def message_title(c: str | Column) -> Column:
@@ -345,3 +374,77 @@ def json_from_text(c: str | Column, schema: str) -> Column:
     fenced = F.regexp_extract(_column(c), r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
     bare = F.regexp_extract(_column(c), r"(?s)(\{.*\})", 1)
     return F.from_json(F.when(fenced != "", fenced).otherwise(bare), schema)
+
+
+OUTLINE = "struct<sections: array<struct<section_key: string, heading: string, purpose: string, source_bill_ids: array<string>, source_notes: array<string>>>, drafting_notes: array<string>, confidence: double>"
+
+
+def outline(c: str | Column) -> Column:
+    """An outline read from free text: sections, drafting_notes and confidence, with defaults for what is missing.
+
+    The text is JSON, or has it in its first fenced block. A section without a key gets one
+    from its heading; notes may be one string; ids that aren't a list are none. Texts are cut
+    to 100, 200 and 1,000 characters, lists to 5 and 10 entries. What can't be read gives no
+    sections, the text as the only note, and a confidence of 0.
+    """
+    text = F.coalesce(_column(c), F.lit(""))
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)
+    whole = F.try_parse_json(text)
+    found = F.coalesce(whole, F.try_parse_json(F.trim(fenced)))
+    data = F.when(F.schema_of_variant(found).startswith("OBJECT"), found)
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    sections = F.coalesce(get(data, "$.sections", "array<variant>"), F.array().cast("array<variant>"))
+
+    def section(v: Column, i: Column) -> Column:
+        heading = get(v, "$.heading", "string")
+        key = get(v, "$.section_key", "string")
+        made = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(heading, F.concat(F.lit("section_"), i.cast("string")))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+        purpose = F.substring(F.coalesce(get(v, "$.purpose", "string"), F.lit("")), 1, 1000)
+        note = get(v, "$.source_notes", "string")
+        notes = F.coalesce(get(v, "$.source_notes", "array<string>"), F.when(note != "", F.array(note)), F.array().cast("array<string>"))
+        return F.struct(
+            F.substring(F.when(F.coalesce(key, F.lit("")) != "", key).otherwise(made), 1, 100).alias("section_key"),
+            F.substring(F.coalesce(heading, F.concat(F.lit("Section "), (i + 1).cast("string"))), 1, 200).alias("heading"),
+            F.when(purpose == "", "No purpose provided").otherwise(purpose).alias("purpose"),
+            F.slice(F.coalesce(get(v, "$.source_bill_ids", "array<string>"), F.array().cast("array<string>")), 1, 5).alias("source_bill_ids"),
+            F.slice(notes, 1, 5).alias("source_notes"),
+        )
+
+    read = F.struct(
+        F.transform(sections, section).alias("sections"),
+        F.slice(F.coalesce(get(data, "$.drafting_notes", "array<string>"), F.array().cast("array<string>")), 1, 10).alias("drafting_notes"),
+        F.coalesce(get(data, "$.confidence", "double"), F.lit(0.7)).alias("confidence"),
+    ).cast(OUTLINE)
+    note = F.when(text == "", "Unable to parse outline.").otherwise(text)
+    unread = F.struct(F.array().alias("sections"), F.array(note).alias("drafting_notes"), F.lit(0.0).alias("confidence")).cast(OUTLINE)
+    return F.when(data.isNotNull(), read).otherwise(unread)
+
+
+def highest_roll(page: str | Column) -> Column:
+    """The highest roll number that an index page links to; 0 without any."""
+    numbers = F.transform(F.regexp_extract_all(F.coalesce(_column(page), F.lit("")), F.lit(r"rollnumber=(\d+)"), F.lit(1)), lambda x: x.try_cast("long"))
+    return F.coalesce(F.array_max(numbers), F.lit(0).cast("long"))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def menu_votes(menus: pd.Series) -> pd.Series:
+    """The distinct numbers in the vote_number elements of a vote menu, rising; none if it isn't XML."""
+
+    def numbers(text: str | None) -> list[int]:
+        try:
+            root = ElementTree.fromstring(text or "")
+        except ElementTree.ParseError:
+            return []
+        found = (x.text.strip() for x in root.iterfind(".//vote_number") if x.text)
+        return sorted({int(x) for x in found if re.fullmatch(r"[+-]?\d+", x)})
+
+    return menus.map(numbers)
+
+
+def listed_sessions(listing: str | Column) -> Column:
+    """The distinct numeric folder names of a JSON listing of files, sorted as strings."""
+    files = F.get_json_object(_column(listing), "$.files")
+    entries = F.coalesce(F.from_json(files, "array<struct<justFileName: string, name: string>>"), F.array())
+    named = F.transform(entries, lambda f: F.coalesce(F.nullif(f["justFileName"], F.lit("")), f["name"], F.lit("")))
+    names = F.transform(named, lambda n: F.regexp_replace(F.trim(n), "^/+|/+$", ""))
+    return F.coalesce(F.array_sort(F.array_distinct(F.filter(names, lambda n: n.rlike(r"^\d+$")))), F.array().cast("array<string>"))

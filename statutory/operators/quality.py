@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -121,12 +123,34 @@ def compare_casts(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return joined.groupBy("vote_event_id").agg(count("matched"), count("mismatched"), count("unresolved"))
 
 
-def altered_quotes(documents: DataFrame, id_col: str, text_col: str, words: int = 12) -> DataFrame:
-    """A quoted span of every text and a near copy of it that the text does not hold.
+# Words and what they are swapped for, in the order in which they are tried.
+SWAPS = (
+    ("shall not", "may not"), ("may not", "shall not"), (" shall ", " may "), ("Secretary", "Director"), ("annually", "quarterly"), ("biennially", "annually"),
+    ("not less than", "not more than"), ("not more than", "not less than"), ("each", "every"),
+)
+#: Words before the first quote, words of a quote and quotes of a text; words and characters at a quote's head that are not edited.
+LEAD_WORDS, QUOTE_WORDS, QUOTES, HEAD_WORDS, HEAD_CHARS = 70, 34, 4, 5, 25
 
-    The first number in the span is raised until the text does not hold the span; a span
-    without numbers has two different words changed places, or a word doubled. Texts
-    without words give no row.
+
+def altered(quote: str, text: str) -> str | None:
+    """The quote with one edit after its head, so that text doesn't hold it; null if no edit does that.
+
+    Numbers of up to four digits are raised by one, the first that serves; else the first
+    word of SWAPS that serves is swapped.
+    """
+    words = quote.split(" ")
+    raised = (" ".join([*words[:i], str(int(w) + 1), *words[i + 1 :]]) for i, w in enumerate(words) if i >= HEAD_WORDS and re.fullmatch(r"[0-9]{1,4}", w))
+    places = ((quote.find(old, HEAD_CHARS), old, new) for old, new in SWAPS)
+    swapped = (quote[:at] + new + quote[at + len(old) :] for at, old, new in places if at >= 0)
+    return next((x for x in itertools.chain(raised, swapped) if x not in text), None)
+
+
+def altered_quotes(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Quotes at even distances behind the lead of every text, each with an altered copy that the text does not hold.
+
+    Returns id_col, k (the quote's number from 0), quote and altered (null where no edit
+    works). White space counts as one blank. Texts that are null or no longer than lead and
+    quote give no row.
     """
     kind = documents.schema[id_col].dataType.simpleString()
 
@@ -134,26 +158,15 @@ def altered_quotes(documents: DataFrame, id_col: str, text_col: str, words: int
         for frame in frames:
             out = []
             for key, text in zip(frame[id_col], frame[text_col], strict=True):
-                parts = (text or "").split()
-                if not parts:
+                words = (text or "").split()
+                usable = len(words) - LEAD_WORDS - QUOTE_WORDS
+                if usable <= 0:
                     continue
-                start = max(0, (len(parts) - words) // 2)
-                span = parts[start : start + words]
-                whole = " ".join(parts)
-                at = next((i for i, w in enumerate(span) if w.isdigit() and w.isascii()), None)
-                changed = list(span)
-                if at is not None:
-                    raised = int(span[at]) + 1
-                    while " ".join([*span[:at], str(raised), *span[at + 1 :]]) in whole:
-                        raised += 1
-                    changed[at] = str(raised)
-                else:
-                    swap = next((i for i in range(len(span) - 1) if span[i] != span[i + 1]), None)
-                    if swap is not None:
-                        changed[swap], changed[swap + 1] = changed[swap + 1], changed[swap]
-                    while " ".join(changed) in whole:
-                        changed.append(changed[-1])
-                out.append((key, " ".join(span), " ".join(changed)))
-            yield pd.DataFrame(out, columns=[id_col, "quote", "altered"])
-
-    return documents.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, quote string, altered string")
+                whole = " ".join(words)
+                for k in range(QUOTES):
+                    start = LEAD_WORDS + usable * k // QUOTES
+                    quote = " ".join(words[start : start + QUOTE_WORDS])
+                    out.append((key, k, quote, altered(quote, whole)))
+            yield pd.DataFrame(out, columns=[id_col, "k", "quote", "altered"])
+
+    return documents.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, k int, quote string, altered string")

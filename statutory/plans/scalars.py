@@ -142,14 +142,21 @@ def like_escape(t: Tables) -> DataFrame:
     return t.bills.select("id", T.escape_like(F.concat("title", F.lit("_50%"))).alias("pattern"), T.contains_folded("title", "MACHIN").alias("found"))
 
 
-_TEXT = r"regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g')"
-for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-    _TEXT = f"replace({_TEXT}, '{_name}', '{_char}')"
-
-
-@query("strip_markup", rf"SELECT page_id, trim(regexp_replace(regexp_replace({_TEXT}, '[^\S\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')) AS text FROM pages")
+_CHARS = "map([" + ", ".join(f"'{k}'" for k in T.REFERENCES) + "], [" + ", ".join("chr(" + str(ord(v)) + ")" for v in T.REFERENCES.values()) + "])"
+# pages hold few references, so each gets some more of them: known, unknown, numbered, doubled and out of range
+_MORE = "<p>&#8212;&apos;&sect; 2&amp;lt; &#x1F600;&bogus; & &#0; &#55296; &#38;amp;<b>bold</b>tail</p>"
+_BARE = rf"regexp_replace(coalesce(html, '') || '{_MORE}', '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>', chr(10), 'g')"
+_CODE = "CASE WHEN regexp_matches(n, '^#[xX]') THEN CAST('0x' || substr(n, 3) AS BIGINT) WHEN starts_with(n, '#') THEN CAST(substr(n, 2) AS BIGINT) END"
+
+
+@query("strip_markup", rf"""WITH parts AS (SELECT page_id, string_split({_BARE}, '&') AS parts FROM pages),
+named AS (SELECT page_id, i, x, regexp_extract(x, '^(#[xX][0-9a-fA-F]{{1,6}}|#[0-9]{{1,7}}|[A-Za-z][A-Za-z0-9]*);', 1) AS n FROM (SELECT page_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS x FROM parts) y),
+coded AS (SELECT *, {_CODE} AS code FROM named),
+chars AS (SELECT *, CASE WHEN code BETWEEN 1 AND 55295 OR code BETWEEN 57344 AND 1114111 THEN chr(CAST(code AS INT)) WHEN code IS NULL THEN {_CHARS}[n] END AS c FROM coded),
+joined AS (SELECT page_id, string_agg(CASE WHEN i = 1 THEN x WHEN c IS NULL THEN '&' || x ELSE c || substr(x, length(n) + 2) END, '' ORDER BY i) AS text FROM chars GROUP BY 1)
+SELECT page_id, coalesce(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)), '') AS text FROM joined""")
 def strip_markup(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", T.plain_text("html").alias("text"))
+    return t.pages.select("page_id", T.plain_text(F.concat(F.coalesce("html", F.lit("")), F.lit(_MORE))).alias("text"))
 
 
 @query("text_title", "SELECT conv_id, turn, CASE WHEN s = '' THEN 'Untitled conversation' WHEN instr(s, '.') BETWEEN 2 AND 80 THEN substr(s, 1, CAST(instr(s, '.') AS INT)) WHEN instr(s, '?') BETWEEN 2 AND 80 THEN substr(s, 1, CAST(instr(s, '?') AS INT)) WHEN instr(s, '!') BETWEEN 2 AND 80 THEN substr(s, 1, CAST(instr(s, '!') AS INT)) WHEN length(s) > 80 THEN substr(s, 1, 80) || '...' ELSE s END AS title, substr(text, 1, 200) AS snippet FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM conversations)")
@@ -176,21 +183,50 @@ def month_cutoff(t: Tables) -> DataFrame:
     return t.bills.select("id", T.month_cutoff("introduced_date", 6).alias("cutoff"))
 
 
-@query("json_from_text", "SELECT id, title, '' AS summary, list_slice(string_split(title, ' '), 1, 8) AS sections FROM v_bills")
+_KEY = "regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+@query("json_from_text", f"""SELECT id, CASE WHEN k IN (3, 4) THEN 0 ELSE 2 END AS n, CASE WHEN k IN (3, 4) THEN NULL WHEN k = 0 THEN 'given' ELSE substr({_KEY}, 1, 100) END AS first_key,
+  CASE WHEN k IN (3, 4) THEN NULL ELSE 'section_1' END AS second_key, CASE WHEN k IN (3, 4) THEN NULL ELSE 'Section 2' END AS second_heading,
+  CASE WHEN k IN (3, 4) THEN NULL WHEN k = 1 THEN 'No purpose provided' ELSE substr(repeat(title, 40), 1, 1000) END AS purpose,
+  CASE WHEN k IN (3, 4) THEN NULL WHEN k = 0 THEN title WHEN k = 1 THEN '' ELSE 'a|b|c|d|e' END AS notes, CASE WHEN k IN (3, 4) THEN NULL WHEN k = 2 THEN '1|2|3|4|5' ELSE '' END AS bills,
+  CASE WHEN k = 3 THEN 'no outline: ' || title WHEN k = 4 THEN 'Unable to parse outline.' WHEN k = 2 THEN '0|1|2|3|4|5|6|7|8|9' ELSE '' END AS drafting, CASE WHEN k IN (3, 4) THEN 0.0 WHEN k = 0 THEN 0.25 ELSE 0.7 END AS confidence
+FROM (SELECT *, CAST(id AS BIGINT) % 5 AS k FROM v_bills) b""")
 def json_from_text(t: Tables) -> DataFrame:
-    """Outlines in fenced blocks of free text, read back with defaults for what is missing."""
-    said = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct("title", F.slice(F.split("title", " "), 1, 9).alias("sections"))), F.lit("\n```\nDone."))
-    got = T.json_from_text(said, "title string, summary string, sections array<string>")
-    return t.bills.withColumn("o", got).select("id", F.col("o.title").alias("title"), F.coalesce("o.summary", F.lit("")).alias("summary"), F.slice("o.sections", 1, 8).alias("sections"))
+    """Outlines as they come back: plain, in a fenced block, unreadable, empty; with keys, notes and lists present, missing or of another type."""
+    k = F.col("id").cast("long") % 5
+    quoted = F.concat(F.lit('"'), "title", F.lit('"'))
+    long = F.concat(F.lit('"'), F.repeat("title", F.lit(40)), F.lit('"'))
+    plain = F.concat(F.lit('{"sections": [{"section_key": "given", "heading": '), quoted, F.lit(', "purpose": '), long, F.lit(', "source_notes": '), quoted, F.lit(', "source_bill_ids": "12"}, {}], "confidence": 0.25}'))
+    fenced = F.concat(F.lit('Here:\n```json\n{"sections": [{"section_number": 3, "heading": '), quoted, F.lit(', "source_notes": ""}, {"purpose": "p"}]}\n```\nDone.'))
+    lists = F.concat(
+        F.lit('```\n{"drafting_notes": ["0","1","2","3","4","5","6","7","8","9","10","11"], "sections": [{"section_key": "", "heading": '), quoted, F.lit(', "purpose": '), long,
+        F.lit(', "source_bill_ids": ["1","2","3","4","5","6"], "source_notes": ["a","b","c","d","e","f"]}, {"source_notes": []}]}```'),
+    )
+    said = F.when(k == 0, plain).when(k == 1, fenced).when(k == 2, lists).when(k == 3, F.concat(F.lit("no outline: "), "title")).otherwise("")
+    o = t.bills.select("id", T.outline(said).alias("o"))
+    first, second = F.get("o.sections", F.lit(0)), F.get("o.sections", F.lit(1))
+    return o.select(
+        "id", F.size("o.sections").alias("n"), first["section_key"].alias("first_key"), second["section_key"].alias("second_key"), second["heading"].alias("second_heading"), first["purpose"].alias("purpose"),
+        F.array_join(first["source_notes"], "|").alias("notes"), F.array_join(first["source_bill_ids"], "|").alias("bills"), F.array_join("o.drafting_notes", "|").alias("drafting"), F.col("o.confidence").alias("confidence"),
+    )
 
 
-@query("index_numbers", "SELECT bill_id, max(CAST(substr(id, 2) AS INT)) AS highest, list_sort(list(DISTINCT CAST(substr(id, 2) AS INT))) AS rolls FROM v_vote_events GROUP BY 1")
+@query("index_numbers", "WITH n AS (SELECT bill_id, CAST(substr(id, 2) AS BIGINT) AS n FROM v_vote_events), a AS (SELECT bill_id, max(n) AS highest, list_sort(list(DISTINCT n)) AS rolls, list_sort(list(DISTINCT CAST(n % 12 AS VARCHAR))) AS sessions FROM n GROUP BY 1) SELECT b.id AS bill_id, coalesce(highest, 0) AS highest, coalesce(rolls, []) AS rolls, coalesce(sessions, []) AS sessions FROM v_bills b LEFT JOIN a ON a.bill_id = b.id")
 def index_numbers(t: Tables) -> DataFrame:
-    """The highest roll and the distinct numbers of index pages made of each bill's events."""
-    page = F.concat_ws("", F.sort_array(F.collect_list(F.concat(F.lit("<a href=rollnumber="), F.expr("substr(id, 2)"), F.lit(">")))))
-    made = t.vote_events.groupBy("bill_id").agg(page.alias("page"))
-    numbers = F.transform(F.regexp_extract_all("page", F.lit(r"rollnumber=(\d+)"), F.lit(1)), lambda x: x.cast("int"))
-    return made.select("bill_id", F.array_max(numbers).alias("highest"), F.array_sort(F.array_distinct(numbers)).alias("rolls"))
+    """The highest roll of an index page, the numbers of a vote menu and the sessions of a listing, made of each bill's events; bills without any have empty ones."""
+    n = F.expr("substr(id, 2)")
+    each = lambda column: F.array_join(F.sort_array(F.collect_list(column)), "")
+    folder = (n.cast("long") % 12).cast("string")
+    pages = t.vote_events.groupBy("bill_id").agg(
+        each(F.concat(F.lit("<a href='?rollnumber="), n, F.lit("'>x</a>"))).alias("page"),
+        each(F.concat(F.lit("<vote><vote_number> 00"), n, F.lit(" </vote_number><vote_number>none</vote_number></vote>"))).alias("menu"),
+        F.array_join(F.collect_list(F.concat(F.lit('{"justFileName": "'), F.when(n.cast("long") % 2 == 0, folder).otherwise(""), F.lit('", "name": "/'), folder, F.lit('/", "size": 1}'))), ",").alias("files"),
+    )
+    made = t.bills.select(F.col("id").alias("bill_id")).join(pages, "bill_id", "left")
+    menu = F.concat(F.lit("<vote_summary><votes>"), "menu", F.lit("</votes></vote_summary>"))
+    listing = F.concat(F.lit('{"files": ['), "files", F.lit(', {"name": "readme"}, {}]}'))
+    return made.select("bill_id", T.highest_roll("page").alias("highest"), T.menu_votes(F.coalesce(menu, F.lit("not xml"))).alias("rolls"), T.listed_sessions(listing).alias("sessions"))
 
 
 @query("int_buckets", "WITH b AS (SELECT CASE WHEN m < 0 THEN '<0' WHEN m = 0 THEN '0' WHEN m = 1 THEN '1' WHEN m <= 5 THEN '2-5' WHEN m <= 10 THEN '6-10' WHEN m <= 25 THEN '11-25' ELSE '26+' END AS bucket FROM (SELECT yes_count - no_count AS m FROM v_vote_events WHERE yes_count IS NOT NULL AND no_count IS NOT NULL)) SELECT l.bucket, count(b.bucket) AS n FROM (SELECT unnest(['<0', '0', '1', '2-5', '6-10', '11-25', '26+']) AS bucket) l LEFT JOIN b ON b.bucket = l.bucket GROUP BY l.bucket")
@@ -217,7 +253,21 @@ def slug_unique(t: Tables) -> DataFrame:
     return unique_slugs(t.bills.select("id", n.alias("n"), title.alias("title")), "title", "n").select("id", "slug")
 
 
-@query("quote_negatives")
+def _quotes_sql() -> str:
+    from statutory.operators.quality import HEAD_CHARS, HEAD_WORDS, LEAD_WORDS, QUOTE_WORDS, QUOTES, SWAPS
+
+    swaps = ", ".join(f"{{'o': '{old}', 'w': '{new}'}}" for old, new in SWAPS)
+    raised = f"list_transform(list_filter(range({HEAD_WORDS + 1}, {QUOTE_WORDS + 1}), lambda i: regexp_full_match(w[i], '[0-9]{{1,4}}')), lambda i: array_to_string(list_concat(list_concat(w[1:i - 1], [CAST(CAST(w[i] AS INT) + 1 AS VARCHAR)]), w[i + 1:]), ' '))"
+    at = f"instr(substr(quote, {HEAD_CHARS + 1}), z.o)"
+    swapped = f"list_transform(list_filter([{swaps}], lambda z: {at} > 0), lambda z: substr(quote, 1, {HEAD_CHARS} + {at} - 1) || z.w || substr(quote, {HEAD_CHARS} + {at} + length(z.o)))"
+    free = f"len(words) - {LEAD_WORDS + QUOTE_WORDS}"
+    return rf"""WITH d AS (SELECT doc_id, whole, string_split(whole, ' ') AS words FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS whole FROM documents) x),
+q AS (SELECT doc_id, k, whole, words[{LEAD_WORDS} + ({free}) * k // {QUOTES} + 1 : {LEAD_WORDS + QUOTE_WORDS} + ({free}) * k // {QUOTES}] AS w FROM d, (SELECT unnest(range({QUOTES})) AS k) n WHERE {free} > 0),
+s AS (SELECT *, array_to_string(w, ' ') AS quote FROM q)
+SELECT doc_id, CAST(k AS INT) AS k, quote, list_filter(list_concat({raised}, {swapped}), lambda c: NOT contains(whole, c))[1] AS altered FROM s"""
+
+
+@query("quote_negatives", _quotes_sql())
 def quote_negatives(t: Tables) -> DataFrame:
     from statutory.operators.quality import altered_quotes
 

@@ -82,11 +82,12 @@ def _zipped(rows: DataFrame) -> DataFrame:
     return rows.select("name", "body").mapInPandas(run, "content binary")
 
 
-@query("src_text_zip", "SELECT 119 AS congress, 'hr' AS doc_class, id AS number, 'Introduced in House' AS version_name, title AS text FROM v_bills WHERE CAST(id AS BIGINT) % 3 <> 0")
+@query("src_text_zip", "SELECT 119 AS congress, 'hr' AS doc_class, id AS number, 'Introduced in House' AS version_name, 'Sec. 1.' || chr(10) || title || chr(10) || '(a) In' || chr(10) || 'general' || chr(10) || id AS text FROM v_bills WHERE CAST(id AS BIGINT) % 3 <> 0")
 def src_text_zip(t: Tables) -> DataFrame:
     """Bills as packages of XML in ZIPs; every third is another version and is left out."""
     version = F.when(F.col("id").cast("long") % 3 == 0, "rih").otherwise("ih")
-    body = F.concat(F.lit("<bill><metadata>x</metadata><section>"), _escaped("title"), F.lit("</section></bill>"))
+    opening = "<bill xmlns:dc='d'><metadata><dc:date>2025-01-01</dc:date></metadata><section><enum> Sec. \t1.</enum><header>"
+    body = F.concat(F.lit(opening), _escaped("title"), F.lit("</header>\n  <text>(a) In \n<em>general</em> </text><meta>"), "id", F.lit("</meta></section></bill>"))
     return S.text_zips(_zipped(t.bills.select(F.concat(F.lit("BILLS-119hr"), "id", version, F.lit(".xml")).alias("name"), body.alias("body"))))
 
 

@@ -90,17 +90,17 @@ INTRODUCED = {"ih": "Introduced in House", "is": "Introduced in Senate"}
 
 
 def _text_of(xml: bytes) -> str | None:
-    """The text of a bill without its metadata; runs of blanks made one, line breaks kept."""
+    """The text of a bill without its metadata: every text node a line of its own, blanks in it made one; null if it isn't XML."""
     try:
         root = ElementTree.fromstring(xml)
     except ElementTree.ParseError:
         return None
     for parent in list(root.iter()):
         for child in list(parent):
-            if child.tag.rsplit("}", 1)[-1] in ("metadata", "meta", "dublinCore"):
+            if child.tag.rsplit("}", 1)[-1] == "metadata":
                 parent.remove(child)
-    lines = ("".join(root.itertext())).split("\n")
-    return "\n".join(x for x in (" ".join(line.split()) for line in lines) if x)
+    nodes = (node.strip() for node in root.itertext())
+    return re.sub(r"[ \t]+", " ", "\n".join(node for node in nodes if node))
 
 
 def text_zips(files: DataFrame) -> DataFrame:

@@ -162,13 +162,3 @@ def test_recall_of_hashed_neighbours(spark):
     n, met = exact.count(), exact.join(found, ["query_id", "id"], "left_semi").count()
     print("recall", met, n)
     assert n > 100 and met >= 0.9 * n
-
-
-def test_altered_quotes(spark):
-    rows = [(1, "one two 3 four 4"), (2, "same same same"), (3, None), (4, ""), (5, "7 8 9 " * 40), (6, "word")]
-    got = {r.id: r for r in quality.altered_quotes(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect()}
-    assert set(got) == {1, 2, 5, 6}
-    for key, text in rows:
-        if key in got:
-            whole = " ".join(text.split())
-            assert got[key].quote in whole and got[key].altered not in whole

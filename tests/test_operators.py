@@ -170,10 +170,66 @@ def test_replace_refuses(spark, tmp_path):
 
 
 def test_quotes_are_altered(spark):
-    docs = spark.createDataFrame([(1, "there are 12 members and 13 votes"), (2, "one two three"), (3, None), (4, "same same")], "doc_id long, text string")
-    for r in quality.altered_quotes(docs, "doc_id", "text").collect():
-        assert r.altered != r.quote
-    assert {r.doc_id for r in quality.altered_quotes(docs, "doc_id", "text").collect()} == {1, 2, 4}
+    lead = " ".join(f"lead{i}" for i in range(70))
+    head = "one two 3 four five"
+    quotes = {
+        1: f"{head} 12 members and 13 votes",  # the first number behind the head is raised
+        2: f"{head} six seven eight the board shall meet annually",
+        3: f"{head} six seven eight nothing to change here",
+        4: f"{head} 12 members and 13 votes",  # raised as well, as the text holds the first edit already
+        5: f"{head} six seven eight 12345 each Secretary reports",
+    }
+    want = {
+        1: f"{head} 13 members and 13 votes", 2: f"{head} six seven eight the board may meet annually", 3: None,
+        4: f"{head} 12 members and 14 votes", 5: f"{head} six seven eight 12345 each Director reports",
+    }
+    fill = lambda q: " ".join([q, *[f"z{i}" for i in range(34 - len(q.split()))]])
+    rows = [(k, f"{lead}\n {fill(q)} " + " ".join(["tail"] * 4) + (f" {fill(want[1])}" if k == 4 else "")) for k, q in quotes.items()]
+    rows += [(6, None), (7, ""), (8, " ".join(["w"] * 104)), (9, " ".join(["w"] * 105))]
+    got = {}
+    for r in quality.altered_quotes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect():
+        got.setdefault(r.doc_id, {})[r.k] = (r.quote, r.altered)
+    assert {k: got[k][0] for k in quotes} == {k: (fill(q), want[k] and fill(want[k])) for k, q in quotes.items()}
+    assert set(got) == {1, 2, 3, 4, 5, 9} and all(len(v) == 4 for v in got.values()) and got[9][3] == (" ".join(["w"] * 34), None)
+
+
+@pytest.mark.parametrize(
+    ("text", "sections", "notes", "confidence"),
+    [
+        ('{"sections": [{"heading": "Short Title!", "source_notes": "n"}], "confidence": 1}', [("short_title", "Short Title!", "No purpose provided", [], ["n"])], [], 1.0),
+        ('x ```json\n{"sections": [{}, {"section_key": "k", "purpose": "p", "source_bill_ids": {"a": 1}}]}\n``` y', [("section_0", "Section 1", "No purpose provided", [], []), ("k", "Section 2", "p", [], [])], [], 0.7),
+        ("no json", [], ["no json"], 0.0),
+        ("```\nnot json\n```", [], ["```\nnot json\n```"], 0.0),
+        ("[1, 2]", [], ["[1, 2]"], 0.0),
+        ("", [], ["Unable to parse outline."], 0.0),
+        (None, [], ["Unable to parse outline."], 0.0),
+        ('{"drafting_notes": ["a"]}', [], ["a"], 0.7),
+        ('{"sections": [{"section_key": "' + "k" * 150 + '", "heading": "' + "h" * 250 + '", "source_notes": ["1","2","3","4","5","6"]}]}', [("k" * 100, "h" * 200, "No purpose provided", [], ["1", "2", "3", "4", "5"])], [], 0.7),
+    ],
+)
+def test_outlines(spark, text, sections, notes, confidence):
+    got = one(spark, T.outline(F.lit(text).cast("string")))
+    assert [(s.section_key, s.heading, s.purpose, s.source_bill_ids, s.source_notes) for s in got.sections] == sections
+    assert (got.drafting_notes, got.confidence) == (notes, confidence)
+
+
+def test_numbers_of_index_pages(spark):
+    menu = "<vote_summary><votes><vote><vote_number>00012</vote_number></vote><vote><vote_number> 3 </vote_number></vote><vote><vote_number>x</vote_number></vote><vote><vote_number/></vote><vote><vote_number>3</vote_number></vote></votes></vote_summary>"
+    assert one(spark, T.menu_votes(F.lit(menu))) == [3, 12]
+    assert one(spark, T.menu_votes(F.lit("<broken"))) == [] and one(spark, T.menu_votes(F.lit(None).cast("string"))) == []
+    assert one(spark, T.highest_roll(F.lit("rollnumber=7 rollnumber=71&x rollnumber="))) == 71
+    assert one(spark, T.highest_roll(F.lit("none"))) == 0 and one(spark, T.highest_roll(F.lit(None).cast("string"))) == 0
+    listing = '{"files": [{"justFileName": "2"}, {"name": "/1/"}, {"justFileName": "", "name": "10"}, {"name": "readme"}, {}, {"name": "2"}]}'
+    assert one(spark, T.listed_sessions(F.lit(listing))) == ["1", "10", "2"]
+    assert one(spark, T.listed_sessions(F.lit("{}"))) == [] and one(spark, T.listed_sessions(F.lit("not json"))) == []
+
+
+def test_text_nodes_are_lines():
+    from statutory.sources import formats
+
+    xml = b"<bill xmlns:dc='x'><metadata>gone</metadata><section><enum>1.</enum><header>Short  title</header>\n<text>This \t Act\n  may <i>be</i> </text></section></bill>"
+    assert formats._text_of(xml) == "1.\nShort title\nThis Act\n may\nbe"
+    assert formats._text_of(b"<broken") is None
 
 
 def test_state_survives_batches(spark):

@@ -150,7 +150,25 @@ def samples(symbols: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ..
     last = np.append(first[1:], n) - 1
     at = place[first]
     context = _mix(_hashes(sums, first, last + length) + (at - first).astype(np.uint64))
-    return first, last - first, grams[at], context
+    return _collapsed(first, last - first, grams[at], context)
+
+
+def _collapsed(first: np.ndarray, more: np.ndarray, grams: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring samples that are all alike, as two samples: the first one, and one for all starts of the others.
+
+    Texts of one character or of a short period are such runs, which would have a sample for
+    each period. Two samples of a context are enough to know that it occurs more than once;
+    the first one of a text is never the longer one.
+    """
+    like = np.zeros(len(first), bool)  # as the one before
+    like[1:] = (context[1:] == context[:-1]) & (grams[1:] == grams[:-1]) & (more[1:] == more[:-1])
+    second = like & ~np.concatenate([[False], like[:-1]])
+    ends = np.append(np.flatnonzero(~like)[1:], len(first)) - 1  # of all runs
+    more = more.copy()
+    of = np.cumsum(~like)[second] - 1
+    more[second] = first[ends[of]] + more[ends[of]] - first[second]
+    keep = ~like | second
+    return first[keep], more[keep], grams[keep], context[keep]
 
 
 #: What sets the names of the two units apart.
@@ -399,11 +417,11 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
         twice = named.groupBy("name").count().where("count > 1").select("name")
         part = part.union(named.where("once").join(twice, "name").select("context", F.col("start").alias("low"), F.col("start").alias("high")))
     first = F.shiftright("place", PLACE_BITS + 1)
-    more = F.shiftright("copy.place", 1).bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long"))
-    whole = contexts.where("n > 1").select("context", F.lit(0).alias("low"), more.cast("int").alias("high"))
+    more = F.shiftright("place", 1).bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long"))
+    whole = contexts.where("n > 1").select("context", F.lit(0).alias("low"), F.lit(-1).alias("high"))  # all starts that a sample decides
     unit = F.col("place").bitwiseAND(F.lit(1).cast("long")) == 1
     hits = found.select("k1", "k2", "place", "context").join(whole.union(part), "context").groupBy("k1", "k2").agg(
-        F.collect_set(F.struct((first + F.col("low")).alias("low"), (first + F.col("high")).alias("high"), unit.alias("words"))).alias("hits")
+        F.collect_set(F.struct((first + F.col("low")).alias("low"), (first + F.when(F.col("high") < 0, more).otherwise(F.col("high"))).alias("high"), unit.alias("words"))).alias("hits")
     )
     return packed.join(hits, ["k1", "k2"], "left").select("doc_id", "packed", "hits").mapInArrow(
         _remove_batches(length, words),

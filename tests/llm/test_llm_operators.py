@@ -146,6 +146,32 @@ def test_samples_do_not_depend_on_the_surroundings():
     assert starts[0] == starts[1]
 
 
+def test_periodic_texts_have_few_samples():
+    """A text of a short period is two samples a chunk, whatever its length, and they decide every start."""
+    rng = np.random.default_rng(5)
+    for period in (1, 2, 7, 100, 300):
+        data = np.tile(rng.integers(97, 123, period, dtype=np.uint8), 60_000 // period + 1)
+        first, more, _, _ = repeats.samples(repeats.byte_symbols(data.tobytes()), 400, 64)
+        assert len(first) <= 6 and sum(more + 1) == len(data) - 399
+        assert (first[1:] == (first + more + 1)[:-1]).all()
+
+
+def test_repeats_in_periodic_texts(spark, monkeypatch):
+    rng = random.Random(6)
+    unit = "".join(rng.choice("abcd") for _ in range(331))
+    rows = [(1, "-" * 5000), (2, "x" * 399), (3, "y" * 400), (4, "z" * 401), (5, "ab" * 1500), (6, unit * 9), (7, "start " + "=-" * 700 + " end"), (8, "head " + "-" * 450), (9, unit[5:] * 3 + "tail"), (10, "w " * 900), (11, "\n" * 777)]
+    got = repeats.repeat_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r)[:5] for r in got) == removed(rows, 400)
+    assert Counter((r.doc_id, r.n_repeated_words) for r in got) == repeated_words(rows, 51)
+
+
+def test_repeats_in_long_periodic_texts(spark):
+    """Texts of millions of bytes and a short period go as a whole; nothing of them is held for every byte."""
+    rows = [(1, "-" * 6_000_000), (2, "a long day " * 300_000), (3, "no copy")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.repeat_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (6_000_000, 6_000_000, 1), 2: (3_300_000, 3_300_000, 1), 3: (7, 0, 0)}
+
+
 def test_repeats_of_nothing(nothing):
     assert repeats.repeat_report(nothing).count() == 0
 

@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 from statutory.llm.common import materialize
 
-RARE_TEXTS = 50
-COMMON_WORDS = 50
 #: A line that more texts hold is joined in parts of about so many.
 HEAVY_TEXTS = 2000
 #: Such lines are broadcast up to this number, and joined by a shuffle beyond it.
@@ -229,7 +227,7 @@ def _with_owners(held: DataFrame, owners: DataFrame) -> DataFrame:
     return tagged.join(owners.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), ["hash", "part"])
 
 
-def _deduped(rows: DataFrame, spare_common: bool = False) -> DataFrame:
+def _deduped(rows: DataFrame) -> DataFrame:
     """rows has doc_id, text and carried, which comes back beside the text that is left and the counts."""
     trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim)
     rows = rows.withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
@@ -244,11 +242,7 @@ def _deduped(rows: DataFrame, spare_common: bool = False) -> DataFrame:
     )
     held = texts.select("key", "first", _full().alias("full")).select("key", "first", F.explode(_links()).alias("line")).select("key", "first", "line.hash", "line.words")
     owners = materialize(held.groupBy("hash").agg(F.count("*").alias("texts"), F.min(_rank()).alias("owner")).where("texts > 1"))
-    links = _with_owners(held, owners).where("key <> owner.key").groupBy(F.col("owner.key").alias("owner"), "key").agg(
-        F.min("texts").alias("rarest"), F.sum("words").alias("shared")
-    )
-    if spare_common:
-        links = links.where((F.col("rarest") <= RARE_TEXTS) | (F.col("shared") >= COMMON_WORDS))
+    links = _with_owners(held, owners).where("key <> owner.key").select(F.col("owner.key").alias("owner"), "key").distinct()
     earlier = texts.select(F.col("key").alias("owner"), F.col("hashes").alias("owner_hashes"))
     pairs = links.select("owner", "key").join(earlier, "owner").join(texts.select("key", "hashes", "words"), "key")
     gone = pairs.select("key", "owner_hashes", "hashes", "words").mapInArrow(_align, "key binary, places array<int>")
@@ -264,7 +258,7 @@ def _deduped(rows: DataFrame, spare_common: bool = False) -> DataFrame:
     return joined.select("doc_id", "carried", kept.alias("text"), n_lines.alias("n_lines"), F.greatest(removed, F.lit(0)).alias("n_removed"))
 
 
-def dedup_lines(documents: DataFrame, spare_common: bool = True) -> DataFrame:
+def dedup_lines(documents: DataFrame) -> DataFrame:
     """Delete from every document the aligned blocks that it shares with an earlier one.
 
     Earlier means a smaller doc_id; an exact copy of an earlier text loses all its lines.
@@ -273,17 +267,13 @@ def dedup_lines(documents: DataFrame, spare_common: bool = True) -> DataFrame:
     if it has BLOCK_WORDS words. Words are parted by any white space; of scripts without
     blanks one sign or four letters count as a word.
 
-    spare_common: lines that more than RARE_TEXTS texts hold link two texts only if these
-    share COMMON_WORDS words of them, so a lone license line stays. What goes then depends
-    on the size of the table; op3_lines and the pipeline do without it.
-
     Returns doc_id, text (the lines left, null if the text was null), n_lines and n_removed.
     A null or empty text has no lines; a repeated row (same id, same text) is the same
     document and keeps its lines as often; null ids come last; other columns are ignored;
     no rows give no rows.
     """
     rows = documents.select("doc_id", "text", F.lit(None).cast("int").alias("carried"))
-    return _deduped(rows, spare_common).drop("carried")
+    return _deduped(rows).drop("carried")
 
 
 def with_deduped_text(documents: DataFrame) -> DataFrame:

@@ -100,11 +100,11 @@ def test_heavy_lines_are_joined_in_parts(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for c in CLASH:
         docs = docs.withColumn(c, F.lit("clash"))
-    want = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs, spare_common=False).collect()}
+    want = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()}
     for limit in (200_000, 0):  # broadcast, and not
         monkeypatch.setattr(lines, "HEAVY_TEXTS", 7)
         monkeypatch.setattr(lines, "BROADCAST_LINES", limit)
-        assert {r.doc_id: r.n_removed for r in lines.dedup_lines(docs, spare_common=False).collect()} == want
+        assert {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()} == want
     assert want[0] == 0 and all(want[i] == 1 for i in range(1, 90)) and want[100] == want[101] == 0
 
 

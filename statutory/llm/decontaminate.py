@@ -114,17 +114,17 @@ def search_shard(texts: list[bytes], block: BenchmarkBlock) -> list[tuple[int, l
         return list(zip(counts, found, strict=True))
     raw, width = ids.astype(">u4").tobytes(), 4 * block.window
     array = sorted((raw[4 * p : 4 * p + width], p) for p in np.unique(np.concatenate(admitted)).tolist())  # the shard's suffix array
-    keys = [k for k, _ in array]
+    keys, sorted_places = [k for k, _ in array], np.array([p for _, p in array], np.int64)
+    before = np.where(sorted_places > 0, ids[sorted_places - 1], 0)
     for start in searched:
         item = int(np.searchsorted(block.ends, start, "right"))
         begin, end = int(block.begins[item]), int(block.ends[item])
         suffix = block.packed[4 * start : 4 * min(start + block.window, end)]
-        at = bisect_left(keys, suffix)
-        while at < len(keys) and keys[at].startswith(suffix):
-            p = array[at][1]
-            at += 1
-            if start > begin and p and ids[p - 1] == block.words[start - 1]:
-                continue  # part of a longer match, which another suffix of the item meets
+        low, high = bisect_left(keys, suffix), bisect_left(keys, suffix + b"\xff\xff\xff\xff")  # no word has that number
+        places = sorted_places[low:high]
+        if start > begin:  # the others are parts of a longer match, which another suffix of the item meets
+            places = places[before[low:high] != block.words[start - 1]]
+        for p in places.tolist():
             doc = int(np.searchsorted(ends, p, "right"))
             most = min(end - start, int(ends[doc]) - p)
             differs = np.flatnonzero(ids[p : p + most] != block.words[start : start + most])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -91,6 +92,17 @@ def test_decontamination(spark, documents, texts):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, *_, bad in want if not bad)
 
 
+def test_decontamination_of_repeated_words():
+    """Work grows with the words and matches, not with the pairs of equal suffixes."""
+    item, text = b"a " * 2000, b"a " * 20_000
+    began = time.process_time()
+    (n, found), (_, other) = decontaminate.search_shard([text, b"b a " * 50], decontaminate.BenchmarkBlock([("i", item.decode())], 13))
+    assert time.process_time() - began < 3
+    assert n == 20_000 and max(x[3] for x in found) == 2000 and not other
+    assert decontaminate._merge([(p, p + size) for _, _, p, size in found]) == [(0, 20_000)]
+    assert len(found) <= 22_000
+
+
 def test_decontamination_of_nothing(spark, documents, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination_report(nothing, none).count() == 0

@@ -128,18 +128,39 @@ def _bits_of(bits: DataFrame, end: str, keep: list[str]) -> DataFrame:
     return bits.select(*keep, F.col("person_id").alias(end), F.col("yea").alias(f"yea_{end}"), F.col("nay").alias(f"nay_{end}"))
 
 
-def pairwise_agreement(votes: DataFrame, keys: list[str]) -> DataFrame:
+def _pairs(rows: DataFrame, group: list[str]) -> float:
+    """How many pairs the members of all groups make."""
+    n = F.count("*").cast("double")
+    return rows.groupBy(*group).agg((n * (n - 1) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0.0
+
+
+def dense(votes: DataFrame, bits: DataFrame, block: list[str]) -> bool:
+    """Whether members make fewer pairs per block of events than per event.
+
+    They do where most of them vote each time, up to 64 times fewer; where few do, the
+    members of a block make many pairs that never met.
+    """
+    return _pairs(bits, block) <= _pairs(votes.where("option in ('yea', 'nay')"), ["vote_event_id"])
+
+
+def pairwise_agreement(votes: DataFrame, keys: list[str], bitmaps: bool | None = None) -> DataFrame:
     """Per pair of members a < b: events where both said yea or nay, and where they agree.
 
-    votes has one row for each event and person. Members meet per block of 64 events: two
-    ANDs count what they share, so a pair is a row per block and not per event.
+    votes has one row for each event and person. With bitmaps members meet per block of 64
+    events, and two ANDs count what they share, so a pair is a row per block and not per
+    event; without, they meet per event. By default what makes fewer pairs is counted first.
     """
     bits = vote_bits(votes, event_places(votes, keys), keys)
     block = [*keys, "bucket", "block"]
-    pairs = _bits_of(bits, "a", block).join(_bits_of(bits, "b", block), block).where("a < b")
-    met = pairs.select(*keys, "a", "b", F.expr("bit_count((yea_a | nay_a) & (yea_b | nay_b))").alias("met"), F.expr("bit_count(yea_a & yea_b) + bit_count(nay_a & nay_b)").alias("agreed"))
-    counted = met.where("met > 0").groupBy(*keys, "a", "b").agg(F.sum("met").alias("shared"), F.sum("agreed").alias("agreements"))
-    return counted.select(*keys, "a", "b", "shared", "agreements")
+    if dense(votes, bits, block) if bitmaps is None else bitmaps:
+        pairs = _bits_of(bits, "a", block).join(_bits_of(bits, "b", block), block).where("a < b")
+        met = pairs.select(*keys, "a", "b", F.expr("bit_count((yea_a | nay_a) & (yea_b | nay_b))").alias("met"), F.expr("bit_count(yea_a & yea_b) + bit_count(nay_a & nay_b)").alias("agreed"))
+        return met.where("met > 0").groupBy(*keys, "a", "b").agg(F.sum("met").alias("shared"), F.sum("agreed").alias("agreements"))
+    held = votes.where("option in ('yea', 'nay')")
+    a = held.select(*keys, "vote_event_id", F.col("person_id").alias("a"), F.col("option").alias("option_a"))
+    b = held.select("vote_event_id", F.col("person_id").alias("b"), F.col("option").alias("option_b"))
+    single = a.join(b, "vote_event_id").where("a < b")
+    return single.groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"), F.count(F.when(F.col("option_a") == F.col("option_b"), 1)).alias("agreements"))
 
 
 def same_party_pairs(members: DataFrame, least: int) -> DataFrame:
@@ -150,10 +171,12 @@ def same_party_pairs(members: DataFrame, least: int) -> DataFrame:
     return a.join(b, ["chamber", "party"]).where("a < b")
 
 
-def disagreements(votes: DataFrame, pairs: DataFrame) -> DataFrame:
+def disagreements(votes: DataFrame, pairs: DataFrame, bitmaps: bool | None = None) -> DataFrame:
     """Events on which the two of a pair voted yea and nay, as a sorted list; an empty one is kept.
 
-    A pair meets its members' bits block by block; only bits that differ become events again.
+    Only votes of the pairs' members are read. With bitmaps a pair meets its members' bits
+    block by block, and only bits that differ become events again; without, members meet per
+    event. By default what makes fewer pairs is used.
     """
     asked = pairs.select("a", "b").distinct()
     members = asked.select(F.col("a").alias("person_id")).union(asked.select(F.col("b").alias("person_id"))).distinct()
@@ -161,10 +184,16 @@ def disagreements(votes: DataFrame, pairs: DataFrame) -> DataFrame:
     places = event_places(held, [])
     bits = vote_bits(held, places, [])
     block = ["bucket", "block"]
-    met = asked.join(_bits_of(bits, "a", block), "a").join(_bits_of(bits, "b", block), ["b", *block])
-    apart = met.select("a", "b", *block, F.expr("(yea_a & nay_b) | (nay_a & yea_b)").alias("apart")).where("apart <> 0")
-    single = apart.select("a", "b", *block, F.explode(F.expr("filter(sequence(0, 63), i -> getbit(apart, i) = 1)")).alias("bit"))
-    lists = single.join(places, [*block, "bit"]).groupBy("a", "b").agg(F.array_sort(F.collect_list("vote_event_id")).alias("events"))
+    if dense(held, bits, block) if bitmaps is None else bitmaps:
+        met = asked.join(_bits_of(bits, "a", block), "a").join(_bits_of(bits, "b", block), ["b", *block])
+        apart = met.select("a", "b", *block, F.expr("(yea_a & nay_b) | (nay_a & yea_b)").alias("apart")).where("apart <> 0")
+        single = apart.select("a", "b", *block, F.explode(F.expr("filter(sequence(0, 63), i -> getbit(apart, i) = 1)")).alias("bit")).join(places, [*block, "bit"])
+    else:
+        said = held.where("option in ('yea', 'nay')")
+        a = said.select("vote_event_id", F.col("person_id").alias("a"), F.col("option").alias("oa"))
+        b = said.select("vote_event_id", F.col("person_id").alias("b"), F.col("option").alias("ob"))
+        single = a.join(b, "vote_event_id").where("a < b and oa <> ob").join(asked, ["a", "b"], "left_semi")
+    lists = single.groupBy("a", "b").agg(F.array_sort(F.collect_set("vote_event_id")).alias("events"))
     return pairs.join(lists, ["a", "b"], "left").withColumn("events", F.coalesce("events", F.array().cast("array<string>")))
 
 

@@ -15,8 +15,8 @@ STOP_WORDS = (
     "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to",
     "was", "will", "with",
 )
-#: Query vectors up to this number are broadcast; more meet the rows in blocks of BLOCK_ROWS.
-BROADCAST_QUERIES = 20_000
+#: Query vectors up to so many bytes together are broadcast; more meet the rows in blocks of BLOCK_ROWS.
+BROADCAST_BYTES = 8 << 20
 BLOCK_ROWS = 4096
 #: Similar bills are compared exactly up to this number of vectors, and found by an index beyond it.
 EXACT_ROWS = 50_000
@@ -76,13 +76,13 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The k nearest bills of every query vector by cosine; queries are a stated set that meets all rows.
 
-    A set of up to broadcast_queries vectors goes to the rows; a larger one meets them in blocks.
+    A set of up to broadcast_bytes (8 for each entry) goes to the rows; a larger one meets them in blocks.
     """
     asked = unit(queries.select("query_id", "embedding"))
-    if asked.count() > broadcast_queries:
+    if (asked.agg(F.sum(F.size("unit"))).first()[0] or 0) * 8 > broadcast_bytes:
         found = _nearest_in_blocks(asked.withColumnRenamed("query_id", "asked_id"), unit(vectors).withColumnRenamed("bill_id", "held_id"), k)
         scored = found.select(F.col("asked_id").alias("query_id"), F.col("held_id").alias("id"), "score")
     else:

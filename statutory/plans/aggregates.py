@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statutory.functions import text as T
@@ -67,13 +67,13 @@ UNION ALL SELECT jurisdiction_id, 'status', coalesce(status, 'unknown'), count(*
 UNION ALL SELECT jurisdiction_id, 'session', session_id, count(*) FROM b GROUP BY 1, 3
 UNION ALL SELECT jurisdiction_id, 'subject', key, n FROM ranked WHERE r <= 15""")
 def jurisdiction_stats(t: Tables) -> DataFrame:
-    from statutory.operators.windows import top_per_group
-
-    bills = t.bills
-    part = lambda kind, key: bills.groupBy("jurisdiction_id", F.lit(kind).alias("kind"), key.alias("key")).agg(F.count("*").alias("n"))
-    subjects = bills.select("jurisdiction_id", F.explode("subject").alias("key")).groupBy("jurisdiction_id", F.lit("subject").alias("kind"), "key").agg(F.count("*").alias("n"))
-    subjects = top_per_group(subjects, ["jurisdiction_id"], [F.desc("n"), "key"], 15)
-    return part("total", F.lit("bills")).union(part("status", F.coalesce("status", F.lit("unknown")))).union(part("session", F.col("session_id"))).union(subjects)
+    """All kinds of counts from one scan and one aggregate."""
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    single = F.array(key("total", F.lit("bills")), key("status", F.coalesce("status", F.lit("unknown"))), key("session", F.col("session_id")))
+    subjects = F.coalesce(F.transform("subject", lambda x: key("subject", x)), F.array())
+    counts = t.bills.select("jurisdiction_id", F.explode(F.concat(single, subjects)).alias("k")).groupBy("jurisdiction_id", "k.kind", "k.key").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("jurisdiction_id", "kind").orderBy(F.desc("n"), "key"))
+    return counts.withColumn("rank", rank).where("kind <> 'subject' or rank <= 15").drop("rank")
 
 
 @query("person_stats", """

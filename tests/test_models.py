@@ -146,7 +146,7 @@ def test_blocks_give_what_the_broadcast_gives(spark):
     vectors = t.bill_embeddings.select("bill_id", "embedding")
     asked = vectors.where("cast(bill_id as long) % 20 = 0").withColumnRenamed("bill_id", "query_id")
     key = lambda df: {(r.query_id, r.id, r.rank): round(r.score, 9) for r in df.collect()}
-    assert key(search.vector_search(vectors, asked, 5)) == key(search.vector_search(vectors, asked, 5, broadcast_queries=0))
+    assert key(search.vector_search(vectors, asked, 5)) == key(search.vector_search(vectors, asked, 5, broadcast_bytes=0))
     whole, parts = (search.similar_bills(t.bill_embeddings, 5, 0.25, n) for n in (4096, 37))
     assert {tuple(r)[:2] for r in whole.collect()} == {tuple(r)[:2] for r in parts.collect()}
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import pytest
+
 from statutory.operators import rollcall
 
 
@@ -12,10 +14,11 @@ def made(rng, events=150, people=12):
     return [(w, f"e{w}{i}", f"p{p}", rng.choice(["yea", "nay", "nay", "present", "not_voting"])) for w in ("x", "y") for i in range(events) for p in range(people) if rng.random() < 0.7]
 
 
-def test_agreement_counts(spark):
+@pytest.mark.parametrize("bitmaps", [True, False, None])
+def test_agreement_counts(spark, bitmaps):
     rows = made(random.Random(2))
     votes = spark.createDataFrame(rows, "w string, vote_event_id string, person_id string, option string")
-    got = {(r.w, r.a, r.b): (r.shared, r.agreements) for r in rollcall.pairwise_agreement(votes, ["w"]).collect()}
+    got = {(r.w, r.a, r.b): (r.shared, r.agreements) for r in rollcall.pairwise_agreement(votes, ["w"], bitmaps).collect()}
     said = {(w, e, p): o for w, e, p, o in rows if o in ("yea", "nay")}
     want = {}
     for w in ("x", "y"):
@@ -35,8 +38,18 @@ def test_every_bit_is_used(spark):
     bits = {(r.person_id, r.block): (r.yea, r.nay) for r in rollcall.vote_bits(votes, places, ["w"]).collect()}
     assert bits["a", 0] == (-1, 0) and bits["b", 2][1] == sum(1 << i % 64 for i in range(128, 150) if i % 3 == 0)
     pairs = spark.createDataFrame([("a", "b"), ("a", "z")], "a string, b string")
-    got = {(r.a, r.b): r.events for r in rollcall.disagreements(votes, pairs).collect()}
-    assert got == {("a", "b"): [f"e{i:03d}" for i in range(0, 150, 3)], ("a", "z"): []}
+    for bitmaps in (True, False, None):
+        got = {(r.a, r.b): r.events for r in rollcall.disagreements(votes, pairs, bitmaps).collect()}
+        assert got == {("a", "b"): [f"e{i:03d}" for i in range(0, 150, 3)], ("a", "z"): []}
+
+
+def test_bitmaps_are_used_where_most_members_vote(spark):
+    full = [(f"e{i}", f"p{p}", "yea") for i in range(100) for p in range(20)]
+    thin = [(f"e{i}", f"p{p}", "yea") for i in range(100) for p in (i % 20, (i + 1) % 20)]
+    for rows, want in ((full, True), (thin, False)):
+        votes = spark.createDataFrame(rows, "vote_event_id string, person_id string, option string")
+        bits = rollcall.vote_bits(votes, rollcall.event_places(votes, []), [])
+        assert rollcall.dense(votes, bits, ["bucket", "block"]) == want
 
 
 def test_pairs_without_votes(spark):

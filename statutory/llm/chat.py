@@ -40,7 +40,8 @@ def paths(messages: DataFrame) -> DataFrame:
 
     messages has tree, node (unique in its tree), parent (null: a root) and score; null
     scores count as 0. A path's score is the mean of its messages'. A message whose parent
-    is missing is a root. Messages in a circle have no root, so they are on no path.
+    is missing is a root. Messages in a circle have no root, so they are on no path. Other
+    columns are ignored; no rows give no rows.
     """
     rows = materialize(messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
     nodes = rows.select("tree", F.col("node").alias("parent"))

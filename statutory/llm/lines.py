@@ -279,7 +279,8 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
 def with_deduped_text(documents: DataFrame) -> DataFrame:
     """All columns of documents, with the lines deleted from text and n_chars brought up to date.
 
-    Documents that lose all their words are dropped; those that had none stay.
+    Documents that lose all their words are dropped; those that had none (null or empty
+    texts) stay. Repeated rows and null ids are as dedup_lines has them; no rows give no rows.
     """
     others = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
     done = _deduped(documents.select("doc_id", "text", F.struct(*others).alias("carried")))

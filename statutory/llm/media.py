@@ -161,7 +161,7 @@ def with_media(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the media column (a PNG) of every row.
 
     Null and empty texts are an image of one row of spaces; equal texts give equal bytes;
-    repeated rows are repeated; other columns are ignored.
+    repeated rows are repeated, null ids stay; other columns are ignored; no rows give no rows.
     """
     docs = documents.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -186,7 +186,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """Sizes, digests and the cosine hash of a media column; what is no sound PNG has null features."""
+    """Sizes, digests and the cosine hash of a media column; what is no sound PNG (null, too) has null features.
+
+    Repeated rows are repeated, null ids stay; other columns are ignored; no rows give no rows.
+    """
     rows = stored.select("doc_id", "n_bytes", "media")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(

@@ -384,7 +384,11 @@ def score_documents(documents: DataFrame, model: ChainModel) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, model: ChainModel) -> DataFrame:
-    """The rows that are not predicted toxic, with all their columns, in one pass without a shuffle."""
+    """The rows that are not predicted toxic, with all their columns, in one pass without a shuffle.
+
+    Null texts are scored as empty ones; repeated rows stay or go alike, null ids stay; no
+    rows give no rows.
+    """
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES
 

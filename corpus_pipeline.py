@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents in, packed sequences out, in stages that are each written and read again."""
+"""The corpus pipeline: documents in, packed sequences out, in stages that are each written and read again.
+
+Every stage takes null ids, null, empty and repeated texts as its operator states; further
+columns are carried to the last stage; an empty table goes through all stages and gives no rows.
+"""
 
 from __future__ import annotations
 

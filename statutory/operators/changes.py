@@ -17,6 +17,8 @@ EVENT_TYPES = {
 RETRY_DELAYS = (60, 300, 900, 3600, 7200, 14400, 28800, 57600)
 MAX_ATTEMPTS = len(RETRY_DELAYS) + 1
 BREAKER_FAILURES = 5
+#: Searches without jurisdiction and status are broadcast up to this number (about 200 bytes each).
+LOOSE_SEARCHES = 10_000
 
 
 def compared(rows: DataFrame, fields: tuple[str, ...] = TRACKED) -> DataFrame:
@@ -43,19 +45,40 @@ def detect_changes(old: DataFrame, new: DataFrame, fields: tuple[str, ...] = TRA
     return joined.select(F.col("id").alias("bill_id"), F.explode(F.array_compact(F.array(*events))).alias("e")).select("bill_id", "e.*")
 
 
-def matching_bills(searches: DataFrame, bills: DataFrame) -> DataFrame:
+def _by_grams(searches: DataFrame, bills: DataFrame) -> DataFrame:
+    """Searches (s) for a word with the bills (b) whose title holds it, by an equi join on parts of both.
+
+    A search asks with the three letters of its word that fewest titles hold, or with the
+    first letter of a shorter word; titles are listed by all their letters and threes.
+    """
+    letters = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, 1))
+    threes = lambda c: F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3))).otherwise(F.array().cast("array<string>"))
+    title, word = F.lower("b.title"), F.lower("s.query")
+    held = bills.where(F.length(title) > 0).select("b", F.explode(F.array_distinct(F.concat(letters(title), threes(title)))).alias("part"))
+    holders = held.groupBy("part").agg(F.count("*").alias("n"))
+    asked = searches.select("s", F.explode(F.when(F.length(word) >= 3, F.array_distinct(threes(word))).otherwise(F.array(F.substring(word, 1, 1)))).alias("part"))
+    rarest = asked.join(holders, "part").groupBy("s.id").agg(F.min_by(F.struct("s", "part"), F.struct("n", "part")).alias("r"))
+    return rarest.select("r.s", "r.part").join(held, "part").where(matches_criteria()).select("s", "b")
+
+
+def matching_bills(searches: DataFrame, bills: DataFrame, loose_searches: int = LOOSE_SEARCHES) -> DataFrame:
     """Searches with the bills that meet them.
 
     Searches with a jurisdiction meet the bills by an equi join on it, those with a status
-    only by one on that. Only searches for a word in all bills have nothing to be joined by:
-    they are a stated set of queries that meets all rows, and are broadcast if Spark finds
-    them small.
+    only by one on that. Searches for a word in all bills are broadcast up to loose_searches,
+    and beyond it meet the bills by parts of the word. Searches without any condition hold
+    for every bill.
     """
     b = bills.select(F.struct("id", "jurisdiction_id", "status", "title", "identifier").alias("b"))
     s = searches.select(F.struct("id", "org_id", "jurisdiction_id", "status", "query", "event_types", "alerts_enabled").alias("s"))
     keyed = s.where("s.jurisdiction_id is not null").join(b, (F.col("s.jurisdiction_id") == F.col("b.jurisdiction_id")) & matches_criteria())
     by_status = s.where("s.jurisdiction_id is null and s.status is not null").join(b, (F.col("s.status") == F.col("b.status")) & matches_criteria())
-    loose = b.join(s.where("s.jurisdiction_id is null and s.status is null"), matches_criteria())
+    rest = s.where("s.jurisdiction_id is null and s.status is null")
+    if rest.limit(loose_searches + 1).count() <= loose_searches:
+        loose = b.join(F.broadcast(rest), matches_criteria()).select("s", "b")
+    else:
+        every = b.join(rest.where("coalesce(s.query, '') = ''"), matches_criteria()).select("s", "b")
+        loose = every.unionByName(_by_grams(rest.where("s.query <> ''"), b))
     columns = [F.col("s.id").alias("search_id"), F.col("s.event_types").alias("event_types"), F.col("s.alerts_enabled").alias("alerts_enabled"), F.col("b.id").alias("bill_id"), F.col("b.title").alias("title"), F.col("b.identifier").alias("identifier"), F.col("b.jurisdiction_id").alias("jurisdiction_id")]
     return keyed.select(*columns).unionByName(by_status.select(*columns)).unionByName(loose.select(*columns))
 

@@ -232,6 +232,16 @@ def test_text_nodes_are_lines():
     assert formats._text_of(b"<broken") is None
 
 
+def test_loose_searches_meet_bills_by_parts_of_the_word(spark):
+    rng = random.Random(9)
+    title = lambda: "".join(rng.choice("abC dÄé%_") for _ in range(rng.randrange(12)))
+    bills = spark.createDataFrame([(f"b{i}", "j1", "x", None if i % 17 == 0 else title(), f"HR{i}") for i in range(120)], "id string, jurisdiction_id string, status string, title string, identifier string")
+    words = [None, "", "a", "AB", "ab", "c d", "bC d", "ä", "ÄÉ", "%", "zzz", *[title()[:4] for _ in range(40)]]
+    searches = spark.createDataFrame([(f"s{i}", "o", None, None, w, ["bill.updated"], True) for i, w in enumerate(words)], "id string, org_id string, jurisdiction_id string, status string, query string, event_types array<string>, alerts_enabled boolean")
+    both = [sorted((r.search_id, r.bill_id) for r in changes.matching_bills(searches, bills, n).collect()) for n in (1000, 0)]
+    assert both[0] == both[1] and len(both[0]) > 300
+
+
 def test_state_survives_batches(spark):
     rows = spark.createDataFrame([("b", i, v) for i, v in enumerate("aabba")], "bill string, seq int, value string")
     ordered = rows.repartitionByRange(2, "seq")

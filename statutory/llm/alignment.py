@@ -47,6 +47,18 @@ ALTERED = 0xFFFF
 CUT = pattern(r"\S(?= [\s\S])")
 
 
+#: White space side by side or at an end of a text.
+UNLONE = pattern(r"\s(?:\s|\Z)|\A\s")
+
+
+def lone_blanks(text: str) -> bool:
+    """Whether white space in the text stands alone and between words; long texts are searched, as their words would fill the memory."""
+    if len(text) > PART_CHARS:
+        return UNLONE.search(text) is None
+    words = text.split()
+    return bool(words) and len(text) - len("".join(words)) == len(words) - 1
+
+
 class Side:
     """One tokenizer: the ids of chunks, and the bytes of ids.
 
@@ -155,9 +167,7 @@ class Tokenizers:
 
     def parts(self, text: str) -> Iterator[list[str] | str]:
         """A blank and the text, part by part, as chunks or as it is; both sides end a token at the end of every part."""
-        words = text.split()
-        if words and len(text) - len("".join(words)) == len(words) - 1:  # no white space side by side, none at an end
-            del words
+        if lone_blanks(text):
             at = 0
             while at < len(text):
                 cut = text.find(" ", at + PART_CHARS)

@@ -96,6 +96,13 @@ def test_alignment_of_the_smallest_table(spark, tokens):
     assert sorted(got, key=str) == expected(rows, tokens)
 
 
+def test_white_space_is_judged_alike_at_any_length(monkeypatch, rows):
+    texts = [*(t for _, t in rows if t), " a", "a ", "a b", "a\x1cb", "a\x85\x85b", "a\xa0", "\n", " "]
+    short = [alignment.lone_blanks(t) for t in texts]
+    monkeypatch.setattr(alignment, "PART_CHARS", 0)
+    assert [alignment.lone_blanks(t) for t in texts] == short and any(short) and not all(short)
+
+
 def test_alignment_of_nothing(spark):
     got = alignment.alignment_report(spark.createDataFrame([], "doc_id long, text string"))
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]

@@ -99,6 +99,15 @@ def test_the_smallest_table(spark):
     assert sorted((tuple(r) for r in QUERIES["op13_chosenpath"](spark, FOLDER).collect()), key=str) == expected(rows)
 
 
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    rng = random.Random(7)
+    texts = [b"".join(rng.choice([b"a", b"B", b" ", b"  ", b"\n", b"cd", "é".encode()]) for _ in range(rng.randrange(120))) for _ in range(200)]
+    whole = [chosenpath.shingles(t).tolist() for t in texts]
+    assert [len(w) for w in whole] == [len(shingle_set(t.decode()) or ()) for t in texts]
+    monkeypatch.setattr(chosenpath, "PART_BYTES", 5)
+    assert [chosenpath.shingles(t).tolist() for t in texts] == whole
+
+
 def test_nothing(spark):
     for rows in ([], [(1, None), (2, "")]):
         got = chosenpath.near_duplicate_sets(spark.createDataFrame(rows, "doc_id long, text string"))

@@ -21,7 +21,7 @@ RANGE_ROWS = 1024
 #: Ranges that are scored first for every query.
 FIRST_RANGES = 4
 
-_BLOCK = "batch int, range long, term string, n int, max_tf int, min_length int, ids array<{id}>, tfs array<int>, lengths array<int>, bucket int"
+_BLOCK = "range long, term string, n int, max_tf int, min_length int, ids array<{id}>, tfs array<int>, lengths array<int>, batch int, bucket int"
 _STATS = "batch int, n_docs long, total_length long, id_type string"
 
 
@@ -41,8 +41,9 @@ class PostingsIndex:
     def append(self, documents: DataFrame, batch: int) -> None:
         """Add documents, whose ids are new to the index, as a batch of a number of its own; texts are tokenized once.
 
-        A batch whose number is there already changes nothing, so a batch that is tried again isn't added twice.
-        The row of statistics comes last and makes the batch count; searches see a batch whole or not at all.
+        A batch whose number is there already changes nothing, and one that failed half-way replaces its files, so a
+        batch that is tried again isn't added twice. The row of statistics comes last and makes the batch count;
+        searches see a batch whole or not at all.
         """
         if batch in self.batches():
             return
@@ -61,14 +62,16 @@ class PostingsIndex:
         blocks = rows.groupBy("range", "term").agg(F.array_sort(F.collect_list("p")).alias("p"))
         id_type = documents.schema["id"].dataType.simpleString()
         columns = blocks.select(
-            F.lit(batch).alias("batch"), "range", "term", F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.length").alias("min_length"),
+            "range", "term", F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.length").alias("min_length"),
             F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"),
         )
         sorted_ = columns.repartition("bucket").sortWithinPartitions("bucket", "term")
-        sorted_.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        sorted_.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
         totals = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.greatest("length", F.lit(0)).cast("long")), F.lit(0)).alias("total_length"))
         row = totals.select(F.lit(batch).alias("batch"), "n_docs", "total_length", F.lit(id_type).alias("id_type"))
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/stats")
+        used = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        used.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(used, True)
 
     def batches(self) -> set[int]:
         """Numbers of the batches in the index; a folder without an index has none."""
@@ -80,7 +83,7 @@ class PostingsIndex:
     def read(self, terms: DataFrame) -> DataFrame:
         """Blocks of the buckets of terms (column term), of whole batches only."""
         wanted = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]  # BUCKETS at most
-        return self.blocks().where(F.col("bucket").isin(wanted)).join(F.broadcast(self.stats().select("batch")), "batch", "left_semi")
+        return self.blocks().where(F.col("bucket").isin(wanted) & F.col("batch").isin(*self.batches()))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """The k best documents of every query (query_id, query): query_id, id, score, rank. Ties go to the smaller id.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,10 @@ def test_search_equals_scoring_everything(spark, tmp_path, monkeypatch, range_ro
     for number, part in enumerate((F.col("id") < "d0200", F.col("id").between("d0200", "d0399"), F.col("id") > "d0399")):
         index.append(documents.where(part), number)
     index.append(documents, 1)  # tried again: nothing is added
+    index.append(documents, 9)
+    (spark.read.parquet(f"{index.path}/stats").where("batch <> 9")).coalesce(1).write.parquet(f"{index.path}/kept")  # as if it had failed before its end
+    shutil.rmtree(f"{index.path}/stats")
+    shutil.move(f"{index.path}/kept", f"{index.path}/stats")
     assert index.batches() == {0, 1, 2}
     for k in (1, 10, 1000):
         want = search.bm25(documents, queries, k).collect()
@@ -47,7 +52,7 @@ def test_search_reads_its_buckets_and_skips_ranges(spark, tmp_path, monkeypatch)
     read, every = index.read(terms).select("bucket").distinct().count(), index.blocks().select("bucket").distinct().count()
     assert read <= 2 < every
     plan = index.read(terms)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     scored = []
     score = postings.PostingsIndex._score
     monkeypatch.setattr(postings.PostingsIndex, "_score", staticmethod(lambda w, b, r: scored.append(r.count()) or score(w, b, r)))

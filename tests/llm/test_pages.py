@@ -112,3 +112,75 @@ def test_rows(spark):
     got = sorted(((r.page_id or 0, r.text) for r in html.page_report(pages).collect()))
     assert got == [(0, ""), (1, "a"), (1, "a"), (2, ""), (3, "\n".join(["word"] * 60_000))]
     assert html.page_report(pages.limit(0)).count() == 0
+
+
+# --- wrappers of all pages
+
+
+def site(i: int, box: str = "", more: str = "", url: str = "http://one/") -> tuple[int, str, str]:
+    own = " ".join(f"{w}{i}" for w in TEXT.split())
+    return i, url, page(f"<div class=c><h1>T{i}</h1><p>{own}</p>{box}{more}</div>")
+
+
+BOX = "<div class=b7>Read alike</div>"
+
+
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+
+
+def test_what_some_pages_share_is_no_template_whichever_they_are(spark):
+    """Twelve of forty pages share a text, those of the least hash, which eight sampled ones would take for template."""
+    made = spark.createDataFrame([(*site(i), site(i, BOX)[2]) for i in range(120)], "page_id long, url string, html string, boxed string")
+    least = {r.page_id for r in made.orderBy(html.F.xxhash64("boxed")).limit(12).collect()}
+    others = [r.page_id for r in made.orderBy(html.F.xxhash64("html").desc()).collect() if r.page_id not in least][:28]
+    found = texts_of(spark, [site(i, BOX if i in least else "") for i in [*least, *others]])
+    assert {i for i, text in found.items() if "Read alike" in text} == least
+
+
+def test_a_few_other_pages_do_not_keep_the_template(spark):
+    rows = [site(i, BOX) for i in range(60)] + [(100, "http://one/", "<p>error"), (101, "http://one/", page("<h1>Gone</h1><table><tr><td>x</td></tr></table>")), site(102)]
+    found = texts_of(spark, rows)
+    assert not any("Read alike" in text for text in found.values())
+    assert found[100] == "error" and found[101] == "Gone\nx" and all(found[i].startswith(f"T{i}\nThe{i} ") for i in range(60))
+
+
+def test_pages_of_any_length_count(spark):
+    """Pages over 200,000 characters and over 1,500 symbols that do not repeat."""
+    def body(i):
+        return "".join(f"<{a}><{b}>{i} {k} {TEXT * 4}</{b}></{a}>" for k, (a, b) in enumerate(zip(["div", "section", "p"] * 240, ["h2", "pre", "ul", "dl", "h3"] * 144, strict=True)))
+
+    rows = [site(i, more=body(i) + BOX) for i in range(4)]
+    assert all(len(r[2]) > 200_000 and len(html.Wrapper(html.stream(r[2])).squeezed().symbols) > 1500 for r in rows)
+    found = texts_of(spark, rows)
+    assert all("Read alike" not in t and t.count("\n") == 721 for t in found.values())
+
+
+def test_many_copies_of_a_page_prove_no_template(spark):
+    rows = [(i, "http://one/", page(f"<div class=c><h1>Head</h1><div>{TEXT * 3}</div><p>{i}</p></div>")) for i in range(30)] + [site(100), site(101)]
+    found = texts_of(spark, rows)
+    assert all(found[i] == f"Head\n{(TEXT * 3).strip()}\n{i}" for i in range(30))
+
+
+@pytest.mark.parametrize("held", [8_000_000, 0])
+def test_rounds_give_what_all_pages_in_memory_give(spark, monkeypatch, held):
+    """Shapes folded two at once, in many small lots, broadcast or joined: the container and template of one fold in memory."""
+    for name, value in {"FOLD_SHAPES": 2, "BROADCAST_CHARS": held}.items():
+        monkeypatch.setattr(html, name, value)
+    mores = ["", "<table><tr><td>a</td></tr></table>", "<ul><li>b</li></ul>", "<blockquote>q</blockquote>", "<h2>x</h2><pre>y</pre>", "<div class=z><h4>w</h4></div>"]
+    rows = [site(i, BOX, mores[i % 6] + mores[i % 5], f"http://h{i % 3}/") for i in range(90)] + [site(i, url="http://h4/") for i in range(200, 203)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.host: (r.container, r.template) for r in html.wrappers(table).collect()}
+    frame = table.select(html.host_of("url").alias("host"), "html").toPandas()
+    want = {h: html._infer_host(f).iloc[0] for h, f in frame.groupby("host")}
+    assert got == {h: (w.container, w.template) for h, w in want.items()}
+    assert len(got["h0"][1]) == 1 and got["h0"][0] == "div class=c" and got["h4"][1] == []
+
+
+def test_wrappers_do_not_grow_with_the_pages():
+    """Pages that have nothing in common but their frame: the wrapper stays as long as some pages, and keeps the frame's text."""
+    tags = ["div", "pre", "ul", "dl", "h2", "h3", "table", "section"]
+    pages = [page("".join(f"<{tags[(i * 7 + k * k) % 8]} class=k{chr(97 + i)}>{i}.{k}</{tags[(i * 7 + k * k) % 8]}>" for k in range(200)) + BOX) for i in range(24)]
+    wrapper = html.infer(pages)
+    assert len(wrapper.symbols) <= 2 * max(len(html.page_wrapper(p).symbols) for p in pages)
+    assert "Read alike" in wrapper.candidates() and "*" in wrapper.symbols

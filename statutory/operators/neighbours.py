@@ -9,12 +9,13 @@ only those whose codes are close are scored, and scores are exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ MOST_CELLS = 4_096
 #: Bits of a code.
 BITS = 512
 ROUNDS = 10
-#: Rows of a cell, and of those asking in it, that meet in one task.
-PART_ROWS = 4_096
+#: Rows of a block of cells, and of those asking in it, that meet in one task.
+PART_ROWS = 16_384
 SEED = 11
 
 
@@ -99,62 +100,148 @@ def fit_index(vectors: DataFrame, k: int, least: float, recall: float = 0.95, ce
     return NeighbourIndex(index.centres, planes, int(np.quantile(ranks, each, method="higher")) + 1, int(np.quantile(apart, each, method="higher")))
 
 
-def index_rows(index: NeighbourIndex, vectors: DataFrame, probes: int = 1) -> DataFrame:
-    """Every row of vectors (bill_id, kind, unit) with its cell and code, once for each of its `probes` nearest cells."""
+def pieces(vectors: DataFrame, rows: int, part_rows: int) -> int:
+    """Parts of about part_rows, or so many that pairs of parts keep every core busy."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-rows // part_rows), min(math.isqrt(2 * cores) + 1, -(-rows // 512)))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = batch.column("unit")
-            rows = unit.values.to_numpy(zero_copy_only=False)[unit.offsets[0].as_py() : unit.offsets[-1].as_py()].reshape(batch.num_rows, -1)
-            found = index.cells(rows, probes)
-            repeated = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), found.shape[1])))
-            code = np.repeat(index.codes(rows), found.shape[1], 0)
-            more = [pa.array(found.ravel().astype(np.int64)), pa.array([x.tobytes() for x in code], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*repeated.columns, *more], names=["bill_id", "kind", "unit", "cell", "code"])
 
-    id_type, kind = (vectors.schema[c].dataType.simpleString() for c in ("bill_id", "kind"))
-    rows = vectors.select("bill_id", "kind", "unit")
-    return rows.mapInArrow(assign, f"bill_id {id_type}, kind {kind}, unit array<double>, cell long, code binary")
+def matrix(unit: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column of lists, a row each."""
+    flat = unit.combine_chunks() if isinstance(unit, pa.ChunkedArray) else unit
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
+
+
+def codes_of(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for every distinct value; nulls have -1."""
+    return column.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def places_of(names: pa.ChunkedArray) -> np.ndarray:
+    """The place of every name in their order."""
+    place = np.empty(len(names), np.int64)
+    place[pc.array_sort_indices(names.combine_chunks()).to_numpy()] = np.arange(len(names))
+    return place
+
+
+def ranked(rows: np.ndarray, scores: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k best scores of every row, equal ones by place."""
+    order = np.lexsort((places, -np.round(scores, 9), rows))
+    found = rows[order]
+    return order[np.arange(len(found)) - np.searchsorted(found, found) < k]
+
+
+def dots(a: np.ndarray, rows: np.ndarray, b: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Exact scores of pairs of rows, some at a time."""
+    out = np.empty(len(rows))
+    for i in range(0, len(rows), 1 << 15):
+        part = slice(i, i + (1 << 15))
+        out[part] = np.einsum("ij,ij->i", a[rows[part]], b[columns[part]])
+    return out
+
+
+def allotted(sizes: dict[int, int], part_rows: int) -> dict[int, tuple[int, int]]:
+    """The first block of every cell and how many it has: small cells share one, large ones have several."""
+    out, block, filled = {}, 0, 0
+    for cell, n in sorted(sizes.items()):
+        if filled and filled + n > part_rows:
+            block, filled = block + 1, 0
+        out[cell] = block, max(1, -(-n // part_rows))
+        block, filled = (block, filled + n) if n <= part_rows else (block + out[cell][1], 0)
+    return out
 
 
 def nearest_in_cells(index: NeighbourIndex, asked: DataFrame, held: DataFrame, k: int, least: float, part_rows: int = PART_ROWS) -> DataFrame:
-    """asked_id, held_id, score and tested of the k nearest rows of held, per part of a cell.
+    """asked_id, held_id, score and tested of the k nearest rows of held, per block of cells.
 
     asked and held have bill_id, kind and unit; rows of the same id or the same kind are no
-    neighbours. Cells and those asking in them are dealt in parts of about part_rows, so a
-    task is bounded whatever share of the rows a cell holds. tested is the number of rows of
-    the part that were scored; where none is above least, held_id and score are null.
+    neighbours. Held rows lie in blocks of about part_rows: small cells share one, large ones
+    are dealt to several. A row that asks is sent to every block with a cell that it probes,
+    once and without its codes, and meets the rows of the probed cells there; those that ask
+    are dealt in parts too, so a task is bounded whatever share of the rows a cell holds and
+    however many cells are probed. tested is the number of rows of the block that were scored;
+    where none is above least, held_id and score are null.
     """
-    indexed, asking = index_rows(index, held), index_rows(index, asked, index.probes)
-
-    def parts(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(part_rows)).alias(name))
-
-    dealt = parts(indexed, "h_parts").join(parts(asking, "a_parts"), "cell")  # a row for each cell
-
-    def sides(rows: DataFrame, side: int) -> DataFrame:
-        own, other = ("h", "a") if side else ("a", "h")
-        named = rows.join(dealt, "cell").withColumn(own, F.pmod(F.xxhash64("bill_id"), F.col(f"{own}_parts")))
-        spread = named.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_parts") - 1)))
-        return spread.select("cell", "a", "h", F.lit(side).alias("side"), F.col("bill_id").alias("id"), "kind", "unit", "code")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        ours, theirs = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        out: list[tuple] = []
-        if len(ours) and len(theirs):
-            names, kinds = theirs["id"].to_numpy(), theirs["kind"].to_numpy()
-            matrix = np.stack(theirs["unit"].to_numpy())
-            codes, asked_codes = (np.frombuffer(b"".join(s["code"]), np.uint64).reshape(len(s), -1) for s in (theirs, ours))
-            for name, own, unit, code in zip(ours["id"], ours["kind"], ours["unit"], asked_codes, strict=True):
-                close = np.flatnonzero((np.bitwise_count(codes ^ code).sum(1) <= index.differing) & (names != name) & (kinds != own))
-                scores = matrix[close] @ unit
-                found = np.flatnonzero(scores > least)
-                best = sorted(found.tolist(), key=lambda j: (-round(scores[j], 9), names[close[j]]))[:k]
-                out += [(name, names[close[j]], float(scores[j]), len(close)) for j in best] or [(name, None, None, len(close))]
-        return pd.DataFrame(out, columns=["asked_id", "held_id", "score", "tested"])
+    id_type, kind_type = (held.schema[c].dataType.simpleString() for c in ("bill_id", "kind"))
+    shape = f"bill_id {id_type}, kind {kind_type}, unit array<double>"
+
+    def assign(probes: int, column: str, made: Callable[[np.ndarray], pa.Array], form: str) -> Callable[[DataFrame], DataFrame]:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                    found = made(index.cells(matrix(batch.column("unit")), probes))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, found], names=["bill_id", "kind", "unit", column])
+
+        return lambda rows: rows.select("bill_id", "kind", "unit").mapInArrow(add, f"{shape}, {column} {form}")
+
+    counted = assign(1, "cell", lambda cells: pa.array(cells[:, 0].astype(np.int32)), "int")(held).groupBy("cell").count()
+    sizes = {r[0]: r[1] for r in counted.collect()}  # a row for each cell
+    total, n_asked = sum(sizes.values()), asked.count()
+    a_parts = pieces(asked, n_asked, part_rows)
+    blocks = allotted(sizes, max(1, -(-total // pieces(held, total, part_rows))))
+    first = np.full(len(index.centres), -1)
+    several = np.ones(len(index.centres), np.int64)
+    for cell, (block, n) in blocks.items():
+        first[cell], several[cell] = block, n
+    n_blocks = int((first + several).max()) if blocks else 1
+
+    def reached(cells: np.ndarray) -> pa.Array:
+        """The blocks of the cells of every row."""
+        met = np.zeros((len(cells), n_blocks + 1), np.int32)  # starts and ends of the cells' ranges of blocks
+        at = np.repeat(np.arange(len(cells)), cells.shape[1])
+        held_cells = first[cells.ravel()] >= 0
+        np.add.at(met, (at[held_cells], first[cells.ravel()][held_cells]), 1)
+        np.add.at(met, (at[held_cells], (first + several)[cells.ravel()][held_cells]), -1)
+        rows, found = np.nonzero(met.cumsum(1)[:, :-1] > 0)
+        offsets = np.searchsorted(rows, np.arange(len(cells) + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.astype(np.int32)))
+
+    def own(cells: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype=np.int32) * 2), pa.array(np.stack([first[cells[:, 0]], several[cells[:, 0]]], 1).ravel().astype(np.int32)))
+
+    ours = assign(index.probes, "blocks", reached, "array<int>")(asked).withColumn("a", F.pmod(F.xxhash64("bill_id"), F.lit(a_parts)).cast("int"))
+    ours = ours.withColumn("h", F.explode("blocks")).select("a", "h", F.lit(0).alias("side"), F.col("bill_id").alias("id"), "kind", "unit")
+    theirs = assign(1, "block", own, "array<int>")(held).withColumn("h", (F.col("block")[0] + F.pmod(F.xxhash64("bill_id"), F.col("block")[1])).cast("int"))
+    theirs = theirs.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(a_parts - 1)))).select("a", "h", F.lit(1).alias("side"), F.col("bill_id").alias("id"), "kind", "unit")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        unit, kinds, ids, ids_table = matrix(table.column("unit")), codes_of(table.column("kind")), codes_of(table.column("id")), table.column("id")
+        places = places_of(ids_table)
+        codes, cell = index.codes(unit), index.cells(unit[right], 1)[:, 0] if len(right) else right
+        cells = [right[cell == c] for c in np.unique(cell)]
+        out: list[tuple[np.ndarray, ...]] = []
+        for some in (left[i : i + 1024] for i in range(0, len(left) if len(right) else 0, 1024)):
+            probed = np.zeros((len(some), len(index.centres)), bool)
+            np.put_along_axis(probed, index.cells(unit[some], index.probes), True, 1)
+            found: list[tuple[np.ndarray, ...]] = []
+            tested = np.zeros(len(table), np.int64)
+            for c, members in zip(np.unique(cell), cells, strict=True):
+                asking = some[probed[:, c]]
+                for them in (members[i : i + 2048] for i in range(0, len(members), 2048)):
+                    apart = np.zeros((len(asking), len(them)), np.uint16)
+                    for word in range(codes.shape[1]):
+                        apart += np.bitwise_count(codes[asking, word][:, None] ^ codes[them, word])
+                    close = (apart <= index.differing) & (ids[asking][:, None] != ids[them]) & (kinds[asking][:, None] != kinds[them])
+                    rows, columns = np.nonzero(close)
+                    tested[asking] += close.sum(1)
+                    scores = dots(unit, asking[rows], unit, them[columns])
+                    above = scores > least
+                    found.append((asking[rows[above]], them[columns[above]], scores[above]))
+            rows, columns, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+            best = ranked(rows, scores, places[columns], k)
+            lacking = np.setdiff1d(some, rows)
+            none = np.full(len(lacking), -1)
+            out.append((np.concatenate([rows[best], lacking]), np.concatenate([columns[best], none]), np.concatenate([scores[best], none]), tested[np.concatenate([rows[best], lacking])]))
+        made = [np.concatenate(x) for x in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 4
+        empty = made[1] < 0
+        names = ids_table.combine_chunks()
+        return pa.table({
+            "asked_id": names.take(pa.array(made[0], pa.int64())), "held_id": names.take(pa.array(made[1], pa.int64(), mask=empty)),
+            "score": pa.array(made[2].astype(float), mask=empty), "tested": pa.array(made[3], pa.int64()),
+        })
 
     kind = lambda side: side.schema["bill_id"].dataType.simpleString()
-    both = sides(asking, 0).unionByName(sides(indexed, 1))
-    return both.groupBy("cell", "a", "h").applyInPandas(compare, f"asked_id {kind(asked)}, held_id {kind(held)}, score double, tested long")
+    both = ours.unionByName(theirs).repartition(a_parts * n_blocks, "a", "h")
+    return both.groupBy("a", "h").applyInArrow(compare, f"asked_id {kind(asked)}, held_id {kind(held)}, score double, tested long")

@@ -86,3 +86,14 @@ def test_both_ways_find_similar_bills(spark):
     rows = spark.createDataFrame([(f"b{i}", f"k{i % 5}", v.tolist()) for i, v in enumerate(made)], "bill_id string, jurisdiction_id string, embedding array<double>")
     exact, indexed = ({tuple(r)[:2] for r in search.similar(rows, 3, 0.5, exact_rows=n).select("bill_id", "similar_id").collect()} for n in (1000, 10))
     assert exact and len(exact & indexed) >= 0.9 * len(exact)
+
+
+def test_a_row_that_asks_meets_a_block_once(spark):
+    """However many cells it probes, a row is sent to each block of cells once, and not to each cell."""
+    rng = np.random.default_rng(8)
+    made = rng.normal(size=(60, 6))
+    made /= np.linalg.norm(made, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, f"k{i % 3}", v.tolist()) for i, v in enumerate(made)], "bill_id long, kind string, unit array<double>")
+    index = neighbours.NeighbourIndex(made[:50], rng.normal(size=(6, 256)), 50, 256)
+    found = neighbours.nearest_in_cells(index, rows, rows, 3, 2.0).collect()
+    assert sorted((r.asked_id, r.held_id, r.tested) for r in found) == [(i, None, 40) for i in range(60)]

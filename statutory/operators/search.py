@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statutory.operators.neighbours import fit_index, nearest_in_cells
+from statutory.operators.neighbours import codes_of, dots, fit_index, matrix, nearest_in_cells, pieces, places_of, ranked
 from statutory.operators.windows import first_text, top_per_group
 
 K1, B = 1.5, 0.75
@@ -15,9 +15,9 @@ STOP_WORDS = (
     "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to",
     "was", "will", "with",
 )
-#: Query vectors up to so many bytes together are broadcast; more meet the rows in blocks of BLOCK_ROWS.
+#: Query vectors up to so many bytes together are broadcast; more meet the rows in blocks of BLOCK_BYTES.
 BROADCAST_BYTES = 8 << 20
-BLOCK_ROWS = 4096
+BLOCK_BYTES = 32 << 20
 #: Similar bills are compared exactly up to this number of vectors, and found by an index beyond it.
 EXACT_ROWS = 50_000
 RRF = 60
@@ -91,64 +91,91 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, broadcast_byte
     return top_per_group(scored, ["query_id"], [F.round("score", 9).desc(), "id"], k, rank="rank")
 
 
-def _nearest_in_blocks(asked: DataFrame, held: DataFrame, k: int, least: float = -2.0, group: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _block_rows(rows: int, numbers: int | None) -> int:
+    """Rows of a block of BLOCK_BYTES, by how many numbers all rows have."""
+    return max(1, BLOCK_BYTES * rows // (8 * (numbers or 1)) if rows else 1)
+
+
+def _nearest_in_blocks(asked: DataFrame, held: DataFrame | None, k: int, least: float = -2.0, group: str | None = None, block_rows: int | None = None) -> DataFrame:
     """asked_id, held_id and score of the k nearest held vectors (column unit) of every asked one, per block of held ones.
 
-    Both sides are dealt into blocks of about block_rows, and each pair of blocks is one
-    group, so what a task holds is bounded at any size; the work inside is a matrix product.
-    With group, rows of the same group or the same id are no neighbours.
+    Both sides are dealt into blocks of about block_rows (by default of BLOCK_BYTES), and each
+    pair of blocks is one group, so what a task holds is bounded at any size; the work inside
+    is a matrix product. Without held the asked ones are compared with each other: two blocks
+    meet once for both directions, so a row is sent once for each block. With group, rows of
+    the same group or the same id are no neighbours.
     """
     import numpy as np
-    import pandas as pd
-
-    parts = [max(1, -(-side.count() // block_rows)) for side in (asked, held)]
-
-    def dealt(side: DataFrame, i: int) -> DataFrame:
-        name = ("asked_id", "held_id")[i]
-        own, others = ("a", "h") if i == 0 else ("h", "a")
-        rows = side.select(F.col(name).alias("id"), F.col(group).alias("kind") if group else F.lit(None).cast("string").alias("kind"), "unit", F.lit(i).alias("side"))
-        rows = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(parts[i])))
-        return rows.withColumn(others, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts[1 - i] - 1).cast("long"))))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        ours, theirs = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        out = []
-        names, kinds = theirs["id"].to_numpy(), theirs["kind"].to_numpy()
-        matrix = np.stack(theirs["unit"].to_numpy()) if len(theirs) else None
-        for start in range(0, len(ours) if len(theirs) else 0, 256):
-            part = ours.iloc[start : start + 256]
-            scores = np.stack(part["unit"].to_numpy()) @ matrix.T
-            allowed = scores > least
-            if group:
-                allowed &= (part["id"].to_numpy()[:, None] != names[None, :]) & (part["kind"].to_numpy()[:, None] != kinds[None, :])
-            for asked_id, row in zip(part["id"], np.where(allowed, scores, -np.inf), strict=True):
-                found = np.flatnonzero(np.isfinite(row))
-                if len(found) > k:  # all that tie with the k-th best are ranked
-                    found = found[row[found] >= np.partition(row[found], -k)[-k] - 1e-8]
-                best = sorted(found.tolist(), key=lambda j: (-round(row[j], 9), names[j]))[:k]
-                out += [(asked_id, names[j], float(row[j])) for j in best]
-        return pd.DataFrame(out, columns=["asked_id", "held_id", "score"]).astype({"score": float})
-
-    both = dealt(asked, 0).unionByName(dealt(held, 1))
+    import pyarrow as pa
+
+    alone = held is None
+    sides = [asked] if alone else [asked, held]
+    sizes = [side.agg(F.count("*"), F.sum(F.size("unit"))).first() for side in sides]
+    parts = [pieces(side, n, block_rows or _block_rows(n, numbers)) for side, (n, numbers) in zip(sides, sizes, strict=True)]
+    names = ("asked_id", "held_id")
+
+    def dealt(i: int) -> DataFrame:
+        own = F.pmod(F.xxhash64(names[i]), F.lit(parts[i])).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.lit(parts[-1 - i] - 1)))
+        rows = sides[i].select(F.col(names[i]).alias("id"), F.col(group).alias("kind") if group else F.lit(None).cast("string").alias("kind"), "unit", own.alias("own")).withColumn("other", other)
+        if alone:
+            return rows.select("id", "kind", "unit", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("h"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+        return rows.select("id", "kind", "unit", *[F.col(c).alias(x) for c, x in zip(("own", "other"), "ah" if i == 0 else "ha", strict=True)], F.lit(i).alias("side"))
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        side, unit = table.column("side").to_numpy(), matrix(table.column("unit"))
+        ids, kinds, places = codes_of(table.column("id")), codes_of(table.column("kind")), places_of(table.column("id"))
+        low = unit.astype(np.float32)
+        slack = 1.2e-7 * (unit.shape[1] + 4)  # more than single precision can be wrong by
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        itself = alone and key[0].as_py() == key[1].as_py()
+        ways = [(left, left)] if itself else [(left, right), (right, left)] if alone else [(left, right)]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for ours, theirs in ways:
+            step = max(1, min(256, (8 << 20) // (4 * max(1, len(theirs)))))
+            matched = low[theirs].T
+            for start in range(0, len(ours) if len(theirs) else 0, step):
+                some = ours[start : start + step]
+                scores = low[some] @ matched
+                if group:
+                    scores[(kinds[some][:, None] == kinds[theirs]) | (ids[some][:, None] == ids[theirs])] = -4
+                floor = np.full(len(some), max(least - slack, -3))
+                width = 64 if len(theirs) >= 128 * k else 1
+                if len(theirs) > k:  # k groups of scores have a greatest one of at least this, so the k-th best has
+                    greatest = scores[:, : len(theirs) // width * width].reshape(len(some), -1, width).max(2)
+                    floor = np.maximum(floor, np.partition(greatest, -k, axis=1)[:, -k] - 2 * slack - 1e-8)  # all that tie with the k-th best are ranked
+                rows, columns = np.nonzero(scores >= floor[:, None])
+                exact = dots(unit, some[rows], unit, theirs[columns])
+                above = exact > least
+                rows, columns, exact = some[rows[above]], theirs[columns[above]], exact[above]
+                best = ranked(rows, exact, places[columns], k)
+                out.append((rows[best], columns[best], exact[best]))
+        rows, columns, exact = (np.concatenate(x) for x in zip(*out, strict=True))
+        found = table.column("id").combine_chunks()
+        return pa.table({"asked_id": found.take(pa.array(rows)), "held_id": found.take(pa.array(columns)), "score": exact})
+
+    both = dealt(0) if alone else dealt(0).unionByName(dealt(1))
     kind = lambda side, c: side.schema[c].dataType.simpleString()
-    return both.groupBy("a", "h").applyInPandas(compare, f"asked_id {kind(asked, 'asked_id')}, held_id {kind(held, 'held_id')}, score double")
+    groups = parts[0] * (parts[0] + 1) // 2 if alone else parts[0] * parts[1]
+    spread = both.repartition(groups, "a", "h").groupBy("a", "h")
+    return spread.applyInArrow(compare, f"asked_id {kind(asked, 'asked_id')}, held_id {kind(sides[-1], names[len(sides) - 1])}, score double")
 
 
-def similar_bills(vectors: DataFrame, k: int, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_bills(vectors: DataFrame, k: int, least: float, block_rows: int | None = None) -> DataFrame:
     """The k nearest bills of other jurisdictions of every bill above a score, by exact comparison in blocks.
 
     Every bill is asked for, so the comparison is quadratic by definition; similar_bills_lsh
-    scores only what an index leaves.
+    scores only what an index leaves. Bills without a jurisdiction are not known to be of another.
     """
-    rows = unit(vectors).select("bill_id", "jurisdiction_id", "unit")
-    found = _nearest_in_blocks(rows.withColumnRenamed("bill_id", "asked_id"), rows.withColumnRenamed("bill_id", "held_id"), k, least, "jurisdiction_id", block_rows)
+    rows = unit(vectors.where("bill_id is not null and jurisdiction_id is not null")).select(F.col("bill_id").alias("asked_id"), "jurisdiction_id", "unit")
+    found = _nearest_in_blocks(rows, None, k, least, "jurisdiction_id", block_rows)
     pairs = found.select(F.col("asked_id").alias("bill_id"), F.col("held_id").alias("similar_id"), "score")
     return top_per_group(pairs, ["bill_id"], [F.round("score", 9).desc(), "similar_id"], k, rank="rank")
 
 
 def similar_bills_lsh(vectors: DataFrame, k: int, least: float, recall: float = 0.95) -> DataFrame:
     """As similar_bills, from a neighbour index fitted to find at least the given share of them; scores are exact."""
-    rows = unit(vectors).select("bill_id", F.col("jurisdiction_id").alias("kind"), "unit")
+    rows = unit(vectors.where("bill_id is not null and jurisdiction_id is not null")).select("bill_id", F.col("jurisdiction_id").alias("kind"), "unit")
     index = fit_index(rows, k, least, recall)
     found = nearest_in_cells(index, rows, rows, k, least).where("held_id is not null")
     pairs = found.select(F.col("asked_id").alias("bill_id"), F.col("held_id").alias("similar_id"), "score")

@@ -97,3 +97,22 @@ def test_a_row_that_asks_meets_a_block_once(spark):
     index = neighbours.NeighbourIndex(made[:50], rng.normal(size=(6, 256)), 50, 256)
     found = neighbours.nearest_in_cells(index, rows, rows, 3, 2.0).collect()
     assert sorted((r.asked_id, r.held_id, r.tested) for r in found) == [(i, None, 40) for i in range(60)]
+
+
+def test_no_neighbours_without_a_jurisdiction(spark):
+    rows = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("b", "y", [1.0, 0.1]), ("c", None, [1.0, 0.0])], "bill_id string, jurisdiction_id string, embedding array<double>")
+    for find in (search.similar_bills, search.similar_bills_lsh):
+        assert {(r.bill_id, r.similar_id) for r in find(rows, 3, 0.5).collect()} == {("a", "b"), ("b", "a")}
+
+
+def test_copies_beyond_k_are_ranked_by_id(spark):
+    """Far more equal vectors than are asked for, in blocks smaller than their number: the smallest ids are found."""
+    rows = spark.createDataFrame([(f"b{i:03d}", f"k{i % 2}", [1.0, 2.0]) for i in range(700)], "bill_id string, jurisdiction_id string, embedding array<double>")
+    for block_rows in (None, 50):
+        got = {(r.bill_id, r.similar_id) for r in search.similar_bills(rows, 2, 0.5, block_rows).collect()}
+        assert got == {(f"b{i:03d}", f"b{j:03d}") for i in range(700) for j in ((1, 3) if i % 2 == 0 else (0, 2))}
+
+
+def test_blocks_are_of_bytes(spark):
+    """65,536 vectors of 64 entries make a block, and fewer of longer ones."""
+    assert search._block_rows(1000, 64_000) == 65_536 and search._block_rows(1000, 1_536_000) == 2_730 and search._block_rows(0, None) == 1

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statutory.operators import neighbours, search
+from statutory.plans import catalog
 from statutory.plans.views import Tables
 
 
@@ -105,6 +106,14 @@ def test_no_neighbours_without_a_jurisdiction(spark):
         assert {(r.bill_id, r.similar_id) for r in find(rows, 3, 0.5).collect()} == {("a", "b"), ("b", "a")}
 
 
+@pytest.mark.parametrize("name", ["diffusion"])
+def test_queries_with_sql_are_exact_at_any_size(spark, monkeypatch, name):
+    """Their SQL compares all pairs, so an index that misses some is not used however many vectors there are."""
+    monkeypatch.setattr(search, "similar", None)
+    monkeypatch.setattr(search, "similar_bills_lsh", None)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_copies_beyond_k_are_ranked_by_id(spark):
     """Far more equal vectors than are asked for, in blocks smaller than their number: the smallest ids are found."""
     rows = spark.createDataFrame([(f"b{i:03d}", f"k{i % 2}", [1.0, 2.0]) for i in range(700)], "bill_id string, jurisdiction_id string, embedding array<double>")

@@ -106,7 +106,7 @@ def test_no_neighbours_without_a_jurisdiction(spark):
         assert {(r.bill_id, r.similar_id) for r in find(rows, 3, 0.5).collect()} == {("a", "b"), ("b", "a")}
 
 
-@pytest.mark.parametrize("name", ["diffusion"])
+@pytest.mark.parametrize("name", ["diffusion", "similar_fallback"])
 def test_queries_with_sql_are_exact_at_any_size(spark, monkeypatch, name):
     """Their SQL compares all pairs, so an index that misses some is not used however many vectors there are."""
     monkeypatch.setattr(search, "similar", None)

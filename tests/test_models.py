@@ -89,6 +89,27 @@ def test_models_rank_what_they_can_know(labelled, tmp_path):
     assert {r.feature for r in factors} <= set(predict.META) and len(factors) == 2 * rest.count()
 
 
+def test_folds_are_fitted_in_few_jobs(spark, labelled):
+    """The whole stack, of 2,000 rounds at most and 200 trees, is fitted in tens of jobs, not in one for every level of every tree."""
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("stack", "whole stack")
+    models, layer = predict.train_stack(labelled)
+    spark.sparkContext.setJobGroup("none", "")
+    assert len(jobs.getJobIdsForGroup("stack")) < 250
+    assert len(models.pairs) == 7 and all(len(forest) == 200 and len(boosted) >= 1 for boosted, forest in models.pairs)
+    again, _ = predict.train_stack(labelled.repartition(9))
+    assert all(np.array_equal(a.value, b.value) for x, y in zip(models.pairs, again.pairs, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_both_ways_to_fit_rank_alike(labelled):
+    train, rest = labelled.where("hash(bill_id) % 3 <> 0"), labelled.where("hash(bill_id) % 3 = 0").withColumn("all", F.lit(1))
+    found = []
+    for fold_rows in (predict.FOLD_ROWS, 0):
+        stack = predict.train_stack(train, folds=2, rounds=20, trees=15, depth=4, patience=10, fold_rows=fold_rows)
+        found.append(predict.auroc(predict.score_stack(stack, rest), ["all"]).first().auroc)
+    assert abs(found[0] - found[1]) < 0.03 and min(found) > 0.88
+
+
 def test_boosting_ends_after_its_best_round(labelled):
     """Few trees are kept where the held-out loss soon rises, and all of them give the scores of a fit of that many rounds."""
     from pyspark.ml.classification import GBTClassifier

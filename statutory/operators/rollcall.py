@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statutory.operators.aggregates import option_counts
 from statutory.operators.quality import complete_events, reconcile
+from statutory.operators.sinks import shared_folder
 from statutory.operators.windows import hash_order, top_per_group
 
 
@@ -149,18 +150,26 @@ def pairwise_agreement(votes: DataFrame, keys: list[str], bitmaps: bool | None =
     votes has one row for each event and person. With bitmaps members meet per block of 64
     events, and two ANDs count what they share, so a pair is a row per block and not per
     event; without, they meet per event. By default what makes fewer pairs is counted first.
+    The votes that count are written to the shared folder once, as they are read three times.
     """
+    folder = shared_folder(votes.sparkSession)
+    votes.where("option in ('yea', 'nay')").select(*keys, "vote_event_id", "person_id", "option").write.parquet(folder)
+    votes = votes.sparkSession.read.parquet(folder)
     bits = vote_bits(votes, event_places(votes, keys), keys)
     block = [*keys, "bucket", "block"]
     if dense(votes, bits, block) if bitmaps is None else bitmaps:
         pairs = _bits_of(bits, "a", block).join(_bits_of(bits, "b", block), block).where("a < b")
         met = pairs.select(*keys, "a", "b", F.expr("bit_count((yea_a | nay_a) & (yea_b | nay_b))").alias("met"), F.expr("bit_count(yea_a & yea_b) + bit_count(nay_a & nay_b)").alias("agreed"))
         return met.where("met > 0").groupBy(*keys, "a", "b").agg(F.sum("met").alias("shared"), F.sum("agreed").alias("agreements"))
-    held = votes.where("option in ('yea', 'nay')")
-    a = held.select(*keys, "vote_event_id", F.col("person_id").alias("a"), F.col("option").alias("option_a"))
-    b = held.select("vote_event_id", F.col("person_id").alias("b"), F.col("option").alias("option_b"))
-    single = a.join(b, "vote_event_id").where("a < b")
-    return single.groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"), F.count(F.when(F.col("option_a") == F.col("option_b"), 1)).alias("agreements"))
+    said = F.sort_array(F.collect_list(F.struct("person_id", "option")))
+    events = votes.where("option in ('yea', 'nay')").groupBy(*keys, "vote_event_id").agg(said.alias("said"))
+    each = events.select(*keys, "said", F.posexplode("said").alias("place", "one"))
+    after = F.slice("said", F.col("place") + 2, F.size("said"))
+    others = lambda same: F.transform(F.filter(after, lambda x: (x["person_id"] > F.col("one.person_id")) & ((x["option"] == F.col("one.option")) == same)), lambda x: x["person_id"])
+    # a member is sent once for each event, with the others as two lists; its pairs are counted where it is
+    met = each.select(*keys, F.col("one.person_id").alias("a"), others(True).alias("alike"), others(False).alias("apart")).where("size(alike) + size(apart) > 0").repartition(*keys, "a")
+    single = met.select(*keys, "a", F.size("alike").alias("n"), F.posexplode(F.concat("alike", "apart")).alias("place", "b"))
+    return single.groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"), F.count(F.when(F.col("place") < F.col("n"), 1)).alias("agreements"))
 
 
 def same_party_pairs(members: DataFrame, least: int) -> DataFrame:

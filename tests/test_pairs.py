@@ -55,3 +55,13 @@ def test_bitmaps_are_used_where_most_members_vote(spark):
 def test_pairs_without_votes(spark):
     none = spark.createDataFrame([], "w string, vote_event_id string, person_id string, option string")
     assert rollcall.pairwise_agreement(none, ["w"]).collect() == []
+
+
+def test_a_member_is_sent_once_for_each_event(spark):
+    """Where members meet per event, what is shuffled is a row for each vote, not for each pair."""
+    rows = [("x", f"e{i}", f"p{j}", "yea" if (i + j) % 3 else "nay") for i in range(12) for j in range(30)]
+    votes = spark.createDataFrame(rows, "w string, vote_event_id string, person_id string, option string")
+    found = rollcall.pairwise_agreement(votes, ["w"], False)
+    assert found.count() == 30 * 29 // 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RepartitionByExpression [w" in plan
